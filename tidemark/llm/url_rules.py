@@ -70,7 +70,7 @@ def build_level(keys: DataFrame, count: int, number: int, bits_per_key: int) ->
     words = max(1, -(-count * bits_per_key // 64))
     level = Level(keys, words * 64, max(1, round(0.69 * words * 64 / max(1, count))) if count * bits_per_key > 64 else 4, number)
     set_bits = keys.select(F.explode(F.array_distinct(F.array(*level.positions(F.col("key"))))).alias("p"))
-    merged = set_bits.groupBy(F.floor(F.col("p") / 64).alias("id")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("w"))
+    merged = set_bits.groupBy(F.floor(F.col("p") / 64).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("w"))
     dense = spark.range(words).join(merged, "id", "left").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("words"))
     level.words, _ = materialize(dense, "bloom-level")
     return level
