@@ -98,8 +98,9 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
     """The documents that a policy keeps, with their own columns."""
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(r, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules().values())])
     held = docs.select(F.struct("*").alias("__row"), F.col(f"`{text_col}`").alias("__own"))
-    judged = measure(held, "__own").withColumn("fail_bits", bits.cast("long"))
-    return judged.where(keeps(policy)).select("__row.*")
+    # a row number beside the bits keeps the filter above them: pushed below, it would repeat every measurement
+    judged = measure(held, "__own").select("__row", bits.cast("long").alias("fail_bits"), F.monotonically_increasing_id().alias("__place"))
+    return judged.where(keeps(policy) & (F.col("__place") >= 0)).select("__row.*")
 
 
 def ablations(judged: DataFrame, policy: str = "v1") -> DataFrame:
