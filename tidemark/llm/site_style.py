@@ -5,12 +5,16 @@ root. For every node the host's pages are counted with each presentation (the se
 elements) and with each content (the text of its own blocks). A node's presentation importance is the
 entropy of its presentations, to the base of the number of pages; its content importance is 1 less the
 mean entropy of its distinct contents over the pages, so what recurs in all pages weighs nothing. Nodes of
-low importance lose their text in each page, and a branch of such nodes goes with them, as do elements that by their kind hold no main text (navigation, footers, forms, scripts and the like).
+low importance lose their text in each page, and so do elements that by their kind hold no main text
+(navigation, footers, forms, scripts and the like), whose texts may differ from page to page.
 
 Two narrow passes parse the pages. Between them only hashes are shuffled: (host, node, feature) counts with
 partial sums in each task, so a host with many pages is dealt out. The removed nodes are broadcast if they
 are few (``broadcast_rows``, a checked bound), else joined by salted host.
 
+Running text that a page itself marks as article or main part is never boilerplate, so a host of copies of
+one article keeps it; other branches inside an article are judged like the rest.
+
 Cases: null or empty html gives an empty text; null urls form one host; hosts of fewer than ``least_pages``
 pages have no removals by importance; repeated rows are pages of their own; other columns are not read; an
 empty table gives an empty result.
@@ -47,6 +51,9 @@ TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 #: Elements that a new one of the same kind closes, unless one of the named lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: Kinds of nodes that are running text where a page marks an article or main part: copies of one article on a
+#: host don't make them boilerplate.
+PROSE = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 P_SCOPE = {"td", "th", "table", "button", "caption", "article", "section", "div", "body", "main", "li", "blockquote"}
 
 
@@ -212,7 +219,8 @@ def page_features(page: str) -> set[tuple[int, int, int, int]]:
             style = "".join(f"{c}," for k, c in enumerate(n.children) if not k or n.children[k - 1] != c)
             out.add((n.chain, nodes[n.parent].chain, 0, code(style)))
     for k, t in blocks:
-        if not nodes[k].noise:
+        marked = nodes[k].inside or nodes[k].tag in ("article", "main")
+        if not nodes[k].noise and not (marked and nodes[k].tag in PROSE):
             out.add((nodes[k].chain, nodes[nodes[k].parent].chain if k else 0, 1, code(t)))
     return out
 
