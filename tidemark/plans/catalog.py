@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
+from ..operators import frames as R
 from ..operators import learning as L
 from ..operators import timeseries as T
 from ..operators import vectors as V
 from ..sources.tables import hrefs, micros, samples, table
-from ..streaming import sessions
+from ..streaming import sessions, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEC, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
@@ -423,3 +424,38 @@ def logreg_leave_one_out(spark, sf):
 @query
 def stream_sessions(spark, sf):
     return sessions.replay(spark, sf, "events.parquet", THRESHOLD, "12 hours")
+
+
+@query
+def stream_differences(spark, sf):
+    return state.replay(spark, sf, "events.parquet").select("video", F.round("diff", 6).alias("diff"))
+
+
+# --- frames: vectors as tiny frames of grey pixels
+
+
+def _frames(spark, sf):
+    grey = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255).cast("int"))
+    return _vectors(spark, sf).select(F.col("label").alias("video"), F.col("vec_id").alias("us"), F.col("vec_id").alias("event_id"), grey.alias("pixels"))
+
+
+@query
+def motion_score(spark, sf):
+    return R.motion_score(_frames(spark, sf)).withColumn("motion", F.round("motion", 6))
+
+
+@query
+def frame_stats(spark, sf):
+    f = _frames(spark, sf)
+    return f.select("us", F.round(R.brightness(F.col("pixels")), 6).alias("bright"), F.round(R.share_above(F.col("pixels"), 20), 6).alias("above"))
+
+
+@query
+def pixel_deviation(spark, sf):
+    f = _frames(spark, sf)
+    return R.deviation(f, f.where("us = 0")).select("us", F.round("deviation", 6).alias("deviation"))
+
+
+@query
+def foreground(spark, sf):
+    return R.foreground(_frames(spark, sf))

@@ -65,6 +65,7 @@ def _pairs(direction: str) -> str:
 
 TWO = "WITH v AS (SELECT e.vec_id, e.embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q0, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS q1 FROM embeddings e)"
 PLACES = "v AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"
+GREY = "g AS (SELECT label AS video, vec_id, CAST(floor(abs(CAST(unnest(embedding) AS DOUBLE)) * 255) AS INT) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
 
 SQL: dict[str, str] = {
     "segments": f"WITH {S}, {_islands('s', 'video', HOUR)} SELECT * FROM seg",
@@ -154,4 +155,9 @@ SQL: dict[str, str] = {
         m AS (SELECT k, count(*) FILTER (WHERE y = k) AS s, count(*) FILTER (WHERE p = k) AS q, count(*) FILTER (WHERE y = k AND p = k) AS t FROM c, r GROUP BY k)
         SELECT CAST(k AS INT) AS class, s AS support, round(coalesce(t / nullif(q, 0), 0), 6) AS precision, round(coalesce(t / nullif(s, 0), 0), 6) AS recall, round(coalesce(2 * t / nullif(s + q, 0), 0), 6) AS f1 FROM m""",
     "stream_sessions": f"WITH {S}, u AS (SELECT * FROM s WHERE score >= 60), {_chains('c', 'u', 'video', 'us', 'event_id', 12 * HOUR)} SELECT video, count(*) AS n, max(score) AS top FROM c GROUP BY video, chain",
+    "stream_differences": f"WITH {S} SELECT video, round(abs(score - lag(score) OVER (PARTITION BY video ORDER BY us)), 6) AS diff FROM s QUALIFY diff IS NOT NULL",
+    "motion_score": f"""WITH {GREY}, d AS (SELECT video, pos, vec_id, abs(x - lag(x) OVER (PARTITION BY video, pos ORDER BY vec_id)) AS d FROM g),
+        f AS (SELECT video, vec_id, avg(d) / 255 AS d FROM d GROUP BY ALL) SELECT video, round(coalesce(avg(d), 0.0), 6) AS motion FROM f GROUP BY video""",
+    "frame_stats": f"WITH {GREY} SELECT vec_id AS us, round(avg(x), 6) AS bright, round(avg(CASE WHEN x > 20 THEN 1.0 ELSE 0.0 END), 6) AS above FROM g GROUP BY vec_id",
+    "pixel_deviation": f"WITH {GREY} SELECT g.vec_id AS us, round(avg(abs(g.x - q.x)), 6) AS deviation FROM g JOIN g q ON g.pos = q.pos AND q.vec_id = 0 GROUP BY g.vec_id",
 }
