@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,20 +78,26 @@ class ToxicityModel:
 
 
 class _Rows:
-    """Sparse rows with products; ``x @ w`` and ``x.T @ r``."""
-
-    def __init__(self, rows: list[dict[int, float]], width: int):
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.column = np.array([c for r in rows for c in r], np.int64)
-        self.value = np.array([v for r in rows for v in r.values()], np.float64)
-        self.shape = len(rows), width
+    """Sparse rows with products; ``x @ w`` and ``x.T @ r``. Rows come one by one, as (column, value) pairs."""
+
+    def __init__(self, rows: Iterable[Iterable[tuple[int, float]]], width: int):
+        columns, values, sizes = array("i"), array("f"), []
+        for pairs in rows:
+            before = len(columns)
+            for c, v in pairs:
+                columns.append(c)
+                values.append(v)
+            sizes.append(len(columns) - before)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.column, self.value = np.array(columns, np.int32), np.array(values, np.float32)
+        self.shape = len(sizes), width
 
     def spread(self, least: float) -> np.ndarray:
         """Root mean squares of the columns, ``least`` at least."""
         return np.maximum(np.sqrt(np.bincount(self.column, self.value**2, self.shape[1]) / max(1, self.shape[0])), least)
 
     def divide(self, by: np.ndarray) -> None:
-        self.value = self.value / by[self.column]
+        self.value = (self.value / by[self.column]).astype(np.float32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.column], self.shape[0])
@@ -108,10 +115,10 @@ def fit_texts(texts: list[str], toxic: list[int], class_weight: dict[int, float]
     share = float((weight * y).sum() / weight.sum())
     if share in (0.0, 1.0):
         return ToxicityModel(math.inf if share else -math.inf)
-    features = [text_features(t) for t in texts]
+    # texts are taken apart one at a time, in each pass anew: their features together would fill the driver
     seen = {1: Counter(), 0: Counter()}
-    for f, t in zip(features, toxic, strict=True):
-        seen[t].update(f.keys())
+    for text, t in zip(texts, toxic, strict=True):
+        seen[t].update(text_features(text).keys())
     # the features whose frequencies differ most between the labels, by a log-likelihood ratio
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
 
@@ -122,29 +129,31 @@ def fit_texts(texts: list[str], toxic: list[int], class_weight: dict[int, float]
 
     rated = sorted(((divergence(seen[1][f], seen[0][f]), f) for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= 3), key=lambda x: (-x[0], x[1]))
     names = [f for _, f in rated[:max_features]]
+    del seen, rated
     index = {f: k for k, f in enumerate(names)}
-    rows = lambda fs: [{index[f]: float(v) for f, v in x.items() if f in index} for x in fs]
-    x = _Rows(rows(features), len(names))
+    chosen = lambda f: ((index[g], float(v)) for g, v in f.items() if v and g in index)
+    x = _Rows((chosen(text_features(t)) for t in texts), len(names))
     known = {w for kind in terms for w in kind}
-    changes = []
-    for t, f in zip(texts, features, strict=True):
-        if known & {g[1:] for g in f if g[0] == "="}:
-            d = Counter(f)
-            d.subtract(text_features(swap_terms(t, terms)))
-            changes.append({index[g]: float(v) for g, v in d.items() if v and g in index})
-    swaps = _Rows(changes, len(names)) if changes else None
+
+    def changes() -> Iterator[Iterable[tuple[int, float]]]:
+        for t in texts:
+            if not known.isdisjoint(LETTERS.findall(t.lower())):
+                d = text_features(t)
+                d.subtract(text_features(swap_terms(t, terms)))
+                yield chosen(d)
+
+    swaps = _Rows(changes(), len(names))
+    swapped = max(1, swaps.shape[0])
     spread = x.spread(0.1)  # columns of one scale: few rounds suffice, and the L1 term treats them alike
     x.divide(spread)
-    if swaps:
-        swaps.divide(spread)
+    swaps.divide(spread)
     weight = weight / weight.sum()
 
     def gradient(w, b):
         p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -40, 40)))
         r = weight * (p - y)
         g = x.back(r) + l2 * w
-        if swaps:
-            g += 2 * fairness / len(changes) * swaps.back(swaps.times(w))
+        g += 2 * fairness / swapped * swaps.back(swaps.times(w))
         return g, float(r.sum())
 
     # the step is the inverse of the curvature's bound, found by power iteration
@@ -153,8 +162,7 @@ def fit_texts(texts: list[str], toxic: list[int], class_weight: dict[int, float]
     for _ in range(20):
         q = x.times(v) + vb
         u, ub = 0.25 * x.back(weight * q) + l2 * v, 0.25 * float((weight * q).sum())
-        if swaps:
-            u = u + 2 * fairness / len(changes) * swaps.back(swaps.times(v))
+        u = u + 2 * fairness / swapped * swaps.back(swaps.times(v))
         bound = math.sqrt(float(u @ u) + ub * ub)
         v, vb = u / bound, ub / bound
     step = 1 / (1.1 * bound)
