@@ -19,43 +19,63 @@ pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import CACHE_ENTRIES, slices, text_or_empty
+from .token_counts import RankMerger
 
-#: Characters at which str.split() cuts although tokenizers doesn't take them for white space.
-ODD_BREAKS = re.compile("[\x1c-\x1f]")
+#: Texts with these are left to the library: separators on which Python and it disagree, capital sigma (its
+#: small letter depends on the place) and what may be an added token.
+ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u03a3", "<|"]
+#: Fixed value: the pre-token pattern of the word tokenizer; what lies between matches is dropped.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer whose pre-tokens never cross white space, which it drops.
+    """Ids of texts under a lower-casing byte-level BPE with word ends, equal to the library's.
 
-    Stretches between white space encode independently then; a bounded cache holds their ids.
+    Pre-tokens never cross white space and encode independently: new ones are merged together, rank by rank.
+    Bounded caches hold the ids of pre-tokens and of the stretches between white space. Texts in another normal
+    form than NFC, and those with odd characters, are left to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merger = RankMerger(path)
+        self.words = regex.compile(PRE_TOKENS).findall
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds stretches to the cache."""
+        cut = [[w.lower()] if w.isalpha() else self.words(w.lower()) for w in new]
+        fresh = list(set().union(*cut).difference(self.pieces))
+        ids, n = self.merger.merge([w.encode() for w in fresh])
+        raw, end = ids.tobytes(), (4 * np.cumsum(n)).tolist()
+        self.pieces.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *end], end, strict=False))
+        get = self.pieces.__getitem__
+        self.known.update((w, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for w, c in zip(new, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text, special tokens not added."""
         out = []
         for lo, hi in slices(texts):
-            plain = [not ODD_BREAKS.search(t) for t in texts[lo:hi]]
+            plain = [unicodedata.is_normalized("NFC", t) and not any(x in t for x in ODD) for t in texts[lo:hi]]
             parts = [t.split() if p else [] for t, p in zip(texts[lo:hi], plain, strict=True)]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-            new = list(set().union(*parts).difference(self.known))
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.int32).tobytes()
+            words = set().union(*parts)
+            if len(self.known) > CACHE_ENTRIES or len(self.pieces) > CACHE_ENTRIES:
+                self.known, self.pieces = {}, {}
+            self._learn(list(words.difference(self.known)))
             get = self.known.__getitem__
             for t, p, ws in zip(texts[lo:hi], plain, parts, strict=True):
                 out.append(np.frombuffer(b"".join(map(get, ws)), np.int32) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))

@@ -35,7 +35,7 @@ def byte_alphabet() -> list[str]:
 
 
 class RankMerger:
-    """Merges of one tokenizer file as sorted arrays; ``count`` works on many sequences at once."""
+    """Merges of one tokenizer file as sorted arrays; many byte sequences are merged at once."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,38 +49,66 @@ class RankMerger:
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
         self.base = np.array([vocab[c] for c in byte_alphabet()], np.int64)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last = np.array([vocab[c + suffix] for c in byte_alphabet()], np.int64)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
+    def _pairs(self, sym: np.ndarray, seq: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs that begin at these places (``NO_RANK`` if none), and their places in the table."""
+        after = np.minimum(where + 1, max(0, len(sym) - 1))
+        key = sym[where] << 32 | sym[after]
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (seq[where] == seq[after]) & (after > where), self.rank[at], NO_RANK), at
+
     def count(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols that survive in each sequence."""
+        return self.merge(sequences)[1]
+
+    def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The surviving symbols of all sequences, one after another, and how many each has."""
         size = np.array([len(s) for s in sequences], np.int64)
-        out = np.zeros(len(sequences), np.int64)
+        count = np.zeros(len(sequences), np.int64)
         alive = np.flatnonzero(size)
         size = size[alive]
-        sym = self.base[np.frombuffer(b"".join(sequences), np.uint8)]
+        raw = np.frombuffer(b"".join(sequences), np.uint8)
+        sym = self.base[raw]
+        if len(alive):
+            end = np.cumsum(size) - 1
+            sym[end] = self.last[raw[end]]
+        done = []
+        seq = np.repeat(np.arange(len(alive)), size)
+        rank, at = self._pairs(sym, seq, np.arange(len(sym)))
         while len(alive):
             start = np.cumsum(size) - size
-            seq = np.repeat(np.arange(len(alive)), size)
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            rank = np.full(len(sym), NO_RANK)
-            rank[:-1] = np.where((self.key[at] == key) & (seq[:-1] == seq[1:]), self.rank[at], NO_RANK)
             low = np.minimum.reduceat(rank, start)
-            hit = np.flatnonzero((rank == low[seq]) & (rank < NO_RANK))
-            if len(hit):
-                # in a run of equal symbols the pairs overlap; every second one merges, from the left
-                n = np.arange(len(hit))
-                first = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, n, 0))
-                hit = hit[(n - first) % 2 == 0]
-                sym[hit] = self.made[at[hit]]
-                stays = np.ones(len(sym), bool)
-                stays[hit + 1] = False
-                size = size - np.bincount(seq[hit], minlength=len(alive))
-                sym, seq = sym[stays], seq[stays]
             more = low < NO_RANK
-            out[alive[~more]] = size[~more]
-            sym, alive, size = sym[more[seq]], alive[more], size[more]
-        return out
+            if not more.all():
+                stays = more[seq]
+                count[alive[~more]] = size[~more]
+                done.append((alive[~more], sym[~stays], size[~more]))
+                alive, size, low = alive[more], size[more], low[more]
+                sym, rank, at = sym[stays], rank[stays], at[stays]
+                seq = np.repeat(np.arange(len(alive)), size)
+            hit = np.flatnonzero(rank == low[seq])
+            if not len(hit):
+                continue
+            # in a run of equal symbols the pairs overlap; every second one merges, from the left
+            n = np.arange(len(hit))
+            first = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, n, 0))
+            hit = hit[(n - first) % 2 == 0]
+            sym[hit] = self.made[at[hit]]
+            stays = np.ones(len(sym), bool)
+            stays[hit + 1] = False
+            size = size - np.bincount(seq[hit], minlength=len(alive))
+            sym, seq, rank, at = sym[stays], seq[stays], rank[stays], at[stays]
+            # only the pairs on either side of a merged symbol are new
+            place = hit - np.arange(len(hit))
+            around = np.concatenate([place, place[place > 0] - 1])
+            rank[around], at[around] = self._pairs(sym, seq, around)
+        out, start = np.zeros(int(count.sum()), np.int32), np.cumsum(count) - count
+        for which, symbols, n in done:
+            out[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
+        return out, count
 
 
 class TokenCounter:
