@@ -270,21 +270,30 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def named(prints: DataFrame, distinct: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, fp, component_id`` of every row of ``prints``; ``distinct``: ``fp, least`` (its smallest id);
+    ``found``: ``node, root`` of the linked ones."""
+    spark = prints.sparkSession
+    linked = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked, linked_path = materialize(linked, "linked-fingerprints")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    names, _ = materialize(_salted_join(linked, ids, "root", "fp").select("fp", "component_id"), "named-fingerprints")
+    remove(spark, linked_path)
+    dealt = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = prints.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    return rows.join(dealt, ["fp", "__salt"]).select(id_col, "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint string, component_id`` (the smallest id of all documents linked to it) per row."""
     spark = docs.sparkSession
     prints, _ = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct, distinct_path = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     found, found_path = materialize(components(links(distinct, most, block)), "components")
-    linked = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked, linked_path = materialize(linked, "linked-fingerprints")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = materialize(_salted_join(linked, ids, "root", "fp").select("fp", "component_id"), "named-fingerprints")
-    for p in (distinct_path, found_path, linked_path):
+    rows = named(prints, distinct, found, id_col)
+    for p in (distinct_path, found_path):
         remove(spark, p)
-    dealt = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = prints.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    return rows.join(dealt, ["fp", "__salt"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
