@@ -5,18 +5,18 @@ root. For every node the host's pages are counted with each presentation (the se
 elements) and with each content (the text of its own blocks). A node's presentation importance is the
 entropy of its presentations, to the base of the number of pages; its content importance is 1 less the
 mean entropy of its distinct contents over the pages, so what recurs in all pages weighs nothing. Nodes of
-low importance lose their text in each page, and so do elements that by their kind hold no main text
+low importance lose their text in each page (copies of a page, equal in text outside noise, count once), and so do elements that by their kind hold no main text
 (navigation, footers, forms, scripts and the like), whose texts may differ from page to page.
 
-Two narrow passes parse the pages. Between them only hashes are shuffled: (host, node, feature) counts with
-partial sums in each task, so a host with many pages is dealt out. The removed nodes are broadcast if they
+Two narrow passes parse the pages. Between them only hashes are shuffled: (host, page content, node, feature), made
+distinct and then counted with partial sums, so a host with many pages is dealt out. The removed nodes are broadcast if they
 are few (``broadcast_rows``, a checked bound), else joined by salted host.
 
 Running text that a page itself marks as article or main part is never boilerplate, so a host of copies of
 one article keeps it; other branches inside an article are judged like the rest.
 
 Cases: null or empty html gives an empty text; null urls form one host; hosts of fewer than ``least_pages``
-pages have no removals by importance; repeated rows are pages of their own; other columns are not read; an
+pages have no removals by importance; repeated rows each give their text; other columns are not read; an
 empty table gives an empty result.
 """
 
@@ -210,8 +210,9 @@ def main_text(page: str, removed: set[int] | None = None) -> str:
     return "\n".join(t for _, t in kept)
 
 
-def page_features(page: str) -> set[tuple[int, int, int, int]]:
-    """Distinct (chain, parent chain, kind, feature) of a page: 0 presentations, 1 contents."""
+def page_features(page: str) -> tuple[int, set[tuple[int, int, int, int]]]:
+    """A code of a page's content (its text outside noise) and its distinct (chain, parent chain, kind, feature):
+    0 presentations, 1 contents."""
     nodes, blocks = parse(page)
     out = set()
     for n in nodes[1:]:
@@ -222,7 +223,7 @@ def page_features(page: str) -> set[tuple[int, int, int, int]]:
         marked = nodes[k].inside or nodes[k].tag in ("article", "main")
         if not nodes[k].noise and not (marked and nodes[k].tag in PROSE):
             out.add((nodes[k].chain, nodes[nodes[k].parent].chain if k else 0, 1, code(t)))
-    return out
+    return code("\n".join(f"{nodes[k].chain} {t}" for k, t in blocks if not nodes[k].noise)), out
 
 
 def _host(url_col: str) -> Column:
@@ -239,12 +240,16 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, *f) for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True) for f in page_features(page.as_py())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64())], names=["host", "chain", "parent", "kind", "feature"])
-
-    found = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, "host string, chain long, parent long, kind int, feature long")
-    counts = found.groupBy("host", "chain", "kind", "feature").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
+            per = {}
+            for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                content, found = page_features(page.as_py())
+                per.setdefault((h, content), set()).update(found)
+            rows = [(h, content, *f) for (h, content), found in per.items() for f in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int64())], names=["host", "content", "chain", "parent", "kind", "feature"])
+
+    found = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, "host string, content long, chain long, parent long, kind int, feature long")
+    counts = found.distinct().groupBy("host", "chain", "kind", "feature").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
     node = counts.groupBy("host", "chain").agg(
         F.min("parent").alias("parent"),
         F.sum(F.when(F.col("kind") == 0, F.col("k")).otherwise(0)).alias("pages"),
