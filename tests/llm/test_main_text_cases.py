@@ -16,3 +16,14 @@ def test_copies_of_a_page_count_once(spark):
     assert {got[i] for i in range(20, 60)} == {"One page of its own"} and got[65] == "One story 5 of its own"
     copies = pages_of(spark, [bare.format(k="page")] * 40)
     assert {r.text for r in site_style.extract(copies).collect()} == {"One page of its own\nAlways the same words"}
+
+
+def test_names_that_hold_the_main_text_are_no_noise():
+    text = "<p>Long main text of the page</p>"
+    for name in ("class='has-sidebar'", "id='no-sidebar-content'", "class='legal'", "class='search-results'", "class='widget-content'", "class='x widget'"):
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>"):
+            assert site_style.main_text(f"<body><div class='ad'>Buy</div><div {name}>{inner}<div class='share'>Share</div></div></body>") == "Long main text of the page", (name, inner)
+        assert site_style.main_text(f"<body><article><section {name}>{text}</section></article></body>") == "Long main text of the page"
+    noise = "<div class='sidebar'>Side</div><div id='comments'>A comment that is much longer than all of the article</div>"
+    assert site_style.main_text(f"<body><article>{text}{noise}</article>{noise}</body>") == "Long main text of the page"
+    assert site_style.main_text(f"<body><div>{text}</div>{noise}</body>") == "Long main text of the page"

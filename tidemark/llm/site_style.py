@@ -46,6 +46,7 @@ NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "optio
 ENDS_P = BLOCKS - {"option", "optgroup", "legend", "summary", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "status", "toolbar"}
 NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "replies", "reply", "disqus", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "widget", "widgets", "skip", "legal", "copyright", "login", "search", "tags"}
+COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "reply", "disqus"}
 #: Attributes by which an inline element may say that it holds no main text.
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 #: Elements that a new one of the same kind closes, unless one of the named lies between.
@@ -69,7 +70,8 @@ def code(text: str) -> int:
 @dataclass
 class Node:
     """One block element of a page: its chain's code, whether its kind holds no main text, its parent,
-    and whether it lies in an article or main part."""
+    whether it lies in an article or main part, and whether (only) its name says that it is noise: 1, and 2 for
+    comments."""
 
     tag: str
     label: str
@@ -77,6 +79,7 @@ class Node:
     noise: bool
     parent: int
     inside: bool = False
+    named: int = 0
     children: list[str] = field(default_factory=list)
 
 
@@ -86,22 +89,23 @@ def _child(chain: int, label: str) -> int:
 
 
 @functools.lru_cache(1 << 16)
-def _label(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
-    """The element's name in the tree, and whether its kind holds no main text."""
+def _label(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool, int]:
+    """The element's name in the tree, whether its kind holds no main text, and whether a class or id says so."""
     if not attributes.strip():
-        return tag, tag in NOT_TEXT or (tag == "header" and not inside_article)
+        return tag, tag in NOT_TEXT or (tag == "header" and not inside_article), 0
     found = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTES.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(re.split(r"[^a-z]+", names))
+    words = set(names.split())
+    named = 0
     role = found.get("role", "").lower()
     hidden = bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes))) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     noise = tag in NOT_TEXT or (tag == "header" and not inside_article) or role in ROLES or hidden
     if not noise and tag not in ("html", "body", "main", "article"):
-        noise = bool(words & NOISE_WORDS)
+        named = 2 if words & COMMENTS else 1 if words & NOISE_WORDS else 0
     elif tag == "article":
         noise = bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
     name = tag + "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "", found.get("class", "")).lower().split()))) + (f"#{re.sub(r'[0-9]+', '', found['id']).lower()}" if "id" in found else "")
-    return name, noise
+    return name, noise, named
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -124,11 +128,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         parent = stack[-1][1]
         above = nodes[parent]
         inline = tag not in BLOCKS
-        label, noise = _label(tag, attributes, True if inline else above.tag in ("article", "main") or above.inside)
-        if inline and not noise:
+        label, noise, named = _label(tag, attributes, True if inline else above.tag in ("article", "main") or above.inside)
+        if inline and not (noise or named):
             return  # its text is its block's
         above.children.append(label)
-        nodes.append(Node(tag, label, _child(above.chain, label), noise or above.noise, parent, above.inside or above.tag in ("article", "main")))
+        nodes.append(Node(tag, label, _child(above.chain, label), noise or above.noise, parent, above.inside or above.tag in ("article", "main"), named))
         stack.append((tag, len(nodes) - 1))
         open_tags[tag] = open_tags.get(tag, 0) + 1
 
@@ -186,9 +190,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     if at < len(page):
         text.append(page[at:])
     flush()
+    _judge_names(nodes, blocks)
     return nodes, blocks
 
 
+def _judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+    """Elements whose name says so are noise with all below, unless they hold most of the page's text.
+
+    Where the page marks articles or a main part, an element around them is judged by their text, and one within
+    them too, but not comments: these may be longer than their article.
+    """
+    if not any(n.named for n in nodes):
+        return
+    marked = any(not nodes[k].noise and (nodes[k].inside or nodes[k].tag in ("article", "main")) for k, _ in blocks)
+    mass = [0] * len(nodes)
+    for k, t in blocks:
+        if not nodes[k].noise and (not marked or nodes[k].inside or nodes[k].tag in ("article", "main")):
+            mass[k] += len(t)
+    for k in range(len(nodes) - 1, 0, -1):
+        mass[nodes[k].parent] += mass[k]
+    for n, m in zip(nodes[1:], mass[1:], strict=True):
+        n.noise = n.noise or nodes[n.parent].noise or bool(n.named and (2 * m <= mass[0] or (n.named == 2 and (n.inside or not marked))))
+
+
 def main_text(page: str, removed: set[int] | None = None) -> str:
     """The text blocks of a page that lie in no removed branch, one to a line.
 
