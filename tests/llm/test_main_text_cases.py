@@ -27,3 +27,10 @@ def test_names_that_hold_the_main_text_are_no_noise():
     noise = "<div class='sidebar'>Side</div><div id='comments'>A comment that is much longer than all of the article</div>"
     assert site_style.main_text(f"<body><article>{text}{noise}</article>{noise}</body>") == "Long main text of the page"
     assert site_style.main_text(f"<body><div>{text}</div>{noise}</body>") == "Long main text of the page"
+
+
+def test_a_teaser_article_does_not_replace_the_main_text():
+    teaser, text = "<article>Read on</article>", "<p>Long main text of the page, and more of it</p>"
+    assert site_style.main_text(f"<body><main>{text}{teaser}</main><div>Else</div></body>") == "Long main text of the page, and more of it\nRead on"
+    assert site_style.main_text(f"<body><div>{text}</div>{teaser}</body>") == "Long main text of the page, and more of it\nRead on"
+    assert site_style.main_text(f"<body><article>{text}</article><div>Else</div></body>") == "Long main text of the page, and more of it"

@@ -216,21 +216,19 @@ def _judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
 def main_text(page: str, removed: set[int] | None = None) -> str:
     """The text blocks of a page that lie in no removed branch, one to a line.
 
-    Where the page marks articles, or else a main part, the blocks of those; else all.
+    Where articles, or else a main part, hold at least half of the characters left, the blocks of those; else all.
     """
     nodes, blocks = parse(page)
     removed = removed or set()
-    gone, part = [False] * len(nodes), [""] * len(nodes)
-    for k, n in enumerate(nodes):
-        up = n.parent
-        gone[k] = n.noise
-        part[k] = "article" if n.tag == "article" else part[up] if up >= 0 and part[up] else "main" if n.tag == "main" else ""
     # a branch goes when all nodes in it that have text go
-    kept = [(n, t) for n, t in blocks if not gone[n] and nodes[n].chain not in removed]
+    kept = [(n, t) for n, t in blocks if not nodes[n].noise and nodes[n].chain not in removed]
     for wanted in ("article", "main"):
-        if any(part[n] == wanted for n, _ in kept):
-            kept = [(n, t) for n, t in kept if part[n] == wanted]
-            break
+        within = [False] * len(nodes)
+        for k, n in enumerate(nodes):
+            within[k] = n.tag == wanted or (k > 0 and within[n.parent])
+        some = [(n, t) for n, t in kept if within[n]]
+        if some and 2 * sum(len(t) for _, t in some) >= sum(len(t) for _, t in kept):
+            return "\n".join(t for _, t in some)
     return "\n".join(t for _, t in kept)
 
 
