@@ -44,7 +44,8 @@ class WordTokenizer:
 
     Pre-tokens never cross white space and encode independently: new ones are merged together, rank by rank.
     Bounded caches hold the ids of pre-tokens and of the stretches between white space. Texts in another normal
-    form than NFC, and those with odd characters, are left to the library.
+    form than NFC, and those with odd or unassigned characters (whose kind differs between versions of Unicode), are
+    left to the library.
     """
 
     def __init__(self, path: str):
@@ -55,10 +56,13 @@ class WordTokenizer:
         self.words = regex.compile(PRE_TOKENS).findall
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def _learn(self, new: list[str]) -> None:
         """Adds stretches to the cache."""
-        cut = [[w.lower()] if w.isalpha() else self.words(w.lower()) for w in new]
+        self.odd.update(w for w in new if not w.isprintable() and any(unicodedata.category(c) == "Cn" for c in w))
+        low = [w.lower() for w in new]  # may hold more than letters where the word does not
+        cut = [[w] if w.isalpha() else self.words(w) for w in low]
         fresh = list(set().union(*cut).difference(self.pieces))
         ids, n = self.merger.merge([w.encode() for w in fresh])
         raw, end = ids.tobytes(), (4 * np.cumsum(n)).tolist()
@@ -74,10 +78,11 @@ class WordTokenizer:
             parts = [t.split() if p else [] for t, p in zip(texts[lo:hi], plain, strict=True)]
             words = set().union(*parts)
             if len(self.known) > CACHE_ENTRIES or len(self.pieces) > CACHE_ENTRIES:
-                self.known, self.pieces = {}, {}
+                self.known, self.pieces, self.odd = {}, {}, set()
             self._learn(list(words.difference(self.known)))
             get = self.known.__getitem__
             for t, p, ws in zip(texts[lo:hi], plain, parts, strict=True):
+                p = p and (not self.odd or self.odd.isdisjoint(ws))
                 out.append(np.frombuffer(b"".join(map(get, ws)), np.int32) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
         return out
 
