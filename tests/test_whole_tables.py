@@ -1,7 +1,10 @@
 """Queries cover their whole tables."""
 
+import inspect
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import learning as L
 from tidemark.plans import catalog
 from tidemark.sources.tables import table
 
@@ -12,3 +15,8 @@ def test_every_label_is_left_out_once(spark):
     got = {r.group: r.n for r in catalog.QUERIES["logreg_leave_one_out"](spark, SF).collect()}
     want = {r.label: r.n for r in table(spark, SF, "embeddings").groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_starts_and_rounds_are_the_reference_s():
+    assert inspect.signature(L.clusters).parameters["starts"].default == 10
+    assert inspect.signature(L.classifier).parameters["rounds"].default == 1000

@@ -47,14 +47,14 @@ def reduced(df: DataFrame, vector: str, components: int, to: str = "reduced") ->
     return PCA(k=components, inputCol="__centred", outputCol=to).fit(x).transform(x).drop("__x", "__unit", "__centred")
 
 
-def clusters(df: DataFrame, vector: str, k: int, components: int, seed: int = 42, starts: int = 3) -> DataFrame:
+def clusters(df: DataFrame, vector: str, k: int, components: int, seed: int = 42, starts: int = 10) -> DataFrame:
     """``df`` and ``cluster``: the best of ``starts`` runs of k-means on the principal components."""
     x = reduced(df, vector, components, "__r")
     models = [KMeans(k=k, seed=seed + i, featuresCol="__r", predictionCol="cluster").fit(x) for i in range(starts)]
     return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("__r")
 
 
-def classifier(df: DataFrame, vector: str, label: str, c: float = 0.1, rounds: int = 200):
+def classifier(df: DataFrame, vector: str, label: str, c: float = 0.1, rounds: int = 1000):
     """A fitted (scaler, logistic regression): balanced weights, ridge strength 1 / (c * weight)."""
     x = df.select(array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("__x"), F.col(label).cast("double").alias("label"))
     n = {r["label"]: r["count"] for r in x.groupBy("label").count().collect()}  # two classes
