@@ -2,6 +2,7 @@
 
 import inspect
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning as L
@@ -20,3 +21,8 @@ def test_every_label_is_left_out_once(spark):
 def test_starts_and_rounds_are_the_reference_s():
     assert inspect.signature(L.clusters).parameters["starts"].default == 10
     assert inspect.signature(L.classifier).parameters["rounds"].default == 1000
+
+
+@pytest.mark.parametrize("name", ["middle_item", "roi_filter"])
+def test_no_key_becomes_one_array(spark, name):
+    assert "collect_list" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -219,8 +219,11 @@ def best_detection(spark, sf):
 
 @query
 def middle_item(spark, sf):
-    g = samples(spark, sf).groupBy("video").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
-    return g.select("video", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("middle"))
+    by = Window.partitionBy("video")
+    place = F.row_number().over(by.orderBy(F.asc_nulls_last("event_id")))
+    s = samples(spark, sf).select("video", "event_id").withColumn("place", place)
+    n = s.groupBy("video").agg(F.count("event_id").alias("n"))
+    return s.join(n, "video").groupBy("video").agg(F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col("event_id"))).alias("middle"))
 
 
 # --- joins, manifest and events
@@ -322,9 +325,8 @@ def caption_merge(spark, sf):
 @query
 def roi_filter(spark, sf):
     e = samples(spark, sf).select("video", (F.col("event_id") % 100 / 100).alias("cx"), "score")
-    g = e.groupBy("video").agg(F.collect_list(F.struct("cx", "score")).alias("boxes"))
-    inside = F.filter("boxes", lambda b: (b["cx"] >= 0.25) & (b["cx"] <= 0.75))
-    return g.select("video", F.size(inside).cast("long").alias("n_inside"), F.coalesce(F.array_max(F.transform(inside, lambda b: b["score"])), F.lit(0.0)).alias("top"))
+    inside = F.col("cx").between(0.25, 0.75)
+    return e.groupBy("video").agg(F.count_if(inside).alias("n_inside"), F.coalesce(F.max(F.when(inside, F.col("score"))), F.lit(0.0)).alias("top"))
 
 
 # --- vectors
