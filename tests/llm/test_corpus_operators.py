@@ -86,7 +86,9 @@ def test_style_tree_removes_what_recurs(spark):
     by = {r.page_id: r.text for r in site_style.extract(pages).collect()}
     assert by[3] == "Story 3 has words of its own" and by[90] == "Story 9 has words of its own\nAlways the same words"
     assert by[91] == by[92] == ""
-    joined = {r.page_id: r.text for r in site_style.extract(pages, broadcast_rows=0).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = {r.page_id: r.text for r in site_style.extract(pages).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert joined == by
     copies = spark.createDataFrame([(i, "http://one.host/", PAGE.format(n=1)) for i in range(30)], "page_id long, url string, html string")
     assert {r.text for r in site_style.extract(copies).collect()} == {site_style.main_text(PAGE.format(n=1))}

@@ -2,22 +2,28 @@
 
 Pages of one host are merged: the nodes of its tree are chains of block elements (tag, id, class) from the
 root. For every node the host's pages are counted with each presentation (the sequence of its child
-elements) and with each content (the text of its own blocks). A node's presentation importance is the
-entropy of its presentations, to the base of the number of pages; its content importance is 1 less the
-mean entropy of its distinct contents over the pages, so what recurs in all pages weighs nothing. Nodes of
-low importance lose their text in each page (copies of a page, equal in text outside noise, count once), and so do elements that by their kind hold no main text
-(navigation, footers, forms, scripts and the like), whose texts may differ from page to page.
+elements) and with each content (the text of its own blocks; each of them is a leaf of the node). A node's
+presentation importance is the entropy of its presentations, to the base of the number of pages; its content
+importance is 1 less the mean entropy of its distinct contents over the pages; a leaf's importance is 1 less
+the entropy of its one content. So what recurs in all pages weighs nothing, in articles as elsewhere. Nodes
+below ``threshold`` and leaves below ``leaf_threshold`` lose their text in each page. A leaf's bound is strict
+(with 2000 pages it goes from 1 370 of them on), as near copies of an article share most leaves.
 
-Two narrow passes parse the pages. Between them only hashes are shuffled: (host, page content, node, feature), made
-distinct and then counted with partial sums, so a host with many pages is dealt out. The removed nodes are broadcast if they
-are few (``broadcast_rows``, a checked bound), else joined by salted host.
+Copies of a page (equal in text outside noise) have one vote. ``prior`` pages that share nothing are added to
+the base of every entropy, so a few pages that agree are weak evidence: with 2 of them a text of all pages
+goes from five pages on, at a threshold of 0.2. There is no other rule for small hosts.
+
+Kinds of elements that never are main text go by what the page says, as their texts may differ from
+page to page: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments.
+What is left of articles, else of the main part, replaces the rest where it holds most of the text.
 
-Running text that a page itself marks as article or main part is never boilerplate, so a host of copies of
-one article keeps it; other branches inside an article are judged like the rest.
+Two narrow passes parse the pages. Between them only hashes are shuffled: (host, page content, node, feature), made
+distinct and then counted with partial sums, so a host with many pages is dealt out. A host of m pages with b
+blocks each has at most b * (m + prior) ** 0.05 low leaves at the default bound, so its list is short; the lists meet the pages in
+a join by salted host, which Spark makes a broadcast where the written table is small.
 
-Cases: null or empty html gives an empty text; null urls form one host; hosts of fewer than ``least_pages``
-pages have no removals by importance; repeated rows each give their text; other columns are not read; an
-empty table gives an empty result.
+Cases: null or empty html gives an empty text; null urls form one host; repeated rows each give their text;
+other columns are not read, whatever their names; an empty table gives an empty result; codes are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,28 +39,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove
 
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTES = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 
 # Element names by their role in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio"}
-BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "search", "fieldset", "label", "input"} | RAW
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
+    "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
+NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "search", "input"} | RAW
 ENDS_P = BLOCKS - {"option", "optgroup", "legend", "summary", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "status", "toolbar"}
-NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "replies", "reply", "disqus", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "widget", "widgets", "skip", "legal", "copyright", "login", "search", "tags"}
+# Class names and ids that say an element is of a kind that holds no main text.
+MENUS = {"menu", "nav", "navbar", "sidenav", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "share", "sharing", "social"}
+HEADERS_AND_FOOTERS = {"masthead", "footer"}
+SIDEBARS = {"sidebar"}
+NOTICES = {"cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal"}
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner"}
+FORMS = {"newsletter", "subscribe", "subscription", "signup"}
 COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "reply", "disqus"}
+NOISE_WORDS = MENUS | HEADERS_AND_FOOTERS | SIDEBARS | NOTICES | ADVERTS | FORMS | COMMENTS
 #: Attributes by which an inline element may say that it holds no main text.
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 #: Elements that a new one of the same kind closes, unless one of the named lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Kinds of nodes that are running text where a page marks an article or main part: copies of one article on a
-#: host don't make them boilerplate.
-PROSE = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 P_SCOPE = {"td", "th", "table", "button", "caption", "article", "section", "div", "body", "main", "li", "blockquote"}
 
 
@@ -103,7 +117,7 @@ def _label(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool,
     if not noise and tag not in ("html", "body", "main", "article"):
         named = 2 if words & COMMENTS else 1 if words & NOISE_WORDS else 0
     elif tag == "article":
-        noise = bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
+        noise = bool(words & (COMMENTS | ADVERTS))
     name = tag + "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "", found.get("class", "")).lower().split()))) + (f"#{re.sub(r'[0-9]+', '', found['id']).lower()}" if "id" in found else "")
     return name, noise, named
 
@@ -213,15 +227,18 @@ def _judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
         n.noise = n.noise or nodes[n.parent].noise or bool(n.named and (2 * m <= mass[0] or (n.named == 2 and (n.inside or not marked))))
 
 
-def main_text(page: str, removed: set[int] | None = None) -> str:
-    """The text blocks of a page that lie in no removed branch, one to a line.
+def leaf(chain: int, text: str) -> int:
+    """The code of a text as content of a node."""
+    return code(f"{chain}={text}")
+
+
+def main_text(page: str, removed: set[int] | frozenset[int] = frozenset()) -> str:
+    """The text blocks of a page that lie in no removed branch, one to a line; ``removed``: codes of nodes and leaves.
 
     Where articles, or else a main part, hold at least half of the characters left, the blocks of those; else all.
     """
     nodes, blocks = parse(page)
-    removed = removed or set()
-    # a branch goes when all nodes in it that have text go
-    kept = [(n, t) for n, t in blocks if not nodes[n].noise and nodes[n].chain not in removed]
+    kept = [(n, t) for n, t in blocks if not nodes[n].noise and not (removed and (nodes[n].chain in removed or leaf(nodes[n].chain, t) in removed))]
     for wanted in ("article", "main"):
         within = [False] * len(nodes)
         for k, n in enumerate(nodes):
@@ -232,20 +249,19 @@ def main_text(page: str, removed: set[int] | None = None) -> str:
     return "\n".join(t for _, t in kept)
 
 
-def page_features(page: str) -> tuple[int, set[tuple[int, int, int, int]]]:
-    """A code of a page's content (its text outside noise) and its distinct (chain, parent chain, kind, feature):
-    0 presentations, 1 contents."""
+def page_features(page: str) -> tuple[int, set[tuple[int, int, int]]]:
+    """A code of a page's content (its text outside noise) and its distinct (chain, kind, feature):
+    0 presentations, 1 contents (the codes of leaves)."""
     nodes, blocks = parse(page)
-    out = set()
-    for n in nodes[1:]:
+    styles: dict[int, set[str]] = {}
+    for n in nodes:
         if not n.noise:
-            style = "".join(f"{c}," for k, c in enumerate(n.children) if not k or n.children[k - 1] != c)
-            out.add((n.chain, nodes[n.parent].chain, 0, code(style)))
-    for k, t in blocks:
-        marked = nodes[k].inside or nodes[k].tag in ("article", "main")
-        if not nodes[k].noise and not (marked and nodes[k].tag in PROSE):
-            out.add((nodes[k].chain, nodes[nodes[k].parent].chain if k else 0, 1, code(t)))
-    return code("\n".join(f"{nodes[k].chain} {t}" for k, t in blocks if not nodes[k].noise)), out
+            styles.setdefault(n.chain, set()).add("".join(f"{c}," for k, c in enumerate(n.children) if not k or n.children[k - 1] != c))
+    # a chain may stand for several elements of a page, which present it together
+    out = {(c, 0, code(";".join(sorted(s)))) for c, s in styles.items()}
+    texts = [(nodes[k].chain, t) for k, t in blocks if not nodes[k].noise]
+    out.update((c, 1, leaf(c, t)) for c, t in texts)
+    return code("\n".join(f"{c} {t}" for c, t in texts)), out
 
 
 def _host(url_col: str) -> Column:
@@ -253,74 +269,68 @@ def _host(url_col: str) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "://([^/?#]*)", 1), upper, lower)
 
 
-def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html", decay: float = 0.9) -> DataFrame:
-    """``host, chain, parent, pages, presentation, content, importance`` of every node of the style trees.
-
-    The importance of a node is (1 - decay) * presentation + decay * content; without text of its own, its
-    presentation. A branch holds main text if one of its nodes with text does (see ``low_branches``).
-    """
+def feature_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, chain, kind, feature, k``: in how many of the host's distinct pages each feature of a node occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            per = {}
+            per: dict[tuple[str, int], set] = {}
             for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 content, found = page_features(page.as_py())
                 per.setdefault((h, content), set()).update(found)
             rows = [(h, content, *f) for (h, content), found in per.items() for f in found]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int64())], names=["host", "content", "chain", "parent", "kind", "feature"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = {"host": pa.string(), "content": pa.int64(), "chain": pa.int64(), "kind": pa.int32(), "feature": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=[*kinds])
+
+    html = F.coalesce(F.col(html_col), F.lit("")).alias("html")
+    found = pages.select(_host(url_col).alias("host"), html).mapInArrow(run, "host string, content long, chain long, kind int, feature long")
+    return found.distinct().groupBy("host", "chain", "kind", "feature").agg(F.count("*").alias("k"))
 
-    found = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, "host string, content long, chain long, parent long, kind int, feature long")
-    counts = found.distinct().groupBy("host", "chain", "kind", "feature").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
+
+def importance(counts: DataFrame, decay: float = 0.9, prior: float = 2.0) -> DataFrame:
+    """``host, chain, pages, presentation, content, importance`` of every node with text of its own.
+
+    The importance is (1 - decay) * presentation + decay * content, each from 0 to 1.
+    """
     node = counts.groupBy("host", "chain").agg(
-        F.min("parent").alias("parent"),
         F.sum(F.when(F.col("kind") == 0, F.col("k")).otherwise(0)).alias("pages"),
         F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log("k")).otherwise(0.0)).alias("__style"),
         F.avg(F.when(F.col("kind") == 1, F.log("k"))).alias("__text"),
     )
-    m, base = F.col("pages"), F.log(F.col("pages").cast("double"))
-    return node.select(
-        "host", "chain", "parent", "pages",
-        F.when(m > 1, F.greatest(F.lit(0.0), (base - F.col("__style") / m) / base)).otherwise(1.0).alias("presentation"),
-        F.when(F.col("__text").isNotNull(), F.when(m > 1, F.greatest(F.lit(0.0), 1 - F.col("__text") / base)).otherwise(1.0)).alias("content"),
-    ).withColumn("importance", (1 - decay) * F.col("presentation") + decay * F.coalesce(F.col("content"), F.col("presentation")))
+    base, m = F.log(F.col("pages") + prior), F.col("pages")
+    shown = F.greatest(F.lit(0.0), F.log(m) - F.col("__style") / m) / base
+    node = node.where("__text IS NOT NULL").select("host", "chain", "pages", F.when(m > 1, shown).otherwise(1.0).alias("presentation"), (1 - F.col("__text") / base).alias("content"))
+    return node.withColumn("importance", (1 - decay) * F.col("presentation") + decay * F.col("content"))
 
 
-def low_branches(nodes: DataFrame, threshold: float = 0.2, least_pages: int = 8) -> DataFrame:
-    """``host, chain``: nodes with text of their own whose importance is below the threshold."""
-    return nodes.where((F.col("pages") >= least_pages) & F.col("content").isNotNull() & (F.col("importance") < threshold)).select("host", "chain")
+def low_branches(counts: DataFrame, nodes: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, prior: float = 2.0, salts: int = 16) -> DataFrame:
+    """``host, code``: nodes of low importance, and low leaves of the other nodes."""
+    low = F.col("importance") < threshold
+    rest = nodes.where(~low).select("host", "chain", "pages", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    leaves = counts.where("kind = 1 AND k > 1").select("host", "chain", "feature", "k", F.pmod("feature", F.lit(salts)).cast("int").alias("__salt"))
+    recurs = 1 - F.log("k") / F.log(F.col("pages") + prior) < leaf_threshold
+    leaves = leaves.join(rest, ["host", "chain", "__salt"]).where(recurs).select("host", F.col("feature").alias("code"))
+    return nodes.where(low).select("host", F.col("chain").alias("code")).union(leaves)
 
 
-def extract(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8, broadcast_rows: int = 500_000, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, decay: float = 0.9, prior: float = 2.0, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text`` of every page."""
-    spark = pages.sparkSession
-    low, _ = materialize(low_branches(importance(pages, url_col, html_col), threshold, least_pages), "style-tree")
+    counts, counts_path = materialize(feature_counts(pages, url_col, html_col), "style-features")
+    nodes, nodes_path = materialize(importance(counts, decay, prior), "style-nodes")
+    low, _ = materialize(low_branches(counts, nodes, threshold, leaf_threshold, prior), "style-tree")
+    for path in (counts_path, nodes_path):
+        remove(pages.sparkSession, path)
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{url_col}` string, text string"
     source = pages.select(id_col, url_col, F.coalesce(F.col(html_col), F.lit("")).alias("__html"), _host(url_col).alias("__host"))
 
-    def texts(b: pa.RecordBatch, of) -> pa.RecordBatch:
-        made = [main_text(page.as_py(), of(k)) for k, page in enumerate(b.column(2))]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=[id_col, url_col, "text"])
-
-    if low.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
-        for host, chain in low.collect():
-            by_host.setdefault(host, set()).add(chain)
-        shared = spark.sparkContext.broadcast(by_host)
-
-        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hosts = b.column(3)
-                yield texts(b, lambda k: shared.value.get(hosts[k].as_py()))
-
-        return source.mapInArrow(few, schema)
-
-    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
-            yield texts(b, lambda k: set(lists[k].as_py() or ()))
+            texts = [main_text(page.as_py(), frozenset(codes.as_py() or ())) for page, codes in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    trees = low.groupBy(F.col("host").alias("__host")).agg(F.collect_list("chain").alias("__chains")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    trees = low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("code").alias("__codes"))
+    trees = trees.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = source.withColumn("__salt", F.pmod(F.xxhash64(id_col, url_col), F.lit(salts)).cast("int"))
-    return salted.join(trees, ["__host", "__salt"], "left").select(id_col, url_col, "__html", "__chains").mapInArrow(many, schema)
+    met = salted.join(trees, ["__host", "__salt"], "left").select(id_col, url_col, "__html", "__codes")
+    return met.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")
