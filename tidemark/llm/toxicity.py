@@ -1,65 +1,87 @@
 """A counterfactual-regularised toxicity classifier.
 
-Features of a text are counts over its distinct words: each word and its first 3 to 6 letters. A logistic
-model with an L1 term is fitted to labelled texts. For every labelled text that names a group of people the
-identity terms are swapped for others of their kind, and the squared change of the score's logit between
-the two is part of the loss, so the model gains little from who is named and neutral mentions stay low.
-
-The fit runs on a bounded sample of labelled rows (``per_class`` of either label at most, those of the least
-hashed id; class weights restore the shares of all labelled rows); scoring covers every document in one
-narrow pass. The model is a table of at most ``max_features`` words and word beginnings.
+Features of a text are counts over its distinct words: each word and its first 3 to 6 letters, hashed into
+``BUCKETS`` columns, so none is left out. A logistic model with an L1 term is fitted to labelled texts. For every
+labelled text that names a group of people the identity terms are swapped for others of their kind, and the
+squared change of the score's logit is part of the loss. Labelled texts may name few groups or none; so every
+term of the list also stands for a neutral mention added to a labelled sentence: swapping it for the next of its
+kind changes that text by the features of the two words alone, and these changes are penalised alike. Each kind
+ends in a word for people at large, so a kind isn't heavier as a whole either. The mentions carry no labels.
+
+The fit runs on a bounded sample of labelled rows: ``per_class`` of either label at most, those of the least
+hashed id, as long as they have ``most_cells`` feature counts together; class weights restore the shares of all
+labelled rows. Tasks make the feature rows; texts don't reach the driver. Scoring covers every document in one
+narrow pass.
 
 Cases: null and empty texts get the intercept's score; null labels or ids don't count; an id with several
-labels counts as toxic if one of them is; with labels of one class alone every text gets that class's
-share; without labels the score is 0; repeated rows give repeated results; other columns are neither read
-nor needed; an empty table gives an empty result.
+labels counts as toxic if one of them is; of several texts of an id the least is learnt from; with labels of one class
+alone every text gets that class's share; without labels the score is 0; repeated rows give repeated results; other
+columns are neither read nor needed, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, text_or_empty
+from .common import CACHE_ENTRIES, materialize, remove, text_or_empty
 
-#: Identity terms that stand for one another, by kind.
+# Identity terms that stand for one another, by kind; the last of each names people at large.
 IDENTITY_TERMS = [
-    ["women", "men"],
-    ["woman", "man"],
-    ["girls", "boys"],
-    ["christians", "muslims", "jews", "hindus", "buddhists", "atheists"],
-    ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist"],
-    ["black", "white", "asian", "latino", "indigenous"],
-    ["gay", "lesbian", "bisexual", "straight", "transgender"],
-    ["immigrants", "refugees", "locals", "citizens"],
-    ["american", "chinese", "indian", "mexican", "french", "german", "spanish", "russian", "nigerian"],
-    ["blind", "deaf", "disabled", "elderly", "young"],
+    ["women", "men", "people"],
+    ["woman", "man", "person"],
+    ["girls", "boys", "children"],
+    ["christians", "muslims", "jews", "hindus", "buddhists", "atheists", "believers"],
+    ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "human"],
+    ["black", "white", "asian", "latino", "indigenous", "human"],
+    ["gay", "lesbian", "bisexual", "straight", "transgender", "human"],
+    ["immigrants", "refugees", "locals", "citizens", "people"],
+    ["american", "chinese", "indian", "mexican", "french", "german", "spanish", "russian", "nigerian", "foreign"],
+    ["blind", "deaf", "disabled", "elderly", "young", "human"],
+    ["frauen", "männer", "menschen"],
+    ["christen", "muslime", "juden", "hindus", "leute"],
+    ["ausländer", "flüchtlinge", "einheimische", "leute"],
+    ["femmes", "hommes", "gens"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "gens"],
+    ["étrangers", "réfugiés", "habitants", "gens"],
+    ["mujeres", "hombres", "gente"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "gente"],
+    ["extranjeros", "refugiados", "vecinos", "gente"],
 ]
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Columns that features are hashed into.
+BUCKETS = 1 << 20
+
+
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
 
 
-def word_features(word: str) -> list[str]:
-    """The features of one white-space-separated, lower-cased word."""
+def word_features(word: str) -> list[int]:
+    """The columns of one white-space-separated, lower-cased word."""
     out = []
     for w in LETTERS.findall(word):
-        out.append("=" + w)
-        out += [w[:k] for k in (3, 4, 5, 6) if len(w) >= k]
+        out.append(bucket("=" + w))
+        out += [bucket(w[:k]) for k in (3, 4, 5, 6) if len(w) >= k]
     return out
 
 
 def swap_terms(text: str, terms: list[list[str]] = IDENTITY_TERMS) -> str:
-    """The lower-cased text with every identity term replaced by the next of its kind."""
-    after = {w: kind[(k + 1) % len(kind)] for kind in terms for k, w in enumerate(kind)}
+    """The lower-cased text with every identity term replaced by the next of its kind (the first that lists it)."""
+    after: dict[str, str] = {}
+    for kind in terms:
+        for k, w in enumerate(kind[:-1]):
+            after.setdefault(w, kind[k + 1])
     return LETTERS.sub(lambda m: after.get(m[0], m[0]), text.lower())
 
 
@@ -67,116 +89,147 @@ def text_features(text: str) -> Counter:
     return Counter(f for w in set(text.lower().split()) for f in word_features(w))
 
 
+def changes(text: str, terms: list[list[str]] = IDENTITY_TERMS) -> Counter:
+    """What swapping a text's identity terms changes of its features."""
+    out = text_features(text)
+    out.subtract(text_features(swap_terms(text, terms)))
+    return Counter({f: v for f, v in out.items() if v})
+
+
+def mentions(terms: list[list[str]] = IDENTITY_TERMS) -> list[Counter]:
+    """What swapping the one term of an added neutral mention changes, for every term but the last of a kind."""
+    return [c for kind in terms for w in kind[:-1] if (c := changes(w, terms))]
+
+
 @dataclass
 class ToxicityModel:
+    """Weights by column; ``counterfactuals`` counts the swapped texts and mentions of the penalty."""
+
     intercept: float = -math.inf
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
+    counterfactuals: tuple[int, int] = (0, 0)
 
     def word_weight(self, word: str) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in word_features(word))
 
 
-class _Rows:
-    """Sparse rows with products; ``x @ w`` and ``x.T @ r``. Rows come one by one, as (column, value) pairs."""
+class SparseRows:
+    """Rows of (column, value) cells, held by row and by column, for products with vectors."""
 
-    def __init__(self, rows: Iterable[Iterable[tuple[int, float]]], width: int):
-        columns, values, sizes = array("i"), array("f"), []
-        for pairs in rows:
-            before = len(columns)
-            for c, v in pairs:
-                columns.append(c)
-                values.append(v)
-            sizes.append(len(columns) - before)
-        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.column, self.value = np.array(columns, np.int32), np.array(values, np.float32)
+    def __init__(self, sizes: np.ndarray, column: np.ndarray, value: np.ndarray, width: int):
         self.shape = len(sizes), width
+        self.column, self.value = column.astype(np.int32), value.astype(np.float32)
+        self.row_at, self.row_start = self._starts(np.asarray(sizes, np.int64))
+        order = np.argsort(self.column, kind="stable")
+        self.by_row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.by_value = self.value[order]
+        self.column_at, self.column_start = self._starts(np.bincount(self.column, minlength=width))
+
+    @staticmethod
+    def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(sizes)
+        return at, (np.cumsum(sizes) - sizes)[at]
+
+    @staticmethod
+    def _sums(cells: np.ndarray, at: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(at):
+            out[at] = np.add.reduceat(cells, start)
+        return out
 
     def spread(self, least: float) -> np.ndarray:
         """Root mean squares of the columns, ``least`` at least."""
-        return np.maximum(np.sqrt(np.bincount(self.column, self.value**2, self.shape[1]) / max(1, self.shape[0])), least)
-
-    def divide(self, by: np.ndarray) -> None:
-        self.value = (self.value / by[self.column]).astype(np.float32)
+        squares = self._sums(self.by_value.astype(np.float64) ** 2, self.column_at, self.column_start, self.shape[1])
+        return np.maximum(np.sqrt(squares / max(1, self.shape[0])), least)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+        return self._sums(self.value * w[self.column], self.row_at, self.row_start, self.shape[0])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * r[self.row], self.shape[1])
+        return self._sums(self.by_value * r[self.by_row], self.column_at, self.column_start, self.shape[1])
+
+
+def gradient(x: SparseRows, swaps: SparseRows, y: np.ndarray, weight: np.ndarray, w: np.ndarray, b: float, fairness: float, l2: float) -> tuple[np.ndarray, float]:
+    """Of the weighted log loss, ``l2 / 2 * |w|^2`` and ``fairness`` times the mean squared change of a logit."""
+    r = weight * (1 / (1 + np.exp(-np.clip(x.times(w) + b, -40, 40))) - y)
+    g = x.back(r) + l2 * w
+    if swaps.shape[0]:
+        g += 2 * fairness / swaps.shape[0] * swaps.back(swaps.times(w))
+    return g, float(r.sum())
+
+
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]  # sizes of rows, columns, values
+
+
+def cells(rows: list[Counter]) -> Cells:
+    return np.array([len(r) for r in rows], np.int64), np.array([f for r in rows for f in r], np.int32), np.array([v for r in rows for v in r.values()], np.float32)
+
+
+def _joined(a: Cells, b: Cells) -> Cells:
+    return tuple(np.concatenate(p) for p in zip(a, b, strict=True))
 
 
-def fit_texts(texts: list[str], toxic: list[int], class_weight: dict[int, float], fairness: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, max_features: int = 20_000, rounds: int = 300, terms: list[list[str]] = IDENTITY_TERMS) -> ToxicityModel:
-    """The model of labelled texts. Deterministic for a given order of texts."""
-    y = np.array(toxic, np.float64)
+def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict[int, float], fairness: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, least_texts: int = 3, rounds: int = 300, terms: list[list[str]] = IDENTITY_TERMS) -> ToxicityModel:
+    """The model of labelled feature rows; ``swapped``: the changes of those that name groups. Deterministic for
+    a given order of rows. Columns of fewer than ``least_texts`` texts have no weight."""
+    y = np.asarray(toxic, np.float64)
     if not len(y):
         return ToxicityModel()
-    weight = np.array([class_weight[t] for t in toxic], np.float64)
+    weight = np.where(y > 0, class_weight.get(1, 1.0), class_weight.get(0, 1.0))
     share = float((weight * y).sum() / weight.sum())
     if share in (0.0, 1.0):
         return ToxicityModel(math.inf if share else -math.inf)
-    # texts are taken apart one at a time, in each pass anew: their features together would fill the driver
-    seen = {1: Counter(), 0: Counter()}
-    for text, t in zip(texts, toxic, strict=True):
-        seen[t].update(text_features(text).keys())
-    # the features whose frequencies differ most between the labels, by a log-likelihood ratio
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-
-    def divergence(a: float, b: float) -> float:
-        p1, p0, p = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n1 + n0 + 2)
-        part = lambda k, n, q: k * math.log(q / p) + (n - k) * math.log((1 - min(q, 1 - 1e-9)) / (1 - min(p, 1 - 1e-9)))
-        return part(a, n1, p1) + part(b, n0, p0)
-
-    rated = sorted(((divergence(seen[1][f], seen[0][f]), f) for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= 3), key=lambda x: (-x[0], x[1]))
-    names = [f for _, f in rated[:max_features]]
-    del seen, rated
-    index = {f: k for k, f in enumerate(names)}
-    chosen = lambda f: ((index[g], float(v)) for g, v in f.items() if v and g in index)
-    x = _Rows((chosen(text_features(t)) for t in texts), len(names))
-    known = {w for kind in terms for w in kind}
-
-    def changes() -> Iterator[Iterable[tuple[int, float]]]:
-        for t in texts:
-            if not known.isdisjoint(LETTERS.findall(t.lower())):
-                d = text_features(t)
-                d.subtract(text_features(swap_terms(t, terms)))
-                yield chosen(d)
-
-    swaps = _Rows(changes(), len(names))
-    swapped = max(1, swaps.shape[0])
-    spread = x.spread(0.1)  # columns of one scale: few rounds suffice, and the L1 term treats them alike
-    x.divide(spread)
-    swaps.divide(spread)
+    named = cells(mentions(terms))
+    counted = len(swapped[0]), len(named[0])
+    swapped = _joined(swapped, named)
+    used = np.flatnonzero(np.bincount(texts[1], minlength=BUCKETS) >= least_texts)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+
+    def kept(rows: Cells) -> Cells:
+        at = place[rows[1]]
+        ok = at >= 0
+        row = np.repeat(np.arange(len(rows[0])), rows[0])[ok]
+        return np.bincount(row, minlength=len(rows[0])), at[ok], rows[2][ok]
+
+    size, column, value = kept(texts)
+    del texts
+    if not len(used):
+        return ToxicityModel(math.log(share / (1 - share)), {}, counted)
+    # columns of one scale: few rounds suffice, and the L1 term treats them alike
+    spread = SparseRows(size, column, value, len(used)).spread(0.1)
+    x = SparseRows(size, column, value / spread[column], len(used))
+    size, column, value = kept(swapped)
+    swaps = SparseRows(size, column, value / spread[column], len(used))
     weight = weight / weight.sum()
-
-    def gradient(w, b):
-        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -40, 40)))
-        r = weight * (p - y)
-        g = x.back(r) + l2 * w
-        g += 2 * fairness / swapped * swaps.back(swaps.times(w))
-        return g, float(r.sum())
-
     # the step is the inverse of the curvature's bound, found by power iteration
-    v = np.ones(len(names)) / math.sqrt(len(names))
-    vb, bound = 1.0, 1.0
+    v, vb, bound = np.ones(len(used)) / math.sqrt(len(used)), 1.0, 1.0
     for _ in range(20):
         q = x.times(v) + vb
         u, ub = 0.25 * x.back(weight * q) + l2 * v, 0.25 * float((weight * q).sum())
-        u = u + 2 * fairness / swapped * swaps.back(swaps.times(v))
+        u = u + 2 * fairness / max(1, swaps.shape[0]) * swaps.back(swaps.times(v))
         bound = math.sqrt(float(u @ u) + ub * ub)
         v, vb = u / bound, ub / bound
     step = 1 / (1.1 * bound)
-    w, b = np.zeros(len(names)), math.log(share / (1 - share))
+    w, b = np.zeros(len(used)), math.log(share / (1 - share))
     zw, zb, momentum = w, b, 1.0
     for _ in range(rounds):
-        g, gb = gradient(zw, zb)
+        g, gb = gradient(x, swaps, y, weight, zw, zb, fairness, l2)
         new = zw - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = zb - step * gb
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         zw, zb = new + (momentum - 1) / after * (new - w), nb + (momentum - 1) / after * (nb - b)
         w, b, momentum = new, nb, after
-    return ToxicityModel(b, {n: float(c) for n, c in zip(names, w / spread, strict=True) if c})
+    weights = {int(n): float(c) for n, c in zip(used, w / spread, strict=True) if c}
+    return ToxicityModel(b, weights, counted)
+
+
+def fit_texts(texts: list[str], toxic: list[int], class_weight: dict[int, float], terms: list[list[str]] = IDENTITY_TERMS, **options) -> ToxicityModel:
+    """The model of labelled texts at hand."""
+    swapped = [c for t in texts if (c := changes(t, terms))]
+    return fit_rows(cells([text_features(t) for t in texts]), cells(swapped), np.array(toxic), class_weight, terms=terms, **options)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -184,19 +237,56 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> ToxicityModel:
-    """Fits to the labelled documents outside the held-out fold, at most ``per_class`` of either label."""
+def feature_rows(texts: DataFrame, terms: list[list[str]] = IDENTITY_TERMS) -> DataFrame:
+    """``__id, columns, counts, swap_columns, swap_counts`` of every ``__id, __text``."""
+    kind = texts.schema["__id"].dataType.simpleString()
+    lists = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in batches:
+            for k in range(b.num_rows):  # a row at a time: one may be very long
+                text = b.column(1)[k].as_py()
+                words = set(text.lower().split())
+                for w in words.difference(known):
+                    known[w] = word_features(w)
+                found, swap = Counter(f for w in words for f in known[w]), changes(text, terms)
+                rows = [list(found), list(found.values()), list(swap), list(swap.values())]
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *(pa.array([r], lists) for r in rows)], names=["__id", "columns", "counts", "swap_columns", "swap_counts"])
+
+    return texts.select("__id", "__text").mapInArrow(run, f"__id {kind}, columns array<int>, counts array<int>, swap_columns array<int>, swap_counts array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_cells: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms: list[list[str]] = IDENTITY_TERMS, **options) -> ToxicityModel:
+    """Fits to the labelled documents outside the held-out fold: at most ``per_class`` of either label, and of
+    these as many, by hashed id, as have ``most_cells`` feature counts (8 bytes each in the driver) together."""
+    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("__toxic"))
     total = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
     chosen = [r for t in (0, 1) for r in known.where(F.col("__toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(per_class).collect()]
     if not chosen:
         return ToxicityModel()
     toxic = dict((r[0], r[1]) for r in chosen)
-    wanted = docs.sparkSession.createDataFrame(chosen, known.schema)  # 2 * per_class rows at most
-    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id").agg(F.min("__text").alias("__text")).collect()
-    rows.sort(key=lambda r: r[0])
-    drawn = Counter(toxic[r[0]] for r in rows)
-    return fit_texts([r[1] for r in rows], [toxic[r[0]] for r in rows], {t: total[t] / n for t, n in drawn.items()}, **options)
+    wanted = spark.createDataFrame(chosen, known.schema)  # 2 * per_class rows at most
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id").agg(F.min("__text").alias("__text"))
+    rows, path = materialize(feature_rows(texts, terms), "toxicity-features")
+    before = F.sum(F.size("columns")).over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1))  # 2 * per_class rows at most
+    fits = rows.select("__id", F.coalesce(before, F.lit(0)).alias("__before")).where(F.col("__before") <= most_cells).select("__id")
+    got = rows.join(F.broadcast(fits), "__id").orderBy("__id").toArrow().combine_chunks()
+    remove(spark, path)
+    if not got.num_rows:
+        return ToxicityModel()
+
+    def taken(columns: str, counts: str) -> Cells:
+        c, v = got.column(columns).combine_chunks(), got.column(counts).combine_chunks()
+        size = c.value_lengths().to_numpy()
+        return size[size > 0] if columns != "columns" else size, c.flatten().to_numpy(), v.flatten().to_numpy().astype(np.float32)
+
+    y = [toxic[i] for i in got.column("__id").to_pylist()]
+    drawn = Counter(y)
+    return fit_rows(taken("columns", "counts"), taken("swap_columns", "swap_counts"), np.array(y), {t: total[t] / n for t, n in drawn.items()}, terms=terms, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
