@@ -28,9 +28,10 @@ def brute_rule(url, rules, default="allow"):
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_url_rules_by_filters_and_by_joins(spark, limit):
+def test_url_rules_by_one_cascade_and_by_shards(spark, limit):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:5])] + [(None, "http://a.org/", "y")], "page_id long, url string, rule string")
-    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    nulls = [(None, "/", "block"), ("org", None, "block"), ("org", "/", None), ("org", "/x", "maybe")]
+    rules = spark.createDataFrame(queries.URL_RULES + nulls, "host string, path string, verdict string")
     got = url_rules.judge(pages, rules, max_filter_bytes=limit).select("page_id", "host", "path", "rule", "verdict").collect()
     want = [(r.page_id, *brute_rule(r.url, queries.URL_RULES)) for r in pages.collect()]
     assert Counter(map(tuple, got)) == Counter(want)

@@ -5,10 +5,10 @@ trie over UTF-8 bytes followed by the replacement strings) and records, for each
 original byte it came from. Pieces cover the normalised bytes without gaps, so their lengths add up to
 positions there and the record projects every piece to its span of original bytes.
 
-Models that normalise by identity split a text at the borders before spaces: no piece but those made of
-spaces alone holds a space after its first character, so stretches encode independently, and a bounded
-cache of stretches saves most of the library's work. Models that break this rule, or that have a
-character map, are encoded as whole texts.
+Ids come from those normalised bytes: they go to a processor of the same pieces whose own normalisation is
+switched off. Where no piece but those made of spaces alone holds a space after its first character, a normalised
+text falls apart at the borders before spaces into stretches that encode independently, and a bounded cache of
+stretches saves most of the library's work. Models that break this rule are encoded as whole texts.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows give repeated
 results; no other column than the two named is read; null doc_ids pass through; very long texts are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,28 +67,45 @@ class CharacterMap:
 
 
 class OffsetEncoder:
-    """One per Python worker; ``encode`` gives ids, ``spans`` their original byte spans."""
+    """One per Python worker; ``normalize`` gives normalised bytes and their places, ``encode`` ids, ``spans`` their
+    original byte spans."""
 
     def __init__(self, model: str):
         with open(model, "rb") as f:
             spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         norm = spec.normalizer_spec
         self.map = CharacterMap(norm.precompiled_charsmap)
         self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
+        self.suffix = spec.trainer_spec.treat_whitespace_as_suffix
         self.space = (SPACE if norm.escape_whitespaces else " ").encode()
         pieces = [p.piece for p in spec.pieces]
         self.width = np.array([1 if BYTE_PIECE.match(p) else len(p.encode()) for p in pieces], np.int64)
         self.unknown = spec.trainer_spec.unk_id
+        self.own = sorted((p.piece.encode() for p in spec.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.stretches = not (inner or self.map.units or self.squeeze) and self.prefix and norm.escape_whitespaces and spec.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in spec.pieces)
-        self.one_space = np.array([self.library.piece_to_id(SPACE)], np.int32).tobytes()
+        self.stretches = not (inner or self.own or self.suffix) and norm.escape_whitespaces and spec.trainer_spec.byte_fallback
+        self.plain = not (self.map.units or self.squeeze or self.own or self.suffix)
+        # the same pieces without any normalisation: what it encodes are our bytes
+        norm.precompiled_charsmap, norm.name = b"", "identity"
+        norm.add_dummy_prefix = norm.remove_extra_whitespaces = norm.escape_whitespaces = False
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.known: dict[str, bytes] = {}
 
+    def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Bytes read at a place and what they become: an own symbol as it is, else by the longest prefix in the map."""
+        for symbol in self.own:
+            if data.startswith(symbol, at):
+                return len(symbol), symbol
+        if found := self.map.longest(data, at):
+            return found
+        n = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+        return n, data[at : at + n]
+
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) the original byte it stands at."""
         data = text.encode()
-        if not (self.map.units or self.squeeze):
+        if self.plain:
             if not data:
                 return b"", np.zeros(1, np.int64)
             raw = np.frombuffer(data, np.uint8)
@@ -96,53 +114,57 @@ class OffsetEncoder:
             lead = self.space if self.prefix else b""
             return lead + data.replace(b" ", self.space), np.concatenate([np.zeros(len(lead), np.int64), place])
         out, place, at = bytearray(), [], 0
-        read = lambda i: self.map.longest(data, i) or ((n := 1 + (data[i] >= 0xC0) + (data[i] >= 0xE0) + (data[i] >= 0xF0)), data[i : i + n])
         if self.squeeze:
-            while at < len(data) and (step := read(at))[1] in (b" ", b""):
+            while at < len(data) and (step := self._step(data, at))[1] == b" ":
                 at += step[0]
-        spaced = self.squeeze
-        if at < len(data) and self.prefix:
+        if at == len(data):
+            return b"", np.zeros(1, np.int64)
+        if self.prefix and not self.suffix:
             out += self.space
             place += [at] * len(self.space)
+        spaced = self.squeeze
         while at < len(data):
-            n, made = read(at)
-            if spaced and self.squeeze:
+            n, made = self._step(data, at)
+            if spaced:
                 made = made.lstrip(b" ")
             if made:
-                made_out = made.replace(b" ", self.space)
-                out += made_out
-                place += [at] * len(made_out)
                 spaced = made.endswith(b" ")
+                made = made.replace(b" ", self.space)
+                out += made
+                place += [at] * len(made)
             at += n
-            if not self.squeeze:
-                spaced = False
-        end = at
+            spaced = spaced and self.squeeze
         if self.squeeze:
             while out.endswith(self.space):
                 del out[-len(self.space) :]
-                end = place[-len(self.space)]
+                at = place[-len(self.space)]
                 del place[-len(self.space) :]
-        return bytes(out), np.array([*place, end], np.int64)
+        if self.prefix and self.suffix:
+            out += self.space
+            place += [at] * len(self.space)
+        return bytes(out), np.array([*place, at], np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_normalized([self.normalize(t)[0] for t in texts])
+
+    def encode_normalized(self, normalized: list[bytes]) -> list[np.ndarray]:
+        """The ids of normalised texts."""
+        texts = [n.decode() for n in normalized]
         if not self.stretches:
-            return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
+            return [np.array(x, np.int32) for x in self.pieces.encode(texts, num_threads=1)]
         out = []
         for lo, hi in slices(texts):
-            parts = [STRETCH.findall(" " + t) if t else [] for t in texts[lo:hi]]
+            parts = [STRETCH.findall(t) for t in texts[lo:hi]]
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
             new = list(set().union(*parts).difference(self.known))
-            # the library puts the first space itself; alone it would encode to nothing
-            for w, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1), strict=True):
-                self.known[w] = np.array(ids, np.int32).tobytes() if w not in (" ", SPACE) else self.one_space
+            self.known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(new, self.pieces.encode(new, num_threads=1), strict=True))
             get = self.known.__getitem__
             out += [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
         return out
 
-    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Start and end of every piece in the original UTF-8 bytes, shape (n, 2)."""
-        norm, place = self.normalize(text)
+    def spans(self, norm: bytes, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Start and end in the original UTF-8 bytes of every piece of a normalised text, shape (n, 2)."""
         width = self.width[ids]
         if not self.stretches and (ids == self.unknown).any():
             # an unknown piece covers what the pieces around it leave
@@ -150,7 +172,7 @@ class OffsetEncoder:
         end = np.cumsum(width)
         if len(ids) and end[-1] != len(norm):
             raise ValueError("pieces don't cover the normalised text")
-        # a piece made of the dummy prefix, or of bytes of one replaced character, gets the character it belongs to
+        # a piece of the dummy prefix alone is empty; bytes of one replaced character span all of it or nothing
         return np.stack([place[end - width], place[end]], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
     def _with_unknown(self, norm: bytes, ids: np.ndarray) -> np.ndarray:
@@ -172,9 +194,9 @@ class OffsetEncoder:
 def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "starts", "ends", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``outputs``: any of ``ids``, ``starts``, ``ends`` (spans in original UTF-8 bytes),
     ``decoded``, and the digests ``n_tokens``, ``spanned_bytes`` (original bytes that the spans cover),
-    ``ids_sha256``, ``decoded_sha256``, which spare sending arrays out of the worker. One narrow pass.
+    ``spans_crc32`` (of all starts and ends as little-endian 64-bit numbers), ``ids_sha256``, ``decoded_sha256``, which spare sending arrays out of the worker. One narrow pass.
     """
-    types = {"ids": (pa.list_(pa.int32()), "array<int>"), "starts": (pa.list_(pa.int64()), "array<long>"), "ends": (pa.list_(pa.int64()), "array<long>"), "decoded": (pa.string(), "string"), "n_tokens": (pa.int64(), "long"), "spanned_bytes": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+    types = {"ids": (pa.list_(pa.int32()), "array<int>"), "starts": (pa.list_(pa.int64()), "array<long>"), "ends": (pa.list_(pa.int64()), "array<long>"), "decoded": (pa.string(), "string"), "n_tokens": (pa.int64(), "long"), "spanned_bytes": (pa.int64(), "long"), "spans_crc32": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +204,11 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "star
         written = [str(i) for i in range(coder.library.get_piece_size())]
         for b in batches:
             all_texts = b.column(1).to_pylist()
-            for lo, hi in slices(all_texts, 1 << 23):
+            for lo, hi in slices(all_texts, 1 << 21):
                 texts = all_texts[lo:hi]
-                ids = coder.encode(texts)
-                spans = [coder.spans(t, x) for t, x in zip(texts, ids, strict=True)] if {"starts", "ends", "spanned_bytes"} & {*outputs} else []
+                normal = [coder.normalize(t) for t in texts]
+                ids = coder.encode_normalized([n for n, _ in normal])
+                spans = [coder.spans(*n, x) for n, x in zip(normal, ids, strict=True)] if {"starts", "ends", "spanned_bytes", "spans_crc32"} & {*outputs} else []
                 decoded = coder.decode(ids) if {"decoded", "decoded_sha256"} & {*outputs} else []
                 makers = {
                     "ids": lambda: ids,
@@ -194,6 +217,7 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "star
                     "decoded": lambda: decoded,
                     "n_tokens": lambda: [len(x) for x in ids],
                     "spanned_bytes": lambda: [int(s[-1, 1] - s[0, 0]) if len(s) else 0 for s in spans],
+                    "spans_crc32": lambda: [zlib.crc32(s.astype("<i8").tobytes()) for s in spans],
                     "ids_sha256": lambda: [hashlib.sha256(",".join([written[i] for i in x.tolist()]).encode()).hexdigest() for x in ids],
                     "decoded_sha256": lambda: [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
                 }

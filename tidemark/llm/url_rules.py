@@ -7,13 +7,14 @@ all its host suffixes joined with its path's beginnings of the lengths that rule
 A cascade holds a set of listed keys exactly over a universe, here all candidate keys of the corpus. Level 1
 is a Bloom filter of the listed keys; level 2 one of the universe's keys that pass level 1 without being
 listed; level 3 one of the listed keys that pass level 2; and so on until nothing passes. A key is listed
-if the first level that it fails is an even one. Judging needs no join: the filters are scalar subqueries
-of a size checked against ``max_filter_bytes``; longer lists are judged by joins on distinct URLs instead.
+if the first level that it fails is an even one. Nothing is joined: the filters are scalar subqueries. Lists
+whose filters would exceed ``max_filter_bytes`` are split by hash of the key into shards that don't; every shard is a
+cascade of its own over its part of the keys, and its pass over the rows carries the best rule so far along.
 
 One pass over the corpus finds the keys that pass either list's level 1; the deeper levels shrink by half
 each and never read the corpus again.
 
-Cases: null URLs and those without ``://`` have an empty host and path and fit no rule; such rows and all
+Cases: rules with a null host or path or another verdict don't count; null URLs and those without ``://`` have an empty host and path and fit no rule; such rows and all
 others without a rule get the ``default`` verdict; repeated rows are judged each; null ids pass through; a
 key listed both ways blocks; columns of the names ``host path rule verdict`` are replaced, all
 others stay; empty tables of pages or rules work.
@@ -111,43 +112,63 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url", bits_per_key: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``. ``rules`` has ``host, path, verdict`` (allow or block)."""
+    spark = pages.sparkSession
     keyed = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IN ('allow', 'block')").select(F.concat("host", "path").alias("key"), F.length("path").alias("length"), "verdict")
-    keyed, keyed_path = materialize(keyed.groupBy("key").agg(F.max("verdict").alias("verdict"), F.min("length").alias("length")), "url-rules")
-    lengths = [r[0] for r in keyed.select("length").distinct().collect()]  # as many as rules have path lengths
+    keyed = keyed.groupBy("key").agg(F.max("verdict").alias("verdict"), F.min("length").alias("length"), F.max("length").alias("longest"))
+    keyed, keyed_path = materialize(keyed, "url-rules")
+    lengths = [r[0] for r in keyed.select(F.explode(F.array("length", "longest"))).distinct().collect()]  # as many as rules have path lengths
+    count = keyed.count()
+    shards = max(1, -(-count * bits_per_key // (8 * max(1, max_filter_bytes))))
+    df, columns = with_parts(pages, url_col), with_parts(pages, url_col).columns
+    df = df.withColumn("__best", F.lit(None).cast(BEST))
+    for number in range(shards):
+        part = keyed.where(_shard("key", shards) == number)
+        judged = _judge_shard(df, part, _of_shard(candidate_keys(lengths), shards, number), bits_per_key)
+        if judged is not None and number + 1 < shards:
+            judged, _ = materialize(judged, "url-shard")  # one shard's filters at a time
+        df = judged if judged is not None else df
+    remove(spark, keyed_path)
+    best = F.col("__best")
+    verdict = F.when(best.isNull(), default).when(best["blocked"], "block").otherwise("allow")
+    return df.select(*columns, best["key"].alias("rule"), verdict.alias("verdict"))
+
+
+BEST = "struct<n: int, key: string, blocked: boolean>"
+
+
+def _shard(key, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards)).cast("int")
+
+
+def _of_shard(keys: Column, shards: int, number: int) -> Column:
+    return F.filter(keys, lambda key: _shard(key, shards) == number) if shards > 1 else keys
+
+
+def _judge_shard(df: DataFrame, keyed: DataFrame, keys: Column, bits_per_key: int) -> DataFrame | None:
+    """``df`` with ``__best`` raised to the longest of its keys that the rules list, if longer; None without rules."""
+    spark = df.sparkSession
     counts = {r["verdict"]: r["count"] for r in keyed.groupBy("verdict").count().collect()}
-    parts = with_parts(pages, url_col)
-    if sum(counts.values()) * bits_per_key > 8 * max_filter_bytes:
-        return _judge_by_joins(parts, keyed, lengths, default, url_col)
     kinds = [v for v in ("allow", "block") if counts.get(v)]
+    if not kinds:
+        return None
     listed = {v: keyed.where(F.col("verdict") == v).select("key") for v in kinds}
     first = {v: build_level(listed[v], counts[v], 1, bits_per_key) for v in kinds}
-    if not kinds:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     # the corpus's keys that pass a level 1, once: the rest of the universe needs no level beyond it
-    universe = parts.select("host", "path", *(first[v].words.scalar().alias(f"__{v}") for v in kinds))
-    universe = universe.select(F.explode(F.array_distinct(candidate_keys(lengths))).alias("key"), *(f"__{v}" for v in kinds))
-    hits = universe.select("key", *(first[v].passes(F.col("key"), F.col(f"__{v}")).alias(v) for v in kinds)).where(" OR ".join(kinds)).distinct()
-    hits = hits.join(keyed.select("key", F.col("verdict").alias("__is")), "key", "left")
+    universe = df.select("host", "path", *(first[v].words.scalar().alias(f"__{v}") for v in kinds))
+    universe = universe.select(F.explode(F.array_distinct(keys)).alias("key"), *(f"__{v}" for v in kinds))
+    hits = universe.select("key", *(first[v].passes(F.col("key"), F.col(f"__{v}")).alias(v) for v in kinds)).where(" OR ".join(kinds)).withColumn("__is", F.lit(None).cast("string"))
+    known = keyed.select("key", *(F.lit(False).alias(v) for v in kinds), F.col("verdict").alias("__is"))
+    hits = hits.distinct().union(known).groupBy("key").agg(*(F.bool_or(v).alias(v) for v in kinds), F.max("__is").alias("__is"))
     hits, hits_path = materialize(hits, "cascade-hits")
     cascades = {v: deepen(first[v], listed[v], hits.where(F.col(v) & ~F.col("__is").eqNullSafe(F.lit(v))).select("key")) for v in kinds}
-    remove(pages.sparkSession, hits_path)
-    remove(pages.sparkSession, keyed_path)
-    df, inside = parts, {}
+    remove(spark, hits_path)
+    columns, inside = df.columns, {}
     for v in kinds:
         names = [f"__{v}{k}" for k in range(len(cascades[v].levels))]
         df = df.withColumns({n: lv.words.scalar() for n, lv in zip(names, cascades[v].levels, strict=True)})
         inside[v] = lambda key, v=v, names=names: cascades[v].contains(key, [F.col(n) for n in names])
-    fits = F.filter(candidate_keys(lengths), lambda key: F.greatest(*(inside[v](key) for v in kinds)) if len(kinds) > 1 else inside[kinds[0]](key))
-    best = F.array_max(F.transform(fits, lambda key: F.struct(F.length(key).alias("n"), key.alias("key"))))["key"]
-    df = df.withColumn("rule", best)
-    blocked = inside["block"](F.col("rule")) if "block" in kinds else F.lit(False)
-    return df.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(blocked, "block").otherwise("allow")).select(*parts.columns, "rule", "verdict")
-
-
-def _judge_by_joins(parts: DataFrame, keyed: DataFrame, lengths: list[int], default: str, url_col: str) -> DataFrame:
-    """For lists too long for filters: rules are joined to the keys of distinct hosts and paths."""
-    distinct = parts.select("host", "path").distinct()
-    keys = distinct.select("host", "path", F.explode(F.array_distinct(candidate_keys(lengths))).alias("key"))
-    best = keys.join(keyed, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("verdict"))).alias("best"))
-    best = best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("__verdict"))
-    return parts.join(best, ["host", "path"], "left").select(*parts.columns, "rule", F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+    fits = F.filter(keys, lambda key: F.greatest(*(inside[v](key) for v in kinds)) if len(kinds) > 1 else inside[kinds[0]](key))
+    df = df.withColumn("__own", F.array_max(F.transform(fits, lambda key: F.struct(F.length(key).alias("n"), key.alias("key")))))
+    blocked = inside["block"](F.col("__own.key")) if "block" in kinds else F.lit(False)
+    own = F.when(F.col("__own").isNotNull(), F.struct(F.col("__own.n").alias("n"), F.col("__own.key").alias("key"), blocked.alias("blocked")))
+    return df.withColumn("__best", F.greatest("__best", own)).select(*columns)
