@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path
+
 
 def peak_sessions(samples: DataFrame, threshold: float, gap: str, late: str = "1 day") -> DataFrame:
     """``video, start, n, top``: chains of samples at or above the threshold no more than ``gap`` apart, given
@@ -25,7 +25,7 @@ def stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def replay(spark: SparkSession, source: str, pattern: str, threshold: float, gap: str) -> DataFrame:
     """Runs the stream over all files that are there, in complete mode (so no chain waits for a watermark),
     and returns its result as a table in the shared folder."""
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/tidemark-shared').rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "sessions")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")

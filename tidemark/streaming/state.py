@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import fresh_path
 from .sessions import stream
 
 
@@ -29,7 +29,7 @@ def lag_differences(samples: DataFrame) -> DataFrame:
 
 def replay(spark: SparkSession, source: str, pattern: str) -> DataFrame:
     """Runs the stream over the files that are there and returns what it gave out."""
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/tidemark-shared').rstrip('/')}/state-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "state")
     run = lag_differences(stream(spark, source, pattern)).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").format("parquet").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("video long, ts timestamp, diff double").parquet(f"{folder}/out")
