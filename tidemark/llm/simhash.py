@@ -243,15 +243,16 @@ def _salted_join(big: DataFrame, small: DataFrame, on: str, by: str) -> DataFram
     return big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [on, "__salt"]).drop("__salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``node, root``: every node of the links ``a, b`` with its component's smallest node.
 
-    Alternating large-star and small-star (Kiveris et al. 2014); every round ends in a written table.
+    Alternating large-star and small-star (Kiveris et al. 2014); every round ends in a written table. Rounds grow with the logarithm of the longest
+    chain; an unstable result is never returned.
     """
     spark = edges.sparkSession
     stars, path = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
-    for _ in range(200):
+    for _ in range(rounds):
         size = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if size == before:
             break
@@ -266,6 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
         remove(spark, path)
         remove(spark, large_path)
         stars, path = after, after_path
+    else:
+        raise RuntimeError(f"components aren't stable after {rounds} rounds")
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 

@@ -44,10 +44,12 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     """``page_id, url, html, keeper``: the page whose response each page revisits, null for responses.
 
     Only digests are grouped (with partial sums in each task), and only digests of two or more pages are
-    joined back, over salted keys: a payload that many pages share is dealt out.
+    joined back. They are written as a table first, so Spark knows its size: a small one is broadcast and no page
+    is shuffled; else the join is over salted keys, and a payload that many pages share is dealt out.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("__sha", F.sha1(F.col("html").cast("binary")))
     groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("__sha").agg(F.max("page_id").alias("__keeper"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    groups, _ = materialize(groups, "warc-keepers")
     dealt = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     same = F.col("page_id").eqNullSafe(F.col("__keeper"))
@@ -131,11 +133,12 @@ def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int,
     return [tuple(x) for x in out]
 
 
-def read(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 64 << 20, payloads: bool = True) -> DataFrame:
+def read(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """The records of the index rows given, which may be a selection: ``page_id, url, payload_bytes,
     payload_digest, record_type, refers_to`` and the ``payload`` (null for revisits; left out if not asked for).
 
-    Rows are dealt by file and stretch of the file, sorted by offset within their task. A response whose
+    Rows are dealt by file and stretch of the file to as many tasks as the selected bytes have stretches, sorted by
+    offset within their task. A response whose
     payload doesn't give its digest raises ValueError.
     """
     kind = index.schema["page_id"].dataType.simpleString()
@@ -175,5 +178,6 @@ def read(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, stretch: int
 
     out_id = "long" if to_id is int else "string"
     dealt = index.select("file", "offset", "length").withColumn("__stretch", F.floor(F.col("offset") / stretch))
-    dealt = dealt.repartition("file", "__stretch").sortWithinPartitions("file", "offset").drop("__stretch")
+    size = index.agg(F.sum("length")).first()[0] or 0  # a number of tasks of its own: AQE would go by the index's bytes
+    dealt = dealt.repartition(max(1, -(-size // stretch)), "file", "__stretch").sortWithinPartitions("file", "offset").drop("__stretch")
     return dealt.mapInArrow(run, f"page_id {out_id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {out_id}" + ", payload binary" * payloads)
