@@ -116,7 +116,10 @@ def test_upsert_and_update(spark):
     new = spark.createDataFrame([(2, "x"), (3, "z"), (3, "y")], "id long, path string")
     assert sorted(map(tuple, E.upsert_ignore(old, new, "id", ["path"]).collect())) == [(1, "a"), (2, "b"), (3, "y")]
     u = spark.createDataFrame([(1, None)], "id long, path string")
-    assert sorted(map(tuple, E.update_status(old, u, "id", ["path"]).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, E.update_status(old, u, "id", ["path"], keep_on_null=True).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, E.update_status(old, u, "id", ["path"]).collect())) == [(1, None), (2, "b")]
+    twice = spark.createDataFrame([(1, "z"), (1, "y")], "id long, path string")
+    assert sorted(map(tuple, E.update_status(old, twice, "id", ["path"]).collect())) == [(1, "y"), (2, "b")]
 
 
 def test_dates_and_names(spark):

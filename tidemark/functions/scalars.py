@@ -70,7 +70,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, guard: float = 1e-8) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(guard))
+    """Null where the lengths' product and the guard are 0."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(guard))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -99,3 +100,33 @@ def mean_difference(a: Column, b: Column, scale: float = 1.0) -> Column:
     """Mean absolute difference of two arrays; null if they are empty."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     return F.try_divide(total, F.size(a) * F.lit(scale))
+
+
+def crop_box(cx: Column, cy: Column, size: int, width: int, height: int) -> Column:
+    """A box of ``size`` around a relative centre, moved inward at the edges."""
+    at = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - size), (c * n).cast("int") - size // 2))
+    return F.struct(at(cx, width).alias("x"), at(cy, height).alias("y"))
+
+
+def file_stem(name: Column) -> Column:
+    """A path's last part without its ending."""
+    return F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def number_pair(text: Column) -> Column:
+    """``struct<start, end>`` of two comma-separated numbers of which the second is larger, else null."""
+    p = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+    pair = F.struct(F.get(p, F.lit(0)).alias("start"), F.get(p, F.lit(1)).alias("end"))
+    return F.when((F.size(p) == 2) & (pair["start"] < pair["end"]), pair)
+
+
+def fused(a: Column, b: Column, guard: float = 1e-8) -> Column:
+    """Two vectors one after another, as one of length 1."""
+    return normalised(F.concat(F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: x.cast("double"))), guard)
+
+
+def listing_entry(entry: Column, template: str) -> Column:
+    """``struct<id, url, title, duration>`` of a listing's JSON entry: the URL falls back to the template's, the title
+    to the empty string and the duration to 0; null where there is no entry or no id."""
+    e = F.from_json(entry, "id string, url string, title string, duration double")
+    return F.when(e["id"].isNotNull(), F.struct(e["id"].alias("id"), F.coalesce(e["url"], F.format_string(template, e["id"])).alias("url"), F.coalesce(e["title"], F.lit("")).alias("title"), F.coalesce(e["duration"], F.lit(0.0)).alias("duration")))

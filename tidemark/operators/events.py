@@ -43,11 +43,18 @@ def upsert_ignore(stored: DataFrame, new: DataFrame, key: str, order: Sequence[s
     return stored.unionByName(first_by(new, [key], order).join(stored.select(key), key, "left_anti").select(stored.columns))
 
 
-def update_status(stored: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``stored`` with ``columns`` of the matching update; a null in an update keeps what is stored."""
-    u = updates.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
+def update_status(stored: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], keep_on_null: bool = False) -> DataFrame:
+    """``stored`` with ``columns`` of the matching update, nulls too: an update without a path erases it. With
+    ``keep_on_null`` a null keeps what is stored. Of several updates of a key the least in ``columns`` counts."""
+    u = updates.groupBy(key).agg(F.min(F.struct(*columns)).alias("__u")).withColumn("__hit", F.lit(True))
     out = stored.join(u, key, "left")
-    return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(stored.columns)
+    new = lambda c: F.coalesce(F.col(f"__u.{c}"), F.col(c)) if keep_on_null else F.when(F.col("__hit"), F.col(f"__u.{c}")).otherwise(F.col(c))
+    return out.withColumns({c: new(c) for c in columns}).select(stored.columns)
+
+
+def by_status(manifest: DataFrame, status: str, column: str = "status") -> DataFrame:
+    """The rows of a status, as the next stage reads them."""
+    return manifest.where(F.col(column) == status)
 
 
 def reason(*cases: tuple[Column, str]) -> Column:

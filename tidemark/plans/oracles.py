@@ -127,7 +127,7 @@ SQL: dict[str, str] = {
         SELECT v.video, v.slot, v.event_id AS view_id, c.event_id AS click_id FROM d v LEFT JOIN d c ON v.video = c.video AND v.slot = c.slot AND c.camera = 'click' WHERE v.camera = 'view'""",
     "cam_cross": "SELECT n_nationkey, r_regionkey FROM nation, region",
     "manifest_upsert": """SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS source FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
-    "manifest_update": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'done' ELSE o_orderstatus END AS status, o_orderpriority AS path FROM orders",
+    "manifest_update": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS path FROM orders",
     "listing_hrefs": """WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS a FROM pages) SELECT page_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS pos, unnest(a) AS href FROM p""",
     "parse_times": """SELECT * FROM (VALUES
         (0::BIGINT, '09:45', 35100::INT, NULL::VARCHAR, 35100::INT), (1, '~9:45', 35100, NULL, NULL), (2, '9', 32400, NULL, NULL), (3, '20:15 (?)', 72900, NULL, NULL),

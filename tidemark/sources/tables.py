@@ -48,3 +48,32 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 def hrefs(pages: DataFrame, pattern: str = 'href="([^"]+)"', html: str = "html") -> DataFrame:
     """``pages`` and a row per link, in page order: ``pos, href``."""
     return pages.select(*(c for c in pages.columns if c != html), F.posexplode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("pos", "href"))
+
+
+def videos(listings: DataFrame, html: str = "html") -> DataFrame:
+    """The videos that directory listings link, in page order. A listing that failed (null) has none."""
+    return hrefs(listings, r'href="([^"]+\.mp4)"', html)
+
+
+def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path, name, length`` of a folder's files that match a glob, in order of their names; contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length").orderBy("path")
+
+
+def bundles(spark: SparkSession, folder: str, schema: str, pattern: str = "*.npz") -> DataFrame:
+    """Rows of numpy bundles (one array per column, equally long) and the file's stem as ``video_id``."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def load(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    yield pd.DataFrame({n: list(z[n]) for n in names} | {"video_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInPandas(load, f"{schema}, video_id string")
