@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Normalizer, StandardScaler
+from pyspark.ml.feature import PCA, Normalizer, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, remove
+
 
 def auto_label(score: Column, negative: Column, low: float = 0.49, high: float = 0.55) -> Column:
     """1 from ``high`` up, 0 up to ``low``, null between; always 0 where ``negative`` holds."""
@@ -40,41 +42,85 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return g.select("class", "support", ratio(t, q).alias("precision"), ratio(t, s).alias("recall"), ratio(2 * t, s + q).alias("f1"))
 
 
-def reduced(df: DataFrame, vector: str, components: int, to: str = "reduced") -> DataFrame:
-    """``df`` and its unit vectors' centred principal components."""
-    x = Normalizer(p=2.0, inputCol="__x", outputCol="__unit").transform(df.withColumn("__x", array_to_vector(F.transform(vector, lambda v: v.cast("double")))))
+def doubles(vector: str) -> Column:
+    return array_to_vector(F.transform(vector, lambda v: v.cast("double")))
+
+
+def reduced(df: DataFrame, vector: str, components: int, to: str = "reduced", unit: bool = True) -> tuple[DataFrame, float]:
+    """``df`` and its (unit) vectors' centred principal components, written as a table as several fits read it, and
+    the share of the variance that these explain. There are as many components as rows and places allow."""
+    n, d = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    x = df.withColumn("__x", doubles(vector))
+    x = Normalizer(p=2.0, inputCol="__x", outputCol="__unit").transform(x) if unit else x.withColumn("__unit", F.col("__x"))
+    x, path = materialize(x.drop("__x"), "unit-vectors")
     x = StandardScaler(withMean=True, withStd=False, inputCol="__unit", outputCol="__centred").fit(x).transform(x)
-    return PCA(k=components, inputCol="__centred", outputCol=to).fit(x).transform(x).drop("__x", "__unit", "__centred")
+    model = PCA(k=max(1, min(components, n, d)), inputCol="__centred", outputCol=to).fit(x)
+    out, _ = materialize(model.transform(x).drop("__unit", "__centred"), "reduced-vectors")
+    remove(df.sparkSession, path)
+    return out, float(sum(model.explainedVariance))
+
+
+def kmeans(reduced_rows: DataFrame, k: int, features: str, seed: int = 42, starts: int = 10):
+    """The best of ``starts`` fits, by inertia (``model.summary.trainingCost``)."""
+    models = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(reduced_rows) for i in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def clusters(df: DataFrame, vector: str, k: int, components: int, seed: int = 42, starts: int = 10) -> DataFrame:
     """``df`` and ``cluster``: the best of ``starts`` runs of k-means on the principal components."""
-    x = reduced(df, vector, components, "__r")
-    models = [KMeans(k=k, seed=seed + i, featuresCol="__r", predictionCol="cluster").fit(x) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("__r")
+    x, _ = reduced(df, vector, components, "__r")
+    return kmeans(x, k, "__r", seed, starts).transform(x).drop("__r")
+
+
+def elbow(df: DataFrame, vector: str, components: int, most: int = 15, seed: int = 42, starts: int = 10) -> DataFrame:
+    """``k, inertia`` for k from 2 to below ``most`` (or the number of rows): one small fit each, over one written table."""
+    x, _ = reduced(df, vector, components, "__r")
+    rows = [(k, float(kmeans(x, k, "__r", seed, starts).summary.trainingCost)) for k in range(2, min(most, x.count()))]
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
 def classifier(df: DataFrame, vector: str, label: str, c: float = 0.1, rounds: int = 1000):
     """A fitted (scaler, logistic regression): balanced weights, ridge strength 1 / (c * weight)."""
-    x = df.select(array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("__x"), F.col(label).cast("double").alias("label"))
+    x, path = materialize(df.select(doubles(vector).alias("__x"), F.col(label).cast("double").alias("label")), "training-rows")
     n = {r["label"]: r["count"] for r in x.groupBy("label").count().collect()}  # two classes
     x = x.withColumn("__w", F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0])).otherwise(sum(n.values()) / (2 * n[0.0])))
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="__x", outputCol="__s").fit(x)
     model = LogisticRegression(featuresCol="__s", weightCol="__w", regParam=1 / (c * sum(n.values())), maxIter=rounds, standardization=False).fit(scaler.transform(x))
+    remove(df.sparkSession, path)
     return scaler, model
 
 
+def save_classifier(fitted, path: str) -> None:
+    """Keeps a fitted classifier, replacing what is there."""
+    for part, name in zip(fitted, ("scaler", "model"), strict=True):
+        part.write().overwrite().save(f"{path}/{name}")
+
+
+def load_classifier(path: str):
+    return StandardScalerModel.load(f"{path}/scaler"), LogisticRegressionModel.load(f"{path}/model")
+
+
+def session_report(df: DataFrame, fitted, vector: str, session: str, t: str, events: DataFrame, reach: int, least: float = 0.5) -> DataFrame:
+    """``session, n, occupancy, event_max`` of sessions scored by a classifier: the share of rows of ``least`` or more, and
+    the highest score within ``reach`` of the session's event (``events``: ``session, at``; 0 where there is none)."""
+    rows = df.select(F.col(session).alias("__session"), t, vector)  # the model has a column named label of its own
+    s = scored(rows, vector, fitted).join(events.select(F.col(session).alias("__session"), F.col("at").alias("__at")), "__session", "left")
+    near = F.when(F.col(t).between(F.col("__at") - reach, F.col("__at") + reach), F.col("score"))
+    return s.groupBy(F.col("__session").alias(session)).agg(F.count("*").alias("n"), F.avg((F.col("score") >= least).cast("double")).alias("occupancy"), F.coalesce(F.max(near), F.lit(0.0)).alias("event_max"))
+
+
 def scored(df: DataFrame, vector: str, fitted) -> DataFrame:
     scaler, model = fitted
-    x = scaler.transform(df.withColumn("__x", array_to_vector(F.transform(vector, lambda v: v.cast("double")))))
+    x = scaler.transform(df.withColumn("__x", doubles(vector)))
     out = model.transform(x.drop("label", "probability", "prediction", "rawPrediction"))
     return df.join(out.select("__key", F.element_at(vector_to_array("probability"), 2).alias("score")), "__key") if "__key" in df.columns else out.withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("__x", "__s", "rawPrediction", "probability", "prediction")
 
 
 def leave_one_group_out(df: DataFrame, vector: str, label: str, group: str) -> DataFrame:
     """``group, n, n_positive, auc`` of models trained on all other groups; groups whose training rows have
-    one class are skipped. Groups are few (sessions): one model each."""
+    one class are skipped. Groups are few (sessions): one model each, over one written table."""
     out = None
+    df, _ = materialize(df.select(group, vector, label), "labelled-vectors")
     for g in sorted(r[0] for r in df.select(group).distinct().collect()):
         train = df.where(F.col(group) != g)
         if train.agg(F.countDistinct(label)).first()[0] < 2:

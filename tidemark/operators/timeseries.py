@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 SECOND = 1_000_000
 
 
@@ -95,30 +96,21 @@ def best_window(df: DataFrame, length: int, key: Sequence[str] = ("video",), t:
     return out.where("total > 0") if skip_zero else out
 
 
-def suppress(df: DataFrame, within: int, most: int, key: str = "video", t: str = "us", score: str = "score", tie: str = "event_id") -> DataFrame:
-    """``key, t, score``: samples taken from the highest down, none less than ``within`` from one taken
-    before, ``most`` a key at most. Null scores don't count.
+def suppress(df: DataFrame, within: int, most: int, key: str = "video", t: str = "us", score: str = "score") -> DataFrame:
+    """``key, t, score``: samples taken from the highest down (the earlier of equals), none less than ``within``
+    from one taken before, ``most`` a key at most. Null scores don't count.
 
-    A taken sample rules out others in three stretches of ``within`` at most. So all that are taken score at
-    least as high as the highest sample of the ``3 * (most - 1) + 1``-th best stretch; that bound, from partial
-    maxima, holds back all other rows before a key's rest is walked in one task.
+    Every round takes one sample of each key at once: the best that no taken one rules out, by a partial maximum. What is
+    carried from round to round is a row a key with ``most`` samples at most; no key's samples meet in one task.
     """
-    kind = dict(df.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for i, at in zip(pdf.index, pdf.sort_values([score, t, tie], ascending=[False, True, True])[t], strict=True):
-            if all(abs(at - x) >= within for x in taken):
-                taken.append(at)
-                if len(taken) == most:
-                    break
-        return pdf[pdf[t].isin(taken)].sort_values([score, tie], ascending=[False, True]).drop_duplicates(t)[[key, t, score]]
-
-    rows = df.select(key, t, score, tie).where(F.col(score).isNotNull())
-    tops = rows.groupBy(key, F.floor(F.col(t) / within).alias("__stretch")).agg(F.max(score).alias("__top"))
-    ranked = tops.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__top"), "__stretch"))).where(F.col("__n") <= 3 * (most - 1) + 1)
-    bound = ranked.groupBy(key).agg(F.min("__top").alias("__bound"))
-    return rows.join(bound, key).where(F.col(score) >= F.col("__bound")).select(key, t, score, tie).groupBy(key).applyInPandas(walk, f"{key} {kind[key]}, {t} {kind[t]}, {score} {kind[score]}")
+    rows, _ = materialize(df.select(key, F.col(t).alias("__t"), F.col(score).alias("__s")).where("__t IS NOT NULL AND __s IS NOT NULL"), "suppression")
+    best = lambda free: F.max_by(F.struct("__t", "__s"), F.when(free, F.struct(F.col("__s"), -F.col("__t")))).alias("__best")
+    taken = rows.groupBy(key).agg(best(F.lit(True))).select(key, F.array("__best").alias("__taken"))
+    for _ in range(most - 1):
+        free = ~F.exists("__taken", lambda x: F.abs(x["__t"] - F.col("__t")) < within)
+        after = rows.join(taken, key).groupBy(key).agg(F.first("__taken").alias("__taken"), best(free))
+        taken = after.select(key, F.when(F.col("__best").isNull(), F.col("__taken")).otherwise(F.array_append("__taken", F.col("__best"))).alias("__taken"))
+    return taken.select(key, F.explode("__taken").alias("__b")).select(key, F.col("__b.__t").alias(t), F.col("__b.__s").alias(score))
 
 
 def nearest(df: DataFrame, grid: DataFrame, reach: int, key: Sequence[str] = ("video",), t: str = "us", tie: str = "event_id") -> DataFrame:
@@ -133,14 +125,31 @@ def nearest(df: DataFrame, grid: DataFrame, reach: int, key: Sequence[str] = ("v
 
 
 def early_stop(df: DataFrame, target: int, order: Sequence[str], confirmed: str) -> DataFrame:
-    """Rows in ``order`` up to that with which ``target`` are confirmed. One row per item is expected (the
-    running count is one sorted pass); aggregate first."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__before", F.coalesce(F.sum(F.col(confirmed).cast("long")).over(w), F.lit(0))).where(F.col("__before") < target).drop("__before")
+    """Rows in ``order`` (unique) up to that with which ``target`` are confirmed; all if there are fewer.
+
+    A row that confirms adds one at least, so the last row is among the first ``target`` of them: a distributed
+    top list of that length finds it, and no running sum over all rows is needed.
+    """
+    at, n = F.struct(*order), F.col(confirmed).cast("long")
+    first = df.where(n > 0).select(at.alias("__at"), n.alias("__n")).orderBy("__at").limit(target)
+    summed = first.withColumn("__sum", F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)))  # target rows at most
+    last = summed.where(F.col("__sum") >= target).agg(F.min("__at").alias("__last"))
+    return df.withColumn("__last", last.scalar()).where(F.col("__last").isNull() | (at <= F.col("__last"))).drop("__last")
+
 
+def sweep(df: DataFrame, thresholds: Sequence[int], least: int, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id", open_end: int = SECOND) -> DataFrame:
+    """``threshold, n_segments, kept_us``: what stays of the series at each threshold.
 
-def sweep(df: DataFrame, thresholds: Sequence[int], least: int, key: Sequence[str] = ("video",), **names) -> DataFrame:
-    """``threshold, n_segments, kept_us``: what stays of the series at each threshold."""
-    many = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("__over", F.col("score") - F.col("threshold"))
-    found = segments(many, 0.0, least, [*key, "threshold"], score="__over", **names)
-    return found.groupBy("threshold").agg(F.count("*").alias("n_segments"), F.sum(F.col("end_us") - F.col("start_us")).alias("kept_us"))
+    One sorted pass numbers the stretches of all thresholds; only samples above a threshold are counted for it, where they are.
+    """
+    w = _ordered(key, t, tie)
+    rows = df.select(*key, t, tie, score, F.lag(score).over(w).alias("__before"), F.lead(t).over(w).alias("__next"))
+    up = [F.coalesce(F.col(score) >= x, F.lit(False)) for x in thresholds]
+    new = [u & ~F.coalesce(F.col("__before") >= x, F.lit(False)) for u, x in zip(up, thresholds, strict=True)]
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__i{k}": F.sum(n.cast("long")).over(so_far) for k, n in enumerate(new)})
+    each = F.array(*(F.struct(F.lit(x).alias("threshold"), u.alias("up"), F.col(f"__i{k}").alias("island")) for k, (u, x) in enumerate(zip(up, thresholds, strict=True))))
+    rows = rows.select(*key, t, "__next", F.explode(F.filter(each, lambda e: e["up"])).alias("__e"))
+    end = F.when(F.count("__next") == F.count("*"), F.max("__next")).otherwise(F.max(t) + open_end)
+    found = rows.groupBy(*key, F.col("__e.threshold").alias("threshold"), F.col("__e.island").alias("island")).agg((end - F.min(t)).alias("__long"))
+    return found.where(F.col("__long") >= least).groupBy("threshold").agg(F.count("*").alias("n_segments"), F.sum("__long").alias("kept_us"))

@@ -17,7 +17,7 @@ def pooled(df: DataFrame, group: str, vector: str, how: str = "avg", to: str = "
 def representatives(df: DataFrame, n: int, cluster: str, vector: str, key: str) -> DataFrame:
     """``cluster, key, distance, place``: the ``n`` rows nearest to each cluster's centroid; noise (-1) has none."""
     kept = df.where(F.col(cluster) != -1)
-    far = kept.join(F.broadcast(pooled(kept, cluster, vector, to="__c")), cluster).select(cluster, key, F.round(euclidean(F.col(vector), F.col("__c")), 6).alias("distance"))
+    far = kept.join(pooled(kept, cluster, vector, to="__c"), cluster).select(cluster, key, F.round(euclidean(F.col(vector), F.col("__c")), 6).alias("distance"))
     return far.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy("distance", key))).where(F.col("place") <= n)
 
 

@@ -175,7 +175,7 @@ def colour_gate(spark, sf):
 def histogram40(spark, sf):
     s = samples(spark, sf)
     ends = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    place = F.floor((F.col("score") - F.col("lo")) * 40 / (F.col("hi") - F.col("lo")))
+    place = F.coalesce(F.floor(F.try_divide((F.col("score") - F.col("lo")) * 40, F.col("hi") - F.col("lo"))), F.lit(0).cast("long"))  # a constant series is one bin
     return s.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(39).cast("long"), place).alias("bin")).agg(F.count("*").alias("n"))  # one row of ends
 
 

@@ -259,3 +259,54 @@ def label_times(spark, sf):
     raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("~ "), F.floor(m / 60).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.lit(" (?)"))).when(F.col("event_id") % 7 == 0, F.lit("All Day")).when(F.col("event_id") % 3 == 0, F.floor(m / 60).cast("string")).when(F.col("event_id") % 11 == 0, F.lit("17??")).otherwise(F.concat(F.floor(m / 60).cast("string"), F.lit(":"), (m % 60).cast("string")))
     e = e.select("event_id", S.tolerant_time(raw).alias("p"))
     return e.select("event_id", "p.sec", "p.note")
+
+
+# --- learning and streams
+
+
+@query
+def explained_variance(spark, sf):
+    from ..operators import learning as L
+
+    two, share = L.reduced(_vectors(spark, sf), "embedding", 2)
+    return two.agg(F.count("*").alias("n")).withColumn("share", F.lit(round(share, 6)))
+
+
+@query
+def elbow(spark, sf):
+    from ..operators import learning as L
+
+    return L.elbow(_vectors(spark, sf), "embedding", 16, most=6, starts=2)
+
+
+@query
+def density_clusters(spark, sf):
+    from ..operators import density as D
+
+    return D.density_clusters(_vectors(spark, sf).withColumn("part", F.pmod("vec_id", F.lit(64))), "part", "vec_id", "embedding", 2)
+
+
+@query
+def saved_classifier(spark, sf):
+    from ..operators import learning as L
+
+    v = _vectors(spark, sf).withColumn("positive", (F.element_at("embedding", 1) > 0).cast("int"))
+    path = fresh_path(spark, "classifier")
+    L.save_classifier(L.classifier(v.where("label < 5"), "embedding", "positive"), path)
+    events = v.groupBy("label").agg(F.min("vec_id").alias("at"))
+    report = L.session_report(v, L.load_classifier(path), "embedding", "label", "vec_id", events, 100)
+    return report.select("label", "n", F.round("occupancy", 3).alias("occupancy"), F.round("event_max", 3).alias("event_max"))
+
+
+def _halves(values):
+    if any(v > 99 for v in values):
+        raise ValueError("saturated")
+    return [v / 2 for v in values]
+
+
+@query
+def stream_cameras(spark, sf):
+    from ..streaming import scoring
+
+    table(spark, sf, "events")  # workers find this package
+    return scoring.replay_cameras(spark, sf, "events.parquet", ["view", "click", "no such camera"], _halves).select("event_id", "camera", "scored", "error")

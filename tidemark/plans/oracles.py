@@ -161,3 +161,11 @@ SQL: dict[str, str] = {
     "frame_stats": f"WITH {GREY} SELECT vec_id AS us, round(avg(x), 6) AS bright, round(avg(CASE WHEN x > 20 THEN 1.0 ELSE 0.0 END), 6) AS above FROM g GROUP BY vec_id",
     "pixel_deviation": f"WITH {GREY} SELECT g.vec_id AS us, round(avg(abs(g.x - q.x)), 6) AS deviation FROM g JOIN g q ON g.pos = q.pos AND q.vec_id = 0 GROUP BY g.vec_id",
 }
+
+_ROUNDS = "".join(
+    f""",
+        n{k} AS (SELECT s.video, s.us, s.score FROM s WHERE NOT EXISTS (SELECT 1 FROM t{k - 1} t WHERE t.video = s.video AND abs(t.us - s.us) < {DAY})
+              QUALIFY row_number() OVER (PARTITION BY s.video ORDER BY s.score DESC, s.us) = 1), t{k} AS (SELECT * FROM t{k - 1} UNION ALL SELECT * FROM n{k})"""
+    for k in range(1, 6)
+)
+SQL["nms_top"] = f"WITH {S}, t0 AS (SELECT video, us, score FROM s QUALIFY row_number() OVER (PARTITION BY video ORDER BY score DESC, us) = 1){_ROUNDS} SELECT video, us, score FROM t5"

@@ -14,10 +14,10 @@ from .sessions import stream
 
 def lag_differences(samples: DataFrame) -> DataFrame:
     """``video, us, diff``: absolute difference of each sample to the one before it of its video. Files are
-    expected in time order; within a micro-batch rows are sorted by time. State: one number a video."""
+    expected in time order; within a micro-batch rows are sorted by time and score. State: one number a video."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("ts")
+        rows = pd.concat(list(parts)).sort_values(["ts", "score"])
         before = state.get[0] if state.exists else None
         score = rows["score"].astype(float)
         diff = (score - score.shift(1, fill_value=float("nan") if before is None else before)).abs()
