@@ -163,11 +163,27 @@ def test_pipeline_stages_by_brute_force(spark):
     passed = {r.doc_id for r in calm.collect() if (lambda m: m[0] >= 50 and 100 * m[4] <= 50 * m[0])(brute_quality(r.text or ""))}
     assert {r.doc_id for r in good.collect()} <= passed
     lone, _ = common.materialize(by["simhash near-dedup"](spark, good, SMALL), "s")
-    from .test_text_operators import brute_components, brute_fingerprint
+    from .test_near_copies import brute_kept  # the stage takes five words and a similarity of 0.8
 
-    rows = sorted(good.collect(), key=lambda r: r.doc_id)
-    root = brute_components([brute_fingerprint(r.text or "") for r in rows])
-    assert {r.doc_id for r in lone.collect()} == {rows[k].doc_id for k in set(root)}
+    assert {r.doc_id for r in lone.collect()} == brute_kept(sorted((r.doc_id, r.text or "") for r in good.collect()))
     packed = by["packing"](spark, lone, SMALL)
     assert packed.select("doc_id").distinct().count() == lone.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    source = common.table(spark, SMALL, "documents")
+    plain = " ".join(f"harbour{k} tide{k}" for k in range(60))
+    odd = [(None, plain), (1_000_001, None), (1_000_002, ""), (1_000_003, plain), (1_000_003, plain), (1_000_004, plain + " end"), (1_000_005, " ".join(f"long{k}" for k in range(90_000)))]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], source.schema)
+    docs = source.union(rows).withColumns({"n_words": F.lit("x"), "score": F.lit(1), "fail_bits": F.lit(2), "__best": F.lit(3), "fp": F.lit(4), "component_id": F.lit(5)})
+    for _, stage in pipeline.STAGES[:-1]:
+        docs, _ = common.materialize(stage(spark, docs, SMALL), "odd")
+    assert docs.columns[:5] == source.columns and docs.columns[-1] == "component_id"
+    kept = Counter(r.doc_id for r in docs.select("doc_id").collect() if r.doc_id is None or r.doc_id > 1_000_000)
+    assert kept == Counter({None: 1, 1_000_003: 2, 1_000_005: 1})  # no words: rejected; a near copy of a lesser id: gone; repeated rows: one document
+    packed = pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.where("doc_id = 1000005").agg(F.sum("length") == F.first("doc_tokens")).first()[0]
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
