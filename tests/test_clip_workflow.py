@@ -12,6 +12,8 @@ from tidemark.functions import scalars as S
 from tidemark.operators import clips as C
 from tidemark.operators import density as D
 from tidemark.operators import learning as L
+from tidemark.operators import metrics
+from tidemark.operators import frames as R
 from tidemark.operators import timeseries as T
 from tidemark.plans import catalog
 from tidemark.scanner import Scanner
@@ -165,3 +167,11 @@ def test_failing_rows_keep_their_batch(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, -1, 3])] + [(4, None)], "id long, score double").coalesce(1)
     got = {r.id: (r.scored, r.error) for r in scoring.scored(df, score, size=2).collect()}
     assert got == {0: (3.0, None), 1: (4.0, None), 2: (None, "ValueError: bad"), 3: (4.0, None), 4: (None, "ValueError: bad")}
+
+
+def test_runs_of_pixels_and_throughput(spark):
+    rows = [(1, [0, 9, 9, 0, 9]), (2, []), (3, None), (4, [9]), (5, [0])]
+    df = spark.createDataFrame(rows, "event_id long, pixels array<int>")
+    assert sorted(map(tuple, R.runs(df, 5).collect())) == [(1, 1, 2), (1, 4, 4), (4, 0, 0)]
+    m = metrics.throughput(df, 60.0)
+    assert m["rows"] == 5 and m["rows_per_second"] > 0 and m["times_realtime"] > 0

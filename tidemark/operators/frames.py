@@ -38,6 +38,16 @@ def without_background(pixels: Column, background: Column) -> Column:
     return F.zip_with(pixels, background, lambda x, b: F.greatest(F.lit(0), F.least(F.lit(255), x - b + 128)).cast("int"))
 
 
+def runs(frames: DataFrame, level: float, pixels: str = "pixels") -> DataFrame:
+    """``frames`` without their pixels and a row per unbroken run of pixels above ``level``: ``first, last`` places."""
+    places = F.when(F.size(pixels) > 0, F.sequence(F.lit(0), F.size(pixels) - 1)).otherwise(F.array().cast("array<int>"))
+    up = lambda i: F.coalesce(F.get(F.col(pixels), i) > level, F.lit(False))
+    firsts = F.filter(places, lambda i: up(i) & ((i == 0) | ~up(i - 1)))
+    lasts = F.filter(places, lambda i: up(i) & ~up(i + 1))
+    found = F.inline(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
+    return frames.select(*(c for c in frames.columns if c != pixels), found)
+
+
 def foreground(frames: DataFrame, history: int = 200, variance: float = 25.0, floor: float = 15.0, key: str = "video", t: str = "us", pixels: str = "pixels", tie: str = "event_id") -> DataFrame:
     """``key, t, foreground``: the share of pixels that a running Gaussian background doesn't explain.
 

@@ -261,6 +261,13 @@ def label_times(spark, sf):
     return e.select("event_id", "p.sec", "p.note")
 
 
+@query
+def frame_runs(spark, sf):
+    from ..operators import frames as R
+
+    return R.runs(_frames(spark, sf).select("event_id", "pixels"), 20)
+
+
 # --- learning and streams
 
 

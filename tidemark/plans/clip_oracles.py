@@ -73,5 +73,7 @@ SQL: dict[str, str] = {
         SELECT g.video, g.day, coalesce(top, 0) AS top FROM g LEFT JOIN d USING (video, day)""",
     "label_times": f"""WITH {CLOCK} SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN m * 60 WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN m // 60 * 3600 WHEN event_id % 11 = 0 THEN NULL ELSE m * 60 END AS INT) AS sec,
         CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'skipped_no_anchor:''All Day''' WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'unparseable:''17??''' END AS note FROM m""",
+    "frame_runs": f"""WITH {GREY}, u AS (SELECT vec_id, pos - 1 AS pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS island FROM g WHERE x > 20)
+        SELECT vec_id AS event_id, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM u GROUP BY vec_id, island""",
     "stream_cameras": "SELECT event_id, event_type AS camera, CASE WHEN value <= 99 THEN value / 2 END AS scored, CASE WHEN value > 99 THEN 'ValueError: saturated' END AS error FROM events WHERE event_type IN ('view', 'click')",
 }
