@@ -175,3 +175,13 @@ def test_runs_of_pixels_and_throughput(spark):
     assert sorted(map(tuple, R.runs(df, 5).collect())) == [(1, 1, 2), (1, 4, 4), (4, 0, 0)]
     m = metrics.throughput(df, 60.0)
     assert m["rows"] == 5 and m["rows_per_second"] > 0 and m["times_realtime"] > 0
+
+
+def test_a_classifier_scores_after_an_observation(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), float(i % 3)], int(i % 5 > 2), i % 2) for i in range(40)], "id long, v array<double>, label int, g int")
+    metrics.throughput(df)
+    fitted = L.classifier(df, "v", "label")
+    got = L.scored(df, "v", fitted)
+    assert got.columns == [*df.columns, "score"]
+    assert all((r.score >= 0.5) == (r.label == 1) for r in got.collect())
+    assert {r.group: r.n for r in L.leave_one_group_out(df, "v", "label", "g").collect()} == {0: 20, 1: 20}

@@ -103,17 +103,19 @@ def load_classifier(path: str):
 def session_report(df: DataFrame, fitted, vector: str, session: str, t: str, events: DataFrame, reach: int, least: float = 0.5) -> DataFrame:
     """``session, n, occupancy, event_max`` of sessions scored by a classifier: the share of rows of ``least`` or more, and
     the highest score within ``reach`` of the session's event (``events``: ``session, at``; 0 where there is none)."""
-    rows = df.select(F.col(session).alias("__session"), t, vector)  # the model has a column named label of its own
-    s = scored(rows, vector, fitted).join(events.select(F.col(session).alias("__session"), F.col("at").alias("__at")), "__session", "left")
+    s = scored(df.select(session, t, vector), vector, fitted).join(events.select(session, F.col("at").alias("__at")), session, "left")
     near = F.when(F.col(t).between(F.col("__at") - reach, F.col("__at") + reach), F.col("score"))
-    return s.groupBy(F.col("__session").alias(session)).agg(F.count("*").alias("n"), F.avg((F.col("score") >= least).cast("double")).alias("occupancy"), F.coalesce(F.max(near), F.lit(0.0)).alias("event_max"))
+    return s.groupBy(session).agg(F.count("*").alias("n"), F.avg((F.col("score") >= least).cast("double")).alias("occupancy"), F.coalesce(F.max(near), F.lit(0.0)).alias("event_max"))
 
 
 def scored(df: DataFrame, vector: str, fitted) -> DataFrame:
+    """``df`` and ``score``, the probability of class 1. It is computed from the model's coefficients: a model that was just
+    fitted holds its session by its summary, and a session that has observed metrics can't be sent to tasks."""
     scaler, model = fitted
     x = scaler.transform(df.withColumn("__x", doubles(vector)))
-    out = model.transform(x.drop("label", "probability", "prediction", "rawPrediction"))
-    return df.join(out.select("__key", F.element_at(vector_to_array("probability"), 2).alias("score")), "__key") if "__key" in df.columns else out.withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("__x", "__s", "rawPrediction", "probability", "prediction")
+    weighed = F.zip_with(vector_to_array("__s"), F.lit(model.coefficients.toArray().tolist()), lambda v, c: v * c)
+    logit = F.aggregate(weighed, F.lit(float(model.intercept)), lambda total, v: total + v)
+    return x.withColumn("score", 1 / (1 + F.exp(-logit))).drop("__x", "__s")
 
 
 def leave_one_group_out(df: DataFrame, vector: str, label: str, group: str) -> DataFrame:
