@@ -3,8 +3,9 @@
 import datetime as dt
 import os
 
+from tidemark.operators import timeseries
 from tidemark.sources.shared import fresh_path
-from tidemark.streaming import sessions, state
+from tidemark.streaming import segments, sessions, state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -39,3 +40,21 @@ def test_equal_times_have_one_order(spark, tmp_path):
     write(spark, tmp_path, "b", [(1, 2, 1.0), (2, 2, 3.0)], 2000)
     got = sorted((r.video, r["diff"]) for r in state.replay(spark, f"{tmp_path}/in", "*.parquet").collect())
     assert got == [(1, 2.0), (1, 2.0), (1, 8.0)]
+
+
+def test_segments_over_batches_equal_those_of_the_whole(spark, tmp_path):
+    scores = [90, 70, None, 61, 60, 10, 80, 80, 20, 20, 99, 99]
+    rows = [(v, h, None if s is None else float(s - 40 * (v == 2 and h % 4 == 3))) for h, s in enumerate(scores) for v in (1, 2)] + [(3, 0, 5.0)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    for k, part in enumerate([rows[:9], rows[9:13], rows[13:]]):
+        made = [(i, v, START + dt.timedelta(hours=h), s) for i, v, h, s in part]
+        spark.createDataFrame(made, "event_id long, user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/raw-{k}")
+        name = next(f for f in os.listdir(f"{tmp_path}/raw-{k}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.rename(f"{tmp_path}/raw-{k}/{name}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1000 * (k + 1),) * 2)
+    hour = 3_600_000_000
+    begin = int((START - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    whole = spark.createDataFrame([(i, v, begin + h * hour, s) for i, v, h, s in rows], "event_id long, video long, us long, score double")
+    got = sorted(map(tuple, segments.replay(spark, f"{tmp_path}/in", "*.parquet", 60.0, hour, files_at_once=1).collect()))
+    assert got == sorted(map(tuple, timeseries.segments(whole, 60.0, hour).collect())) and len(got) > 5

@@ -311,6 +311,13 @@ def _halves(values):
     return [v / 2 for v in values]
 
 
+@query
+def stream_segments(spark, sf):
+    from ..streaming import segments
+
+    return segments.replay(spark, sf, "events.parquet", THRESHOLD, HOUR)
+
+
 @query
 def stream_cameras(spark, sf):
     from ..streaming import scoring

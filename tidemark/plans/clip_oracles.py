@@ -76,4 +76,5 @@ SQL: dict[str, str] = {
     "frame_runs": f"""WITH {GREY}, u AS (SELECT vec_id, pos - 1 AS pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS island FROM g WHERE x > 20)
         SELECT vec_id AS event_id, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM u GROUP BY vec_id, island""",
     "stream_cameras": "SELECT event_id, event_type AS camera, CASE WHEN value <= 99 THEN value / 2 END AS scored, CASE WHEN value > 99 THEN 'ValueError: saturated' END AS error FROM events WHERE event_type IN ('view', 'click')",
+    "stream_segments": f"WITH {S}, {_islands('s', 'video', HOUR)} SELECT * FROM seg",
 }
