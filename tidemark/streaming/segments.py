@@ -42,7 +42,8 @@ def open_segments(samples: DataFrame, threshold: float, open_end: int = 1_000_00
         if n:
             found.append((*key, island, start, last + open_end, n, False))
         state.update((island, start, n, last))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in ROWS.split(", ")])
+        if found:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     return samples.groupBy("video").applyInPandasWithState(step, ROWS, "island long, start long, n long, last long", "append", GroupStateTimeout.NoTimeout)
 
