@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality, sentencepieces, simhash, site_style, token_counts, toxicity, url_rules, warc
+from . import fill_middle, media, packing, quality, sentencepieces, simhash, site_style, token_counts, toxicity, url_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,13 +63,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(table(spark, sf_dir, "documents"), seed=1, outputs=("output_sha256", "restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_rules, op2_simhash, op3_packing, op4_sentencepiece, op5_warc, op6_main_text, op7_token_counts, op8_quality_rules, op9_avi_media, op10_toxicity, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_rules, op2_simhash, op3_packing, op4_sentencepiece, op5_warc, op6_main_text, op7_token_counts, op8_quality_rules, op9_avi_media, op10_toxicity, op11_fill_middle, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_rules": r"""
@@ -110,4 +114,19 @@ ORACLE_SQL: dict[str, str] = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
                     OR 10 * word_chars < 20 * n_words OR word_chars > 30 * n_words) AS kept
         FROM m""",
+    "op11_fill_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+        d AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n,
+                     CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                     CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+        c AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+                     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        o AS (SELECT *, substring(text, 1, i) AS prefix, substring(text, i + 1, j - i) AS middle, substring(text, j + 1) AS suffix FROM c)
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM o""",
 }
