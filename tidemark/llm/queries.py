@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bucket_digest, fill_middle, media, packing, quality, sentencepieces, simhash, site_style, token_counts, toxicity, url_rules, warc
+from . import bucket_digest, fill_middle, media, packing, quality, sentencepieces, simhash, site_style, token_alignment, token_counts, toxicity, url_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,13 +71,17 @@ def op12_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.edited(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_rules, op2_simhash, op3_packing, op4_sentencepiece, op5_warc, op6_main_text, op7_token_counts, op8_quality_rules, op9_avi_media, op10_toxicity, op11_fill_middle, op12_bucket_digest, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_rules, op2_simhash, op3_packing, op4_sentencepiece, op5_warc, op6_main_text, op7_token_counts, op8_quality_rules, op9_avi_media, op10_toxicity, op11_fill_middle, op12_bucket_digest, op13_token_alignment, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_rules": r"""
