@@ -48,7 +48,7 @@ def test_slots_are_padded_means(spark):
 
 @pytest.mark.parametrize(("width", "want"), [(5, [1.2, 2, 3, 4, 3.6, 3]), (6, [1, 10 / 6, 2.5, 3.5, 20 / 6, 3])])
 def test_smoothing_pads_with_zeros(spark, width, want):
-    rows = series(spark, range(6), range(1, 7)).select("us", T.moving_average("score", width).alias("m")).orderBy("us").collect()
+    rows = T.smoothed(series(spark, range(6), range(1, 7)), "score", width, to="m").select("us", "m").orderBy("us").collect()
     assert [r.m for r in rows] == pytest.approx(want)
 
 

@@ -1,7 +1,8 @@
 """Operators on time-stamped score series: rows of a key, whole microseconds and a score.
 
 Every order has a unique last column (``tie``), so results don't depend on partitioning. Null scores are
-below any threshold. Each operator is one shuffle by its key; the aggregations that follow reuse it.
+below any threshold. Segments, peaks, best windows, means, differences and suppression cut long recordings by time
+(``buckets``); the others are one shuffle by their key, and the aggregations that follow reuse it.
 """
 
 from __future__ import annotations
@@ -11,26 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from .buckets import SECOND, best_window, lag_difference, peaks, segments, smoothed, suppress
 
-SECOND = 1_000_000
+__all__ = ["SECOND", "best_window", "chains", "early_stop", "interpolate", "lag_difference", "merge_peaks", "nearest", "peaks", "scale_to_max", "segments", "smoothed", "suppress", "sweep"]
 
 
 def _ordered(key: Sequence[str], t: str, tie: str):
     return Window.partitionBy(*key).orderBy(t, tie)
 
 
-def segments(df: DataFrame, threshold: float, least: int, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id", open_end: int = SECOND) -> DataFrame:
-    """``key, start_us, end_us, n``: stretches of samples at or above ``threshold``. One ends at the first
-    sample below it, or ``open_end`` after the last sample; those shorter than ``least`` are dropped."""
-    w = _ordered(key, t, tie)
-    above = F.coalesce(F.col(score) >= threshold, F.lit(False))
-    marked = df.select(*key, t, tie, above.alias("__f")).withColumns({"__new": F.col("__f") & ~F.coalesce(F.lag("__f").over(w), F.lit(False)), "__next": F.lead(t).over(w)})
-    marked = marked.withColumn("__island", F.sum(F.col("__new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__f")
-    out = marked.groupBy(*key, "__island").agg(F.min(t).alias("start_us"), F.when(F.count("__next") == F.count("*"), F.max("__next")).otherwise(F.max(t) + open_end).alias("end_us"), F.count("*").alias("n"))
-    return out.where(F.col("end_us") - F.col("start_us") >= least).drop("__island")
-
-
 def chains(df: DataFrame, gap: int, key: Sequence[str], t: str, tie: str) -> DataFrame:
     """``df`` and ``chain``: rows no more than ``gap`` after the row before them share one."""
     w = _ordered(key, t, tie)
@@ -38,13 +28,6 @@ def chains(df: DataFrame, gap: int, key: Sequence[str], t: str, tie: str) -> Dat
     return df.withColumn("__new", new.cast("long")).withColumn("chain", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def peaks(df: DataFrame, threshold: float, gap: int, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id") -> DataFrame:
-    """``key, peak_us, peak_score, n``: of each chain of samples at or above the threshold the first highest."""
-    up = chains(df.where(F.col(score) >= threshold), gap, key, t, tie)
-    best = F.max_by(F.struct(F.col(t).alias("t"), F.col(score).alias("s")), F.struct(F.col(score), -F.col(t)))
-    return up.groupBy(*key, "chain").agg(best.alias("__b"), F.count("*").alias("n")).select(*key, F.col("__b.t").alias("peak_us"), F.col("__b.s").alias("peak_score"), "n")
-
-
 def merge_peaks(found: DataFrame, gap: int, pad: int, key: Sequence[str] = ("video",), t: str = "peak_us", tie: Sequence[str] | str = "camera") -> DataFrame:
     """``key, start_us, end_us, n``: chains of peaks of all cameras; each slot reaches ``pad`` to either side
     of its chain's mean time (in whole microseconds), from 0 at least."""
@@ -68,51 +51,12 @@ def interpolate(queries: DataFrame, knots: DataFrame, key: Sequence[str] = ("vid
     return both.select(*queries.columns, F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["t"] == F.col(t)), lo["v"]).otherwise(line).alias(to))
 
 
-def lag_difference(df: DataFrame, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id", to: str = "diff") -> DataFrame:
-    """Absolute difference to the sample before; the first of a key has no row."""
-    return df.withColumn(to, F.abs(F.col(score) - F.lag(score).over(_ordered(key, t, tie)))).where(F.col(to).isNotNull())
-
-
 def scale_to_max(column: str, key: Sequence[str] = ("video",)) -> Column:
     """``column`` over its key's maximum, or as it is where that isn't above 0."""
     top = F.max(column).over(Window.partitionBy(*key))
     return F.when(top > 0, F.col(column) / top).otherwise(F.col(column))
 
 
-def moving_average(column: str, width: int, key: Sequence[str] = ("video",), t: str = "us", tie: str = "event_id") -> Column:
-    """Centred mean padded by zeros: the whole width divides, at the ends too. Series shorter than the
-    width stay as they are. An even width reaches one row further back."""
-    w = _ordered(key, t, tie)
-    return F.when(F.count("*").over(Window.partitionBy(*key)) >= width, F.sum(column).over(w.rowsBetween(-(width // 2), width - 1 - width // 2)) / width).otherwise(F.col(column))
-
-
-def best_window(df: DataFrame, length: int, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", skip_zero: bool = False) -> DataFrame:
-    """``key, start_us, total``: the sample from which the scores within ``length`` (its end excluded) sum
-    highest, the first of equals. With ``skip_zero`` keys whose scores are all 0 have no row."""
-    w = Window.partitionBy(*key).orderBy(t).rangeBetween(0, length - 1)
-    summed = df.select(*key, t, F.sum(F.col(score).cast("decimal(20,4)")).over(w).alias("total"))
-    out = summed.groupBy(*key).agg(F.max_by(F.struct(F.col(t).alias("t"), F.col("total")), F.struct("total", -F.col(t))).alias("__b"))
-    out = out.select(*key, F.col("__b.t").alias("start_us"), F.col("__b.total").cast("double").alias("total"))
-    return out.where("total > 0") if skip_zero else out
-
-
-def suppress(df: DataFrame, within: int, most: int, key: str = "video", t: str = "us", score: str = "score") -> DataFrame:
-    """``key, t, score``: samples taken from the highest down (the earlier of equals), none less than ``within``
-    from one taken before, ``most`` a key at most. Null scores don't count.
-
-    Every round takes one sample of each key at once: the best that no taken one rules out, by a partial maximum. What is
-    carried from round to round is a row a key with ``most`` samples at most; no key's samples meet in one task.
-    """
-    rows, _ = materialize(df.select(key, F.col(t).alias("__t"), F.col(score).alias("__s")).where("__t IS NOT NULL AND __s IS NOT NULL"), "suppression")
-    best = lambda free: F.max_by(F.struct("__t", "__s"), F.when(free, F.struct(F.col("__s"), -F.col("__t")))).alias("__best")
-    taken = rows.groupBy(key).agg(best(F.lit(True))).select(key, F.array("__best").alias("__taken"))
-    for _ in range(most - 1):
-        free = ~F.exists("__taken", lambda x: F.abs(x["__t"] - F.col("__t")) < within)
-        after = rows.join(taken, key).groupBy(key).agg(F.first("__taken").alias("__taken"), best(free))
-        taken = after.select(key, F.when(F.col("__best").isNull(), F.col("__taken")).otherwise(F.array_append("__taken", F.col("__best"))).alias("__taken"))
-    return taken.select(key, F.explode("__taken").alias("__b")).select(key, F.col("__b.__t").alias(t), F.col("__b.__s").alias(score))
-
-
 def nearest(df: DataFrame, grid: DataFrame, reach: int, key: Sequence[str] = ("video",), t: str = "us", tie: str = "event_id") -> DataFrame:
     """``grid`` (key, ``at``) and the nearest sample's time within ``reach``, the earlier of two as near."""
     w = Window.partitionBy(*key).orderBy("__t", "__g", tie)

@@ -87,12 +87,12 @@ def detect_slots(spark, sf):
 def motion_diff(spark, sf):
     d = T.lag_difference(samples(spark, sf))
     d = d.withColumn("diff", T.scale_to_max("diff"))
-    return d.select("event_id", "video", F.round(T.moving_average("diff", 5), 6).alias("motion"))
+    return T.smoothed(d.select("event_id", "video", "us", "diff"), "diff", 5).select("event_id", "video", F.round("smooth", 6).alias("motion"))
 
 
 @query
 def moving_avg_even(spark, sf):
-    return samples(spark, sf).select("event_id", "video", F.round(T.moving_average("score", 6), 6).alias("smooth"))
+    return T.smoothed(samples(spark, sf).select("event_id", "video", "us", "score"), "score", 6).select("event_id", "video", F.round("smooth", 6).alias("smooth"))
 
 
 @query
