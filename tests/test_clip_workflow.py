@@ -185,25 +185,3 @@ def test_a_classifier_scores_after_an_observation(spark):
     assert got.columns == [*df.columns, "score"]
     assert all((r.score >= 0.5) == (r.label == 1) for r in got.collect())
     assert {r.group: r.n for r in L.leave_one_group_out(df, "v", "label", "g").collect()} == {0: 20, 1: 20}
-
-
-def test_foreground_equals_a_model_per_pixel(spark):
-    rng = np.random.default_rng(8)
-    rows = [(v, t, 10 * v + t, rng.integers(0, 20, 6).tolist()) for v in (1, 2) for t in range(12)]
-    rows[7][3][:3] = [250, 240, 230]
-    rows[20][3][5] = 255
-    want = {}
-    for v in (1, 2):
-        model = {}
-        for _, t, _, pixels in (r for r in rows if r[0] == v):
-            odd = 0
-            for i, x in enumerate(pixels):
-                mean, var = model.get(i, (float(x), 15.0))
-                d = x - mean
-                odd += d * d > 25 * var
-                rate = 1 / min(t + 1, 4)
-                model[i] = mean + rate * d, max(var + rate * (d * d - var), 15.0)
-            want[v, t] = odd / 6
-    df = spark.createDataFrame(rows[::-1], "video long, us long, event_id long, pixels array<int>")
-    got = {(r.video, r.us): r.foreground for r in R.foreground(df, history=4).collect()}
-    assert got == pytest.approx(want) and want[1, 7] >= 0.5 and want[2, 8] > 0

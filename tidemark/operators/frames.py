@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,32 +42,3 @@ def runs(frames: DataFrame, level: float, pixels: str = "pixels") -> DataFrame:
     lasts = F.filter(places, lambda i: up(i) & ~up(i + 1))
     found = F.inline(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
     return frames.select(*(c for c in frames.columns if c != pixels), found)
-
-
-def foreground(frames: DataFrame, history: int = 200, variance: float = 25.0, floor: float = 15.0, key: str = "video", t: str = "us", pixels: str = "pixels", tie: str = "event_id") -> DataFrame:
-    """``key, t, foreground``: the share of pixels that a running Gaussian background doesn't explain.
-
-    The model carries state from frame to frame, so a video is one ordered run of rows in its task; only the
-    model (two numbers a pixel) is held, not the video: rows stream by in batches sorted by video and time. The
-    first frame of a video is all background; dark frames feed the model too.
-    """
-    kinds = dict(frames.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, mean, var, seen = None, None, None, 0
-        for b in batches:
-            shares = []
-            for k, p in zip(b[key], b[pixels], strict=True):
-                x = np.asarray(p, np.float64)
-                if mean is None or k != video or len(x) != len(mean):
-                    video, mean, var, seen = k, x.copy(), np.full(len(x), floor), 0
-                d = x - mean
-                shares.append(float((d * d > variance * var).mean()) if len(x) else 0.0)
-                seen += 1
-                rate = 1 / min(seen, history)
-                mean += rate * d
-                var = np.maximum(var + rate * (d * d - var), floor)
-            yield pd.DataFrame({key: b[key], t: b[t], "foreground": shares})
-
-    ordered = frames.select(key, t, tie, pixels).repartition(key).sortWithinPartitions(key, t, tie)
-    return ordered.mapInPandas(run, f"{key} {kinds[key]}, {t} {kinds[t]}, foreground double")

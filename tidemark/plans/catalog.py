@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
+from ..operators import foreground as G
 from ..operators import frames as R
 from ..operators import learning as L
 from ..operators import timeseries as T
 from ..operators import vectors as V
 from ..sources.tables import hrefs, micros, samples, table
+from ..streaming import foreground as watch
 from ..streaming import sessions, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,6 +460,18 @@ def pixel_deviation(spark, sf):
     return R.deviation(f, f.where("us = 0")).select("us", F.round("deviation", 6).alias("deviation"))
 
 
+#: A model of 8 x 8 pixels that suits so tiny frames.
+SCENE = G.Settings(width=8, history=50, variance=25.0, opened=1, closed=3, low=0.01, high=0.5)
+
+
 @query
 def foreground(spark, sf):
-    return R.foreground(_frames(spark, sf))
+    f = _frames(spark, sf).withColumn("us", (F.col("us") + 1) * SEC)  # a frame a second
+    found = G.foreground(f, SCENE)
+    return found.select("video", "us", "event_id", *(F.round(c, 9).alias(c) for c in ("foreground", "largest", "band")), "n_blobs")
+
+
+@query
+def stream_foreground(spark, sf):
+    found = watch.replay(spark, sf, "embeddings.parquet", SCENE)
+    return found.select("video", "us", "event_id", *(F.round(c, 9).alias(c) for c in ("foreground", "largest", "band")), "n_blobs")
