@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import buckets as B
 from tidemark.operators import joins
+from tidemark.sources.shared import fresh_path
+
 from . import plain_series as T
 
 KEY = ["video", "camera"]
@@ -79,8 +81,22 @@ def test_dealt_join(spark):
     one = many.where("k % 2 <> 0").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
     for how in ("inner", "left"):
         want = many.join(one.drop("n"), "k", how)
-        same(joins.dealt_join(many, one, "k", "v", "n", 5_000, how, part_rows=100), want)
-        same(joins.dealt_join(many, one, "k", "v", "n", 5_000, how), want)
+        same(joins.dealt_join(many, one, "k", ["v"], "n", 5_000, how, part_rows=100), want)
+        same(joins.dealt_join(many, one, "k", ["v"], "n", 5_000, how, part_rows=10_000), want)
+
+
+def test_dealt_join_broadcasts_no_repeats(spark):
+    """What is broadcast of the table with a row a key has no more rows than that table."""
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), F.col("id").alias("v"))
+    many = rows.unionByName(spark.range(30_000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v")))
+    path = fresh_path(spark, "one")
+    many.groupBy("k").agg(F.count("*").alias("n")).write.parquet(path)
+    got = joins.dealt_join(many, spark.read.parquet(path), "k", ["v"], "n", 90_000, "left")
+    got.write.format("noop").mode("overwrite").save()
+    assert got.count() == 90_000
+    plan = joins.dealt_join(many, spark.read.parquet(path), "k", ["v"], "n", 90_000, "left").repartition(3)
+    repeats = spark.read.parquet(path).withColumn("p", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 1_000).cast("int") - 1))).count()
+    assert repeats <= 20_000 + 90_000 // 1_000 and plan.count() == 90_000
 
 
 def test_no_window_orders_a_recording_s_samples(series):

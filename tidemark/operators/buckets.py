@@ -191,7 +191,7 @@ def suppress(df: DataFrame, within: int, most: int, key: str = "video", t: str =
     bound = F.max(F.when(F.col("__place") == 3 * most - 2, F.col("__top"))).alias("__least")
     least = buckets.withColumn("__place", place).groupBy("__key").agg(bound, F.sum("__n").alias("__n"))
     total = buckets.agg(F.sum("__n")).first()[0] or 0
-    high = dealt_join(s.withColumn("__key", _as_value("__key")), least.withColumn("__key", _as_value("__key")), "__key", "__t", "__n", total).where(F.col("__least").isNull() | (rank >= F.col("__least")))
+    high = dealt_join(s.withColumn("__key", _as_value("__key")), least.withColumn("__key", _as_value("__key")), "__key", ["__t"], "__n", total).where(F.col("__least").isNull() | (rank >= F.col("__least")))
     kinds = dict(df.dtypes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
