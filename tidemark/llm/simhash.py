@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import dealt_join
 from .common import materialize, remove, text_or_empty
 
 SEED = 42
 GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-SALTS = 16
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -237,12 +237,6 @@ def _window(*by: str):
     return Window.partitionBy(*by)
 
 
-def _salted_join(big: DataFrame, small: DataFrame, on: str, by: str) -> DataFrame:
-    """Inner join where one value of ``on`` may have very many rows in ``big``: they are dealt by ``by``."""
-    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [on, "__salt"]).drop("__salt")
-
-
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``node, root``: every node of the links ``a, b`` with its component's smallest node.
 
@@ -258,11 +252,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
             break
         before = size
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = dealt_join(both.where("v > u"), least, "u", ["v"], "n", 2 * size[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, large_path = materialize(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _salted_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = dealt_join(large, least, "u", ["v"], "n", 2 * size[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after, after_path = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         remove(spark, path)
         remove(spark, large_path)
@@ -274,24 +268,23 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def named(prints: DataFrame, distinct: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, fp, component_id`` of every row of ``prints``; ``distinct``: ``fp, least`` (its smallest id);
-    ``found``: ``node, root`` of the linked ones."""
+    """``id_col, fp, component_id`` of every row of ``prints``; ``distinct``: ``fp, least`` (its smallest id) and ``n`` (its
+    rows); ``found``: ``node, root`` of the linked ones."""
     spark = prints.sparkSession
-    linked = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     linked, linked_path = materialize(linked, "linked-fingerprints")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    names, _ = materialize(_salted_join(linked, ids, "root", "fp").select("fp", "component_id"), "named-fingerprints")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    fps, rows = linked.agg(F.count("*"), F.sum("n")).first()
+    names, _ = materialize(dealt_join(linked, ids, "root", ["fp"], "of", fps).select("fp", "n", "component_id"), "named-fingerprints")
     remove(spark, linked_path)
-    dealt = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = prints.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    return rows.join(dealt, ["fp", "__salt"]).select(id_col, "fp", "component_id")
+    return dealt_join(prints, names, "fp", [id_col], "n", rows or 0).select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint string, component_id`` (the smallest id of all documents linked to it) per row."""
     spark = docs.sparkSession
     prints, _ = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct, distinct_path = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    distinct, distinct_path = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     found, found_path = materialize(components(links(distinct, most, block)), "components")
     rows = named(prints, distinct, found, id_col)
     for p in (distinct_path, found_path):

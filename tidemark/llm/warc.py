@@ -29,11 +29,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import dealt_join
 from .common import fresh_path, materialize
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id {id}, record_type string"
-#: Copies of a group's row: its pages are dealt over so many keys.
-SALTS = 32
 
 
 def digest(payload: bytes) -> str:
@@ -45,15 +44,14 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
 
     Only digests are grouped (with partial sums in each task), and only digests of two or more pages are
     joined back. They are written as a table first, so Spark knows its size: a small one is broadcast and no page
-    is shuffled; else the join is over salted keys, and a payload that many pages share is dealt out.
+    is shuffled. Pages of a payload that very many share are dealt over several keys (``dealt_join``).
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("__sha", F.sha1(F.col("html").cast("binary")))
-    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("__sha").agg(F.max("page_id").alias("__keeper"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("__sha").agg(F.max("page_id").alias("__keeper"), F.count("*").alias("__n")).where("__n > 1")
     groups, _ = materialize(groups, "warc-keepers")
-    dealt = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     same = F.col("page_id").eqNullSafe(F.col("__keeper"))
-    return salted.join(dealt, ["__sha", "__salt"], "left").select("page_id", "url", "html", F.when(~same, F.col("__keeper")).alias("keeper"))
+    met = dealt_join(rows, groups, "__sha", ["page_id", "url"], "__n", pages.count(), "left")
+    return met.select("page_id", "url", "html", F.when(~same, F.col("__keeper")).alias("keeper"))
 
 
 def _name(page_id) -> str:
