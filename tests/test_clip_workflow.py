@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import clips as C
-from tidemark.operators import density as D
 from tidemark.operators import learning as L
 from tidemark.operators import metrics
 from tidemark.operators import frames as R
@@ -144,20 +143,6 @@ def test_logistic_regression_equals_a_numpy_solve_and_survives_saving(spark, tmp
     assert (r.n, r.occupancy) == (80, pytest.approx(np.mean([got[i] >= 0.5 for i in range(80)]))) and r.event_max == pytest.approx(max(got[i] for i in range(1, 6)))
 
 
-def test_density_labels_of_blobs_and_noise(spark):
-    rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(0, 0.1, (12, 2)), rng.normal(5, 0.1, (9, 2)), [[50.0, 50.0]], rng.normal([0, 9], 0.1, (5, 2))])
-    assert D.density_labels(x, 3).tolist() == [0] * 12 + [1] * 9 + [-1] + [2] * 5
-    assert D.density_labels(x[:3], 3).tolist() == [-1] * 3
-    brute = min(math.dist(a, b) for a in x[:12] for b in x[12:21])
-    tree = D.spanning_tree(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)))
-    assert len(tree) == len(x) - 1 and tree[-1][0] > brute > tree[0][0]
-    df = spark.createDataFrame([("g", i, a.tolist()) for i, a in enumerate(x)], "g string, id long, v array<double>")
-    assert [r.cluster for r in D.density_clusters(df, "g", "id", "v").orderBy("id").collect()] == D.density_labels(x, 3).tolist()
-    with pytest.raises(ValueError, match="more than"):
-        D.density_clusters(df, "g", "id", "v", most_rows=5)
-
-
 def test_failing_rows_keep_their_batch(spark):
     def score(values):
         if any(v is None or v < 0 for v in values):

@@ -1,40 +1,54 @@
-"""Density clustering of each group's vectors: HDBSCAN (Campello, Moulavi and Sander 2013) within a checked size."""
+"""Density clustering of all vectors together: HDBSCAN (Campello, Moulavi and Sander 2013), exact, over blocks of vectors.
+
+Vectors are dealt to the nearest of a few pivots, and a pivot's cell into blocks of ``block`` rows. A block meets those cells only
+that can still matter by the triangle inequality: for core distances, cells nearer than the neighbours already known; for
+the spanning tree, cells nearer than the best edge already known of a component. Pairs of blocks are compared in tasks and give
+back minima; no pair of vectors is ever a row.
+
+The minimum spanning tree of mutual reachability grows by rounds (Boruvka 1926): each component takes its least edge, in the
+total order (length, smaller key, larger key), and pointers to the component at the other end are doubled until all name their
+roots. Rounds are no more than the logarithm of the number of vectors; each ends in a written table.
+
+The condensed tree is one ordered pass over the tree's edges, an edge a vector: the one step that is a single task, which
+holds a few numbers a vector (about 100 bytes) and no vectors.
+
+Keys are whole numbers, each on one row. Rows without a vector or key are noise (-1), and all rows are if there are no more than
+``least``. Equal vectors are at distance 0. Pivots are a sample and steer only which blocks meet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, remove
+
+#: Differences between vectors that are held at a time.
+CELLS = 1 << 21
+EDGE = "comp long, w double, a long, b long, other long"
 
-def spanning_tree(distance: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges of a minimum spanning tree of a full distance matrix, shortest first."""
-    n = len(distance)
-    far, via, inside = distance[0].copy(), np.zeros(n, np.int64), np.zeros(n, bool)
-    inside[0], edges = True, []
-    for _ in range(n - 1):
-        k = int(np.argmin(np.where(inside, np.inf, far)))
-        edges.append((float(far[k]), int(via[k]), k))
-        inside[k] = True
-        nearer = distance[k] < far
-        far[nearer], via[nearer] = distance[k][nearer], k
-    return sorted(edges)
-
-
-def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
-    """A label per row, numbered by first row; -1 is noise. ``least``: rows of a cluster, and neighbours of a core."""
-    n = len(x)
-    out = np.full(n, -1, np.int64)
-    if n <= least:
-        return out
-    square = (x * x).sum(1)
-    distance = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-    np.fill_diagonal(distance, 0)
-    core = np.partition(distance, least, axis=1)[:, least]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), distance)
-    # single linkage: node n + i joins two nodes at the i-th shortest edge
-    top, children, height, rows = list(range(n)), {}, {}, {i: [i] for i in range(n)}
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows; those of a pair are the same bits whatever else is in the blocks."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, CELLS // max(1, y.size))
+    for lo in range(0, len(x), step):
+        out[lo : lo + step] = np.sqrt(((x[lo : lo + step, None] - y[None]) ** 2).sum(-1))
+    return out
+
+
+def tree_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and their clusters, from a spanning tree's edges in ascending order. Clusters are numbered by their
+    smallest key; -1 is noise."""
+    keys = np.unique(np.concatenate([a, b]))
+    n = len(keys)
+    size = np.ones(2 * n - 1, np.int64)
+    children = np.zeros((n - 1, 2), np.int64)
+    top = np.arange(2 * n - 1)
 
     def root(i: int) -> int:
         while top[i] != i:
@@ -42,65 +56,283 @@ def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
             i = top[i]
         return i
 
-    for w, a, b in spanning_tree(reach):
-        node = len(top)
-        a, b = root(a), root(b)
-        top.append(node)
-        top[a] = top[b] = node
-        children[node], height[node], rows[node] = (a, b), w, rows[a] + rows[b]
-    # condensed tree: a cluster lives on while only few rows fall off it
-    last = len(top) - 1
-    born, stability, parts, held = {last: 0.0}, {last: 0.0}, {last: []}, {last: rows[last]}
-    work = [(last, last)]
-    while work:
-        node, cluster = work.pop()
-        if node not in children:
-            continue
-        density = 1 / height[node] if height[node] > 0 else 1e300
-        big = [c for c in children[node] if len(rows[c]) >= least]
-        for c in children[node]:
-            if c not in big or len(big) == 2:
-                stability[cluster] += len(rows[c]) * (density - born[cluster])
-        for c in big:
-            if len(big) == 2:
-                parts[cluster].append(c)
-                born[c], stability[c], parts[c], held[c] = density, 0.0, [], rows[c]
-                work.append((c, c))
+    for k, (i, j) in enumerate(zip(np.searchsorted(keys, a).tolist(), np.searchsorted(keys, b).tolist(), strict=True)):
+        i, j = root(i), root(j)
+        top[i] = top[j] = n + k
+        children[k], size[n + k] = (i, j), size[i] + size[j]
+    # from the root down: a cluster lives on while only few keys fall off it
+    of = np.zeros(2 * n - 1, np.int64)  # each node's cluster
+    above, born, worth = [-1], [0.0], [0.0]
+    for k in range(n - 2, -1, -1):
+        c, (i, j) = of[n + k], children[k]
+        density = 1 / w[k] if w[k] > 0 else 1e300
+        split = min(size[i], size[j]) >= least
+        for child in (i, j):
+            if split:
+                of[child] = len(above)
+                above.append(int(c))
+                born.append(density)
+                worth.append(0.0)
             else:
-                work.append((c, cluster))
-    # the most stable clusters that don't hold one another; the root is none
-    chosen: set[int] = set()
-    worth = dict(stability)
-    for c in sorted(held):
-        below = sum(worth[p] for p in parts[c])
-        if c != last and (not parts[c] or stability[c] >= below):
-            chosen.add(c)
-        else:
-            worth[c] = below if parts[c] else worth[c]
-    taken: list[list[int]] = []
-    work = [last]
-    while work:
-        c = work.pop()
-        if c in chosen:
-            taken.append(sorted(held[c]))
-        else:
-            work += parts[c]
-    for k, members in enumerate(sorted(taken)):
-        out[members] = k
-    return out
+                of[child] = c
+            if split or size[child] < least:
+                worth[c] += size[child] * (density - born[c])
+    # the most stable clusters that don't hold one another; the whole is none
+    below, parts, chosen = [0.0] * len(above), [0] * len(above), [False] * len(above)
+    for c in range(len(above) - 1, 0, -1):
+        chosen[c] = parts[c] == 0 or worth[c] >= below[c]
+        below[above[c]] += worth[c] if chosen[c] else below[c]
+        parts[above[c]] += 1
+    named = [-1] * len(above)
+    for c in range(1, len(above)):
+        named[c] = named[above[c]] if named[above[c]] >= 0 else c if chosen[c] else -1
+    found = np.array(named)[of[:n]]
+    kinds, first = np.unique(found[found >= 0], return_index=True)
+    number = dict(zip(kinds[np.argsort(np.flatnonzero(found >= 0)[first])].tolist(), range(len(kinds)), strict=True))
+    return keys, np.array([number.get(int(c), -1) for c in found])
+
+
+class Cells:
+    """Pivots, and for each the least and largest distance of its vectors; a row a pivot, held by driver and tasks."""
+
+    def __init__(self, pivots: np.ndarray, near: np.ndarray, far: np.ndarray):
+        self.pivots, self.near, self.far = pivots, near, far
+
+    def bound(self, x: np.ndarray) -> np.ndarray:
+        """What each row is at least away from every vector of each cell (a little less, for rounding)."""
+        d = distances(x, self.pivots)
+        return np.maximum(0, np.maximum(d - self.far, self.near - d) * (1 - 1e-9) - 1e-12)
+
+
+def _rows(table: dict, schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(table[n], types[k]) for n, k in zip(names, kinds, strict=True)], names=list(names))
+
+
+def _blocks(df: DataFrame, key: str, vector: str, pivots: int, block: int) -> tuple[DataFrame, Cells]:
+    """Written blocks ``block, cell, ids, vectors`` (ids ascending, as binary), and their cells."""
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # a bounded sample
+    heads = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            d = distances(x, heads)
+            cell = d.argmin(1)
+            yield _rows({"id": b.column(0), "v": [v.tobytes() for v in x], "cell": cell, "d": d[np.arange(len(x)), cell]}, "id long, v binary, cell long, d double")
+
+    placed, placed_path = materialize(rows.mapInArrow(nearest, "id long, v binary, cell long, d double"), "density-rows")
+    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.count("*").alias("n")).collect()}  # a row a pivot
+    near, far = (np.array([stats[c][name] if c in stats else fill for c in range(len(heads))]) for name, fill in (("near", np.inf), ("far", -np.inf)))
+    parts = F.create_map(*(F.lit(x).cast("long") for c, r in stats.items() for x in (c, -(-r["n"] // block)))) if stats else F.lit(None)
+    numbered = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts[F.col("cell")]) * pivots + F.col("cell")) if stats else placed.withColumn("block", F.lit(0).cast("long"))
+    held = numbered.groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, cell, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield _rows({"block": [number], "cell": [cell], "ids": [np.array([x["id"] for x in r], np.int64).tobytes()], "vectors": [b"".join(x["v"] for x in r)]}, "block long, cell long, ids binary, vectors binary")
+
+    blocks, _ = materialize(held.mapInArrow(packed, "block long, cell long, ids binary, vectors binary"), "density-blocks")
+    remove(df.sparkSession, placed_path)
+    return blocks, Cells(heads, near, far)
+
+
+def _opened(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(ids, np.int64)
+    return found, np.frombuffer(vectors).reshape(len(found), -1)
+
+
+def _paired(routed: DataFrame, blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on every routed block (its columns and ``cells`` to visit) and each block of these cells but itself."""
+    mine = routed.withColumn("to", F.explode("cells")).drop("cells")
+    theirs = blocks.select(*(F.col(c).alias(f"their_{c}") for c in blocks.columns))
+    met = mine.join(theirs, F.col("to") == F.col("their_cell")).where("block <> their_block").drop("to", "cell", "block", "their_cell", "their_block")
+    return met.mapInArrow(work, schema)
+
+
+def core_distances(blocks: DataFrame, cells: Cells, least: int) -> DataFrame:
+    """``id, block, core``: the distance to the ``least``-th nearest other vector."""
+
+    def smallest(d: np.ndarray) -> np.ndarray:
+        d = np.pad(d, ((0, 0), (0, max(0, least - d.shape[1]))), constant_values=np.inf)
+        return np.sort(np.partition(d, least - 1, axis=1)[:, :least], axis=1)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, cell, packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, x = _opened(packed, vectors)
+                d = distances(x, x)
+                np.fill_diagonal(d, np.inf)
+                known = smallest(d)
+                cells_met = np.flatnonzero((cells.bound(x) < known[:, -1:]).any(0))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([cell]), pa.array([packed]), pa.array([vectors]), pa.array([known.tobytes()]), pa.array([cells_met.tolist()], pa.list_(pa.int64()))], names=["block", "cell", "ids", "vectors", "known", "cells"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, vectors, known, _, theirs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, x = _opened(packed, vectors)
+                d = smallest(distances(x, np.frombuffer(theirs).reshape(-1, x.shape[1])))
+                nearer = d[:, 0] < np.frombuffer(known).reshape(len(ids), -1)[:, -1]
+                yield _rows({"id": ids[nearer], "known": [r.tobytes() for r in d[nearer]]}, "id long, known binary")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(packed, np.int64)
+                yield _rows({"id": ids, "known": [r.tobytes() for r in np.frombuffer(known).reshape(len(ids), -1)]}, "id long, known binary")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            core = [np.partition(np.frombuffer(b"".join(lists)), least - 1)[least - 1] for lists in b.column(1).to_pylist()]
+            yield _rows({"id": b.column(0), "core": core}, "id long, core double")
+
+    routed, _ = materialize(blocks.select("block", "cell", "ids", "vectors").mapInArrow(own, "block long, cell long, ids binary, vectors binary, known binary, cells array<long>"), "density-neighbours")
+    seen = _paired(routed, blocks, others, "id long, known binary").unionByName(routed.select("ids", "known").mapInArrow(alone, "id long, known binary"))
+    return seen.groupBy("id").agg(F.collect_list("known").alias("known")).mapInArrow(merged, "id long, core double")
+
+
+def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int = 64) -> DataFrame:
+    """``a, b, w``: the edges (a < b) of the minimum spanning tree of mutual reachability."""
+    spark = blocks.sparkSession
+
+    def least_edges(comp: np.ndarray, ids: np.ndarray, d: np.ndarray, their_ids: np.ndarray, their_comp: np.ndarray) -> dict:
+        """Each component's least edge, of a matrix of lengths whose inner places are infinite."""
+        w = d.min(1)
+        some = np.flatnonzero(np.isfinite(w))
+        out: dict[int, tuple] = {}
+        for i in some.tolist():
+            for j in np.flatnonzero(d[i] == w[i]).tolist():
+                edge = (float(w[i]), int(min(ids[i], their_ids[j])), int(max(ids[i], their_ids[j])), int(their_comp[j]))
+                if edge < out.get(int(comp[i]), (np.inf,)):
+                    out[int(comp[i])] = edge
+        return out
+
+    def as_rows(found: dict) -> pa.RecordBatch:
+        return _rows(dict(zip(("comp", "w", "a", "b", "other"), zip(*((c, *e) for c, e in found.items()), strict=True), strict=True)) if found else dict.fromkeys(("comp", "w", "a", "b", "other"), []), EDGE)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, vectors, core, comp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (ids, x), core, comp = _opened(packed, vectors), np.array(core), np.array(comp)
+                if (comp == comp[0]).all():
+                    continue
+                d = np.maximum(distances(x, x), np.maximum(core[:, None], core[None]))
+                d[comp[:, None] == comp[None]] = np.inf
+                yield as_rows(least_edges(comp, ids, d, ids, comp))
+
+    def routing(whole: dict[int, int]) -> Callable:
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                columns = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+                to = []
+                for packed, vectors, core, comp, w in zip(*(columns[n].to_pylist() for n in ("ids", "vectors", "core", "comp", "w")), strict=True):
+                    _, x = _opened(packed, vectors)
+                    w = np.array([np.inf if v is None else v for v in w])
+                    can = np.maximum(cells.bound(x), np.array(core)[:, None]) <= w[:, None]
+                    inner = np.array([whole.get(c, -1) for c in range(can.shape[1])])
+                    can &= np.array(comp)[:, None] != inner
+                    to.append(np.flatnonzero(can.any(0)).tolist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int64()))], names=[*b.schema.names, "cells"])
+
+        return route
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, vectors, core, comp, w, ids2, vectors2, core2, comp2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (ids, x), (their_ids, y) = _opened(packed, vectors), _opened(ids2, vectors2)
+                comp, their_comp = np.array(comp), np.array(comp2)
+                if (comp == comp[0]).all() and (their_comp == comp[0]).all():
+                    continue
+                d = np.maximum(distances(x, y), np.maximum(np.array(core)[:, None], np.array(core2)[None]))
+                d[(comp[:, None] == their_comp[None]) | (d > np.array([np.inf if v is None else v for v in w])[:, None])] = np.inf
+                yield as_rows(least_edges(comp, ids, d, their_ids, their_comp))
+
+    comps, comps_path = materialize(cores.select("id", "block", "core", F.col("id").alias("comp")), "density-components")
+    tree = None
+    for _ in range(rounds):
+        if comps.select("comp").distinct().limit(2).count() < 2:
+            break
+
+        def with_state(best: DataFrame | None, comps: DataFrame = comps) -> DataFrame:
+            rows = comps.withColumn("w", F.lit(None).cast("double")) if best is None else comps.join(best.select("comp", "e.w"), "comp", "left")
+            lists = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "core", "comp", "w"))).alias("r"))
+            return blocks.join(lists, "block").select("block", "cell", "ids", "vectors", F.col("r.core").alias("core"), F.col("r.comp").alias("comp"), F.col("r.w").alias("w"))
+
+        edge = F.min(F.struct("w", "a", "b", "other")).alias("e")
+        first, first_path = materialize(with_state(None).select("ids", "vectors", "core", "comp").mapInArrow(inside, EDGE).groupBy("comp").agg(edge), "density-edges")
+        state, state_path = materialize(with_state(first), "density-state")
+        of_cell = comps.withColumn("cell", F.pmod("block", F.lit(len(cells.pivots)))).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        whole = {r["cell"]: r["lo"] for r in of_cell.where("lo = hi").collect()}  # a row a pivot
+        shape = "block long, cell long, ids binary, vectors binary, core array<double>, comp array<long>, w array<double>"
+        routed = state.mapInArrow(routing(whole), shape + ", cells array<long>")
+        found = _paired(routed, state.drop("w"), across, EDGE).unionByName(first.select("comp", "e.*"))
+        best, best_path = materialize(found.groupBy("comp").agg(edge), "density-edges")
+        new, _ = materialize(best.select("e.a", "e.b", "e.w").distinct(), "density-tree")
+        tree = new if tree is None else tree.unionByName(new)
+        roots, roots_path = _roots(best.select("comp", F.col("e.other").alias("to")))
+        after, after_path = materialize(comps.join(roots, "comp").select("id", "block", "core", F.col("root").alias("comp")), "density-components")
+        for path in (comps_path, first_path, state_path, best_path, roots_path):
+            remove(spark, path)
+        comps, comps_path = after, after_path
+    else:
+        raise RuntimeError(f"no single tree after {rounds} rounds")
+    remove(spark, comps_path)
+    return tree
+
+
+def _roots(pointers: DataFrame) -> tuple[DataFrame, str]:
+    """``comp, root``, written: where ``to`` of every component leads. The least edges of a total order close no circle but
+    between two components, whose smaller one is the root."""
+    spark = pointers.sparkSession
+    back = pointers.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+    start = pointers.join(back, "to").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
+    held, path = materialize(start, "density-roots")
+    while True:
+        further = held.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+        after, after_path = materialize(held.join(further, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "density-roots")
+        moved = after.where("moved").limit(1).count()
+        remove(spark, path)
+        held, path = after.select("comp", "root"), after_path
+        if not moved:
+            return held, path
+
+
+def density_clusters(df: DataFrame, key: str, vector: str, least: int = 3, pivots: int = 64, block: int = 1024) -> DataFrame:
+    """``key, cluster`` of every row: clusters of all vectors, numbered by their smallest key; -1 is noise. ``least``: rows of a
+    cluster, and neighbours of a core."""
+    spark = df.sparkSession
+    noise = df.select(F.col(key), F.lit(-1).cast("long").alias("cluster"))
+    blocks, cells = _blocks(df, key, vector, pivots, block)
+    of_block = _members(blocks)
+    if of_block.limit(least + 1).count() <= least:
+        return noise
+    cores, cores_path = materialize(core_distances(blocks, cells, least).join(of_block, "id"), "density-cores")
+    tree = spanning_tree(blocks, cells, cores)
+    remove(spark, cores_path)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        if parts:
+            keys, found = tree_labels(*(np.concatenate(c) for c in zip(*parts, strict=True)), least)
+            for lo in range(0, len(keys), 1 << 16):
+                yield _rows({"id": keys[lo : lo + (1 << 16)], "cluster": found[lo : lo + (1 << 16)]}, "id long, cluster long")
+
+    labels = tree.coalesce(1).sortWithinPartitions("w", "a", "b").select("a", "b", "w").mapInArrow(label, "id long, cluster long")
+    labels = labels.select(F.col("id").alias("__id"), F.col("cluster").alias("__cluster"))
+    met = df.select(key).join(labels, F.col(key).cast("long") == F.col("__id"), "left")
+    return met.select(key, F.coalesce("__cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
-def density_clusters(df: DataFrame, group: str, key: str, vector: str, least: int = 3, most_rows: int = 4096) -> DataFrame:
-    """``group, key, cluster``: clusters of each group's vectors, -1 for noise. A group's distances are a matrix in one
-    task, so a group of more than ``most_rows`` raises ValueError: cut it by a further column first."""
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest > most_rows:
-        raise ValueError(f"a group has {largest} rows, more than {most_rows}")
-    kinds = dict(df.dtypes)
+def _members(blocks: DataFrame) -> DataFrame:
+    """``id, block`` of all rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), np.float64).reshape(len(pdf), -1)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": density_labels(x, least)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(packed, np.int64)
+                yield _rows({"id": ids, "block": np.full(len(ids), number)}, "id long, block long")
 
-    return df.select(group, key, vector).groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, cluster long")
+    return blocks.select("block", "ids").mapInArrow(run, "id long, block long")

@@ -290,7 +290,7 @@ def elbow(spark, sf):
 def density_clusters(spark, sf):
     from ..operators import density as D
 
-    return D.density_clusters(_vectors(spark, sf).withColumn("part", F.pmod("vec_id", F.lit(64))), "part", "vec_id", "embedding", 2)
+    return D.density_clusters(_vectors(spark, sf), "vec_id", "embedding", 3)
 
 
 @query
