@@ -126,8 +126,8 @@ def _blocks(df: DataFrame, key: str, vector: str, pivots: int, block: int) -> tu
     placed, placed_path = materialize(rows.mapInArrow(nearest, "id long, v binary, cell long, d double"), "density-rows")
     stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.count("*").alias("n")).collect()}  # a row a pivot
     near, far = (np.array([stats[c][name] if c in stats else fill for c in range(len(heads))]) for name, fill in (("near", np.inf), ("far", -np.inf)))
-    parts = F.create_map(*(F.lit(x).cast("long") for c, r in stats.items() for x in (c, -(-r["n"] // block)))) if stats else F.lit(None)
-    numbered = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts[F.col("cell")]) * pivots + F.col("cell")) if stats else placed.withColumn("block", F.lit(0).cast("long"))
+    parts = F.create_map(*(F.lit(x).cast("long") for c, r in stats.items() for x in (c, -(-r["n"] // block))))
+    numbered = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts[F.col("cell")]) * len(heads) + F.col("cell"))
     held = numbered.groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,10 +305,10 @@ def density_clusters(df: DataFrame, key: str, vector: str, least: int = 3, pivot
     cluster, and neighbours of a core."""
     spark = df.sparkSession
     noise = df.select(F.col(key), F.lit(-1).cast("long").alias("cluster"))
+    if df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).limit(least + 1).count() <= least:
+        return noise
     blocks, cells = _blocks(df, key, vector, pivots, block)
     of_block = _members(blocks)
-    if of_block.limit(least + 1).count() <= least:
-        return noise
     cores, cores_path = materialize(core_distances(blocks, cells, least).join(of_block, "id"), "density-cores")
     tree = spanning_tree(blocks, cells, cores)
     remove(spark, cores_path)
