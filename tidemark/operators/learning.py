@@ -1,17 +1,17 @@
-"""Labels, validation figures, clustering and classification of feature vectors, by MLlib."""
+"""Labels, validation figures, clustering and classification of feature vectors, by MLlib and ``models``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, remove
+from . import models
 
 
 def auto_label(score: Column, negative: Column, low: float = 0.49, high: float = 0.55) -> Column:
@@ -60,23 +60,23 @@ def reduced(df: DataFrame, vector: str, components: int, to: str = "reduced", un
     return out, float(sum(model.explainedVariance))
 
 
-def kmeans(reduced_rows: DataFrame, k: int, features: str, seed: int = 42, starts: int = 10):
-    """The best of ``starts`` fits, by inertia (``model.summary.trainingCost``)."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(reduced_rows) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _arrays(df: DataFrame, vector: str, components: int) -> DataFrame:
+    """``df`` and ``__x``: its vectors' principal components as arrays."""
+    return reduced(df, vector, components, "__r")[0].withColumn("__x", vector_to_array("__r")).drop("__r")
 
 
 def clusters(df: DataFrame, vector: str, k: int, components: int, seed: int = 42, starts: int = 10) -> DataFrame:
     """``df`` and ``cluster``: the best of ``starts`` runs of k-means on the principal components."""
-    x, _ = reduced(df, vector, components, "__r")
-    return kmeans(x, k, "__r", seed, starts).transform(x).drop("__r")
+    x = _arrays(df, vector, components)
+    return models.assigned(x, "__x", models.best(models.kmeans(x, "__x", [k], starts, seed), k)).drop("__x")
 
 
 def elbow(df: DataFrame, vector: str, components: int, most: int = 15, seed: int = 42, starts: int = 10) -> DataFrame:
-    """``k, inertia`` for k from 2 to below ``most`` (or the number of rows): one small fit each, over one written table."""
-    x, _ = reduced(df, vector, components, "__r")
-    rows = [(k, float(kmeans(x, k, "__r", seed, starts).summary.trainingCost)) for k in range(2, min(most, x.count()))]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+    """``k, inertia`` for k from 2 to below ``most`` (or the number of rows): the best of ``starts`` each, all fitted side by side."""
+    x = _arrays(df, vector, components)
+    sizes = list(range(2, min(most, x.count())))
+    fitted = models.kmeans(x, "__x", sizes, starts, seed) if sizes else {}
+    return df.sparkSession.createDataFrame([(k, models.best(fitted, k).inertia) for k in sizes], "k int, inertia double")
 
 
 def classifier(df: DataFrame, vector: str, label: str, c: float = 0.1, rounds: int = 1000):
@@ -120,16 +120,7 @@ def scored(df: DataFrame, vector: str, fitted) -> DataFrame:
 
 def leave_one_group_out(df: DataFrame, vector: str, label: str, group: str) -> DataFrame:
     """``group, n, n_positive, auc`` of models trained on all other groups; groups whose training rows have
-    one class are skipped. Groups are few (sessions): one model each, over one written table."""
-    out = None
+    one class are skipped. The models of all groups are fitted side by side (``models.group_folds``)."""
     df, _ = materialize(df.select(group, vector, label), "labelled-vectors")
-    for g in sorted(r[0] for r in df.select(group).distinct().collect()):
-        train = df.where(F.col(group) != g)
-        if train.agg(F.countDistinct(label)).first()[0] < 2:
-            continue
-        rows = scored(df.where(F.col(group) == g).select(F.col(group).alias("group"), F.col(label).alias("truth"), vector), vector, classifier(train, vector, label))
-        one = auc(rows, "score", "truth", ["group"])
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "group long, n long, n_positive long, auc double")
-    return out
+    folds = models.group_folds(df, vector, label, group)
+    return auc(models.fold_scores(df, folds, vector, label, group), "score", "truth", ["group"])

@@ -283,7 +283,7 @@ def explained_variance(spark, sf):
 def elbow(spark, sf):
     from ..operators import learning as L
 
-    return L.elbow(_vectors(spark, sf), "embedding", 16, most=6, starts=2)
+    return L.elbow(_vectors(spark, sf), "embedding", 16)
 
 
 @query
