@@ -130,3 +130,18 @@ def listing_entry(entry: Column, template: str) -> Column:
     to the empty string and the duration to 0; null where there is no entry or no id."""
     e = F.from_json(entry, "id string, url string, title string, duration double")
     return F.when(e["id"].isNotNull(), F.struct(e["id"].alias("id"), F.coalesce(e["url"], F.format_string(template, e["id"])).alias("url"), F.coalesce(e["title"], F.lit("")).alias("title"), F.coalesce(e["duration"], F.lit(0.0)).alias("duration")))
+
+
+def inside(x: Column, y: Column, left: float, top: float, right: float, bottom: float) -> Column:
+    """Whether a box's centre lies in a region, its borders included; both in one unit, shares of the frame or pixels."""
+    return x.between(left, right) & y.between(top, bottom)
+
+
+def pixel_centre(first: Column, last: Column) -> Column:
+    """The middle pixel of two whole ones, the lower of two."""
+    return F.floor((first + last) / 2)
+
+
+def frame_name(rank: Column, video: Column, seconds: Column, score: Column) -> Column:
+    """The file of a top frame: its place, recording, time and score."""
+    return F.format_string("rank%02d_%s_t%04ds_score%.3f.jpg", rank, video, seconds, score)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RESULT = "foreground double, n_blobs long, largest double, band double"
@@ -186,3 +187,21 @@ def foreground(frames: DataFrame, settings: Settings, key: str = "video", t: str
 
     ordered = frames.select(key, t, tie, pixels).repartition(key).sortWithinPartitions(key, t, tie)
     return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{t}` {kinds[t]}, `{tie}` {kinds[tie]}, {RESULT}")
+
+
+def blob_shares(frames: DataFrame, width: int, level: float, pixels: str = "pixels") -> DataFrame:
+    """``frames`` without their pixels, and ``blobs``: the blobs' shares of the frame, where pixels are above ``level``, in the
+    order of their first pixels; empty for frames without pixels. Null pixels are below any level."""
+    kept = [f for f in frames.schema if f.name != pixels]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b.column(b.num_columns - 1).to_pylist():
+                x = np.array([np.nan if v is None else v for v in p or []], np.float64)
+                mask = np.pad(x > level, (0, -len(x) % width)).reshape(-1, width)
+                found.append((blobs(mask) / max(1, len(x))).tolist() if len(x) else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "blobs"])
+
+    return frames.select(*(f.name for f in kept), pixels).mapInArrow(run, f"{fields}, blobs array<double>")

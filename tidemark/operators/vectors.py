@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine, euclidean
 
 
+def medians(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """``group, pos, x``: the exact median of every place, read off cumulated counts. Values are counted where they are and the
+    counts summed, so a place takes as many rows as it has distinct values (256 for pixels), however many vectors there are. Null
+    values don't count."""
+    places = df.select(group, F.posexplode(vector).alias("pos", "x")).where("x IS NOT NULL")
+    counts = places.groupBy(group, "pos", "x").agg(F.count("*").alias("n"))
+    place = Window.partitionBy(group, "pos")
+    counts = counts.withColumns({"until": F.sum("n").over(place.orderBy("x")), "all": F.sum("n").over(place)})
+    at = lambda k: F.min(F.when(F.col("until") > F.floor(k / 2), F.col("x").cast("double")))
+    return counts.groupBy(group, "pos").agg(((at(F.col("all") - 1) + at(F.col("all"))) / 2).alias("x"))
+
+
 def pooled(df: DataFrame, group: str, vector: str, how: str = "avg", to: str = "pooled") -> DataFrame:
-    """``group, to``: the vectors' mean (or ``median``) place by place. Places are partial sums, not lists of vectors."""
-    per = df.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg((F.median("x") if how == "median" else F.avg("x")).alias("x"))
+    """``group, to``: the vectors' mean (or ``median``) place by place. Places are partial sums (or counts), not lists of vectors."""
+    mean = lambda: df.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.avg("x").alias("x"))
+    per = medians(df, group, vector) if how == "median" else mean()
     return per.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(to))
 
 

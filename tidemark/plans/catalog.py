@@ -200,6 +200,12 @@ def top_global(spark, sf):
     return samples(spark, sf).select("event_id", "video", "us", "score").orderBy(F.desc("score"), "video", "us").limit(20)
 
 
+@query
+def top_frame_names(spark, sf):
+    top = top_global(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "video", "us")))  # 20 rows
+    return top.select("event_id", S.frame_name(F.col("place"), F.col("video").cast("string"), F.floor(F.col("us") / SEC), F.col("score") / 100).alias("name"))
+
+
 @query
 def top_per_group(spark, sf):
     s = samples(spark, sf).where(F.col("score") >= THRESHOLD).select("event_id", "video", "score")
@@ -306,9 +312,10 @@ def listing_hrefs(spark, sf):
 
 @query
 def parse_times(spark, sf):
-    rows = ["09:45", "~9:45", "9", "20:15 (?)", "~ 8:05!", "12:30:15", "25:99", "17??++", "17??", "noon", "1:2:3:4", "", "All day"]
-    t = spark.createDataFrame(list(enumerate(rows)), "id long, raw string")
-    return t.select("id", "raw", S.tolerant_time(F.col("raw")).alias("p"), S.strict_time(F.col("raw")).alias("strict_sec")).select("id", "raw", "p.sec", "p.note", "strict_sec")
+    spellings = ["09:45", "~9:45", "9", "20:15 (?)", "~ 8:05!", "12:30:15", "25:99", "17??++", "17??", "noon", "1:2:3:4", "", "All day"]
+    raw = F.element_at(F.array(*map(F.lit, spellings)), (F.col("o_orderkey") % len(spellings) + 1).cast("int"))
+    t = table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
+    return t.select("o_orderkey", "raw", S.tolerant_time(F.col("raw")).alias("p"), S.strict_time(F.col("raw")).alias("strict_sec")).select("o_orderkey", "raw", "p.sec", "p.note", "strict_sec")
 
 
 @query
@@ -326,9 +333,12 @@ def caption_merge(spark, sf):
 
 @query
 def roi_filter(spark, sf):
-    e = samples(spark, sf).select("video", (F.col("event_id") % 100 / 100).alias("cx"), "score")
-    inside = F.col("cx").between(0.25, 0.75)
-    return e.groupBy("video").agg(F.count_if(inside).alias("n_inside"), F.coalesce(F.max(F.when(inside, F.col("score"))), F.lit(0.0)).alias("top"))
+    i = F.col("event_id")
+    e = samples(spark, sf).select("video", "score", (i % 100 / 100).alias("cx"), (i * 7 % 100 / 100).alias("cy"), (i % 600).alias("x1"), (i * 3 % 300).alias("y1"))
+    share = S.inside(F.col("cx"), F.col("cy"), 0.25, 0.1, 0.75, 0.9)
+    pixel = S.inside(S.pixel_centre(F.col("x1"), F.col("x1") + 41), S.pixel_centre(F.col("y1"), F.col("y1") + 60), 100, 40, 500, 250)
+    top = F.coalesce(F.max(F.when(share, F.col("score"))), F.lit(0.0))
+    return e.groupBy("video").agg(F.count_if(share).alias("n_inside"), F.count_if(pixel).alias("n_inside_pixels"), top.alias("top"))
 
 
 # --- vectors
@@ -475,3 +485,10 @@ def foreground(spark, sf):
 def stream_foreground(spark, sf):
     found = watch.replay(spark, sf, "embeddings.parquet", SCENE)
     return found.select("video", "us", "event_id", *(F.round(c, 9).alias(c) for c in ("foreground", "largest", "band")), "n_blobs")
+
+
+@query
+def blob_shares(spark, sf):
+    f = G.blob_shares(_frames(spark, sf).select("event_id", "pixels"), 8, 20)
+    inside = F.filter("blobs", lambda x: (x >= 0.05) & (x <= 0.3))
+    return f.select("event_id", F.size("blobs").cast("long").alias("n_blobs"), F.size(inside).cast("long").alias("n_inside"), F.coalesce(F.array_max(inside) / 0.3, F.lit(0.0)).alias("score")).withColumn("score", F.round("score", 6))

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import clips as C
 from ..operators import events as E
 from ..operators import timeseries as T
+from ..sources import containers as B
 from ..sources import writers as W
 from ..sources.shared import fresh_path
 from ..sources.tables import micros, samples, table, videos
@@ -32,6 +33,29 @@ def listing_videos(spark, sf):
     return videos(p.select("page_id", F.regexp_extract("url", "://[^/]*/([a-z]{2})/", 1).alias("camera"), html.alias("html")))
 
 
+@query
+def clip_durations(spark, sf):
+    """Headers of files are written from suppliers, a file each, and read back: MP4, AVI and broken ones."""
+    folder = fresh_path(spark, "clips")
+    made = table(spark, sf, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal") * 100).cast("long").alias("n"))
+
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = B.avi_head(40_000, n) if k % 3 == 1 else B.mp4_head(n, 1000, bytes(64), k % 2)
+                with fs.open_output_stream(f"{root}/{k}.{'avi' if k % 3 == 1 else 'mp4'}") as out:
+                    out.write(data[:40] if k % 7 == 0 else data)
+            yield b
+
+    made.mapInArrow(write, "s_suppkey long, n long").write.format("noop").mode("overwrite").save()
+    found = B.durations(spark, folder)
+    return found.select(S.file_stem(F.col("path")).cast("long").alias("s_suppkey"), F.round("duration", 3).alias("duration"))
+
+
 @query
 def pending_items(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))

@@ -31,6 +31,7 @@ SQL: dict[str, str] = {
     "cluster_sizes": "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label",
     "cluster_members": "SELECT vec_id, 'kind ' || label AS name FROM embeddings",
     "mask_round_trip": f"WITH {PIXELS} SELECT vec_id AS event_id, array_to_string(list_transform(p, lambda x: printf('%02X', greatest(0, least(255, x)))), '') AS mask, len(p) AS n FROM f",
+    "clip_durations": "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 0.0 WHEN s_suppkey % 3 = 1 THEN round(floor(abs(s_acctbal) * 100) * 0.04, 3) ELSE round(floor(abs(s_acctbal) * 100) / 1000, 3) END AS duration FROM supplier",
     "cut_manifest": f"""WITH {S}, {_islands('s', 'video, camera', DAY)}, c AS (SELECT video, camera, greatest(0, start_us - 2000000) AS start_us, end_us, video || '_' || camera || '_' || (start_us // 1000000) || '.mp4' AS out FROM seg)
         SELECT *, CASE WHEN camera = 'view' THEN 'aac' ELSE 'copy' END AS codec FROM c WHERE video % 3 <> 0""",
     "slot_folders": """SELECT n_nationkey, r_regionkey, printf('slot%02d/cam%d.mp4', n_nationkey, r_regionkey) AS out FROM nation, region

@@ -129,14 +129,24 @@ SQL: dict[str, str] = {
     "manifest_upsert": """SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS source FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
     "manifest_update": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS path FROM orders",
     "listing_hrefs": """WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS a FROM pages) SELECT page_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS pos, unnest(a) AS href FROM p""",
-    "parse_times": """SELECT * FROM (VALUES
+    "parse_times": """SELECT o_orderkey, raw, sec, note, strict_sec FROM orders JOIN (VALUES
         (0::BIGINT, '09:45', 35100::INT, NULL::VARCHAR, 35100::INT), (1, '~9:45', 35100, NULL, NULL), (2, '9', 32400, NULL, NULL), (3, '20:15 (?)', 72900, NULL, NULL),
         (4, '~ 8:05!', 29100, NULL, NULL), (5, '12:30:15', 45015, NULL, 45015), (6, '25:99', 95940, NULL, 95940), (7, '17??++', NULL, 'unparseable:''17??++''', NULL),
         (8, '17??', NULL, 'unparseable:''17??''', NULL), (9, 'noon', NULL, 'unparseable:''noon''', NULL), (10, '1:2:3:4', NULL, 'unparseable:''1:2:3:4''', NULL),
-        (11, '', NULL, 'empty_time', NULL), (12, 'All day', NULL, 'skipped_no_anchor:''All day''', NULL)) AS t(id, raw, sec, note, strict_sec)""",
+        (11, '', NULL, 'empty_time', NULL), (12, 'All day', NULL, 'skipped_no_anchor:''All day''', NULL)) AS t(id, raw, sec, note, strict_sec) ON o_orderkey % 13 = id""",
     "safe_label": """SELECT c_custkey, substring(regexp_replace(c_name || ' / ' || c_mktsegment, '[^A-Za-z0-9_]', '_', 'g'), 1, 30) AS label, replace(c_name || ' ' || c_mktsegment, ' ', '%20') AS url_part FROM customer""",
     "caption_merge": "SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS captions, count(*) AS n FROM conversations GROUP BY conv_id",
-    "roi_filter": f"""WITH {S} SELECT video, count(*) FILTER (WHERE event_id % 100 BETWEEN 25 AND 75) AS n_inside, coalesce(max(score) FILTER (WHERE event_id % 100 BETWEEN 25 AND 75), 0.0) AS top FROM s GROUP BY video""",
+    "roi_filter": f"""WITH {S}, b AS (SELECT *, event_id % 100 AS cx, event_id * 7 % 100 AS cy, (2 * (event_id % 600) + 41) // 2 AS px, (2 * (event_id * 3 % 300) + 60) // 2 AS py FROM s)
+        SELECT video, count(*) FILTER (WHERE cx BETWEEN 25 AND 75 AND cy BETWEEN 10 AND 90) AS n_inside,
+               count(*) FILTER (WHERE px BETWEEN 100 AND 500 AND py BETWEEN 40 AND 250) AS n_inside_pixels,
+               coalesce(max(score) FILTER (WHERE cx BETWEEN 25 AND 75 AND cy BETWEEN 10 AND 90), 0.0) AS top FROM b GROUP BY video""",
+    "top_frame_names": f"""WITH {S}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, video, us) AS place FROM s QUALIFY place <= 20)
+        SELECT event_id, printf('rank%02d_%s_t%04ds_score%.3f.jpg', place, CAST(video AS VARCHAR), us // 1000000, score / 100) AS name FROM t""",
+    "blob_shares": f"""WITH RECURSIVE {GREY}, m AS (SELECT vec_id, CAST((pos - 1) // 8 AS INT) AS i, CAST((pos - 1) % 8 AS INT) AS j FROM g WHERE x > 20),
+        r AS (SELECT vec_id, i AS i0, j AS j0, i, j FROM m UNION SELECT r.vec_id, r.i0, r.j0, m.i, m.j FROM r JOIN m ON r.vec_id = m.vec_id AND abs(r.i - m.i) <= 1 AND abs(r.j - m.j) <= 1),
+        c AS (SELECT vec_id, i0, j0, min(i * 8 + j) AS root FROM r GROUP BY vec_id, i0, j0), b AS (SELECT vec_id, root, count(*) / 64.0 AS share FROM c GROUP BY vec_id, root)
+        SELECT e.vec_id AS event_id, count(root) AS n_blobs, count(root) FILTER (WHERE share BETWEEN 0.05 AND 0.3) AS n_inside, round(coalesce(max(share) FILTER (WHERE share BETWEEN 0.05 AND 0.3) / 0.3, 0), 6) AS score
+        FROM embeddings e LEFT JOIN b ON e.vec_id = b.vec_id GROUP BY e.vec_id""",
     "cosine_query": f"{TWO} SELECT vec_id, round({_cos('embedding', 'q0', '1e-8')}, 4) AS similarity FROM v",
     "softmax_score": f"{TWO} SELECT vec_id, round(1 / (1 + exp(10 * ({_cos('embedding', 'q1')} - {_cos('embedding', 'q0')}))), 4) AS score FROM v",
     "baseline_threshold": f"{TWO}, c AS (SELECT vec_id, round({_cos('embedding', 'q0', '1e-8')}, 4) AS similarity, round({_cos('q0', 'q1', '1e-8')}, 4) AS base FROM v) SELECT vec_id, similarity FROM c WHERE similarity >= base + 0.05",
