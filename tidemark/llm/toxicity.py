@@ -1,15 +1,16 @@
 """A counterfactual-regularised toxicity classifier.
 
 Features of a text are counts over its distinct words: each word and its first 3 to 6 letters, hashed into
-``BUCKETS`` columns, so none is left out. A logistic model with an L1 term is fitted to labelled texts. For every
+``BUCKETS`` columns, so none is left out; columns that no labelled text has keep no weight, as the loss asks. A logistic model with an L1 term is fitted to labelled texts. For every
 labelled text that names a group of people the identity terms are swapped for others of their kind, and the
 squared change of the score's logit is part of the loss. Labelled texts may name few groups or none; so every
 term of the list also stands for a neutral mention added to a labelled sentence: swapping it for the next of its
 kind changes that text by the features of the two words alone, and these changes are penalised alike. Each kind
-ends in a word for people at large, so a kind isn't heavier as a whole either. The mentions carry no labels.
+ends in a word for people at large, so a kind isn't heavier as a whole either. The mentions carry no labels. Terms whose
+features no labelled text shares have no weight to begin with: for them the penalty has nothing to do.
 
 The fit runs on a bounded sample of labelled rows: ``per_class`` of either label at most, those of the least
-hashed id, as long as they have ``most_cells`` feature counts together; class weights restore the shares of all
+hashed id, as long as they have ``most_cells`` feature counts together, those of swapped texts included; class weights restore the shares of all
 labelled rows. Tasks make the feature rows; texts don't reach the driver. Scoring covers every document in one
 narrow pass.
 
@@ -170,9 +171,10 @@ def _joined(a: Cells, b: Cells) -> Cells:
     return tuple(np.concatenate(p) for p in zip(a, b, strict=True))
 
 
-def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict[int, float], fairness: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, least_texts: int = 3, rounds: int = 300, terms: list[list[str]] = IDENTITY_TERMS) -> ToxicityModel:
+def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict[int, float], fairness: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, rounds: int = 300, tolerance: float = 1e-6, least_spread: float = 0.5, terms: list[list[str]] = IDENTITY_TERMS) -> ToxicityModel:
     """The model of labelled feature rows; ``swapped``: the changes of those that name groups. Deterministic for
-    a given order of rows. Columns of fewer than ``least_texts`` texts have no weight."""
+    a given order of rows. Columns are scaled to one root mean square, rare ones to ``least_spread`` of it at most, so that they don't shorten
+    the steps. Steps end when no weight moves by ``tolerance`` of the largest, or after ``rounds``."""
     y = np.asarray(toxic, np.float64)
     if not len(y):
         return ToxicityModel()
@@ -183,7 +185,7 @@ def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict
     named = cells(mentions(terms))
     counted = len(swapped[0]), len(named[0])
     swapped = _joined(swapped, named)
-    used = np.flatnonzero(np.bincount(texts[1], minlength=BUCKETS) >= least_texts)
+    used = np.flatnonzero(np.bincount(texts[1], minlength=BUCKETS))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
 
@@ -198,7 +200,7 @@ def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict
     if not len(used):
         return ToxicityModel(math.log(share / (1 - share)), {}, counted)
     # columns of one scale: few rounds suffice, and the L1 term treats them alike
-    spread = SparseRows(size, column, value, len(used)).spread(0.1)
+    spread = SparseRows(size, column, value, len(used)).spread(least_spread)
     x = SparseRows(size, column, value / spread[column], len(used))
     size, column, value = kept(swapped)
     swaps = SparseRows(size, column, value / spread[column], len(used))
@@ -219,9 +221,14 @@ def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict
         new = zw - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = zb - step * gb
+        moved = max(float(np.abs(new - w).max()), abs(nb - b))
+        if float((zw - new) @ (new - w)) + (zb - nb) * (nb - b) > 0:
+            momentum = 1.0  # the momentum led uphill: begin again from here
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         zw, zb = new + (momentum - 1) / after * (new - w), nb + (momentum - 1) / after * (nb - b)
         w, b, momentum = new, nb, after
+        if moved <= tolerance * max(1e-3, float(np.abs(w).max())):
+            break
     weights = {int(n): float(c) for n, c in zip(used, w / spread, strict=True) if c}
     return ToxicityModel(b, weights, counted)
 
@@ -272,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_cells: i
     wanted = spark.createDataFrame(chosen, known.schema)  # 2 * per_class rows at most
     texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id").agg(F.min("__text").alias("__text"))
     rows, path = materialize(feature_rows(texts, terms), "toxicity-features")
-    before = F.sum(F.size("columns")).over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1))  # 2 * per_class rows at most
+    before = F.sum(F.size("columns") + F.size("swap_columns")).over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1))  # 2 * per_class rows at most
     fits = rows.select("__id", F.coalesce(before, F.lit(0)).alias("__before")).where(F.col("__before") <= most_cells).select("__id")
     got = rows.join(F.broadcast(fits), "__id").orderBy("__id").toArrow().combine_chunks()
     remove(spark, path)
