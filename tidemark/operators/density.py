@@ -300,6 +300,60 @@ def _roots(pointers: DataFrame) -> tuple[DataFrame, str]:
             return held, path
 
 
+def neighbours(df: DataFrame, key: str, vector: str, n: int, probes: int | None = None, pivots: int = 64, block: int = 1024) -> DataFrame:
+    """``key, match, distance, place``: every vector's ``n`` nearest others, ties by key; an inverted index over coarse centroids.
+
+    All vectors are queries and all are indexed: each lies in the block of its nearest pivot. Blocks meet the cells that the triangle
+    inequality can't rule out (exact), or with ``probes`` those among each of its vectors' so many nearest pivots; what they meet is compared exactly.
+    A block gives back ``n`` rows a vector, never pairs.
+    """
+    kind = dict(df.dtypes)[key]
+    if df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([], f"`{key}` {kind}, match {kind}, distance double, place int")
+    blocks, cells = _blocks(df, key, vector, pivots, block)
+    shape = "id long, found array<struct<d:double,m:long>>"
+    entry = pa.list_(pa.struct([("d", pa.float64()), ("m", pa.int64())]))
+
+    def top(ids: np.ndarray, d: np.ndarray, theirs: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(theirs, d.shape), d), axis=1)[:, :n]
+        near = np.take_along_axis(d, order, axis=1)
+        rows = [[{"d": a, "m": b} for a, b in zip(r, theirs[o].tolist(), strict=True) if np.isfinite(a)] for r, o in zip(near.tolist(), order, strict=True)]
+        far = near[:, -1] if near.shape[1] == n else np.full(len(ids), np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, entry)], names=["id", "found"]), far
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, cell, packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, x = _opened(packed, vectors)
+                d = distances(x, x)
+                np.fill_diagonal(d, np.inf)
+                _, far = top(ids, d, ids)
+                can = cells.bound(x) <= far[:, None]
+                if probes is not None:
+                    can &= np.argsort(np.argsort(distances(x, cells.pivots), axis=1, kind="stable"), axis=1) < probes
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([cell]), pa.array([packed]), pa.array([vectors]), pa.array([np.flatnonzero(can.any(0)).tolist()], pa.list_(pa.int64()))], names=["block", "cell", "ids", "vectors", "cells"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, vectors, ids2, vectors2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (ids, x), (theirs, y) = _opened(packed, vectors), _opened(ids2, vectors2)
+                yield top(ids, distances(x, y), theirs)[0]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, x = _opened(packed, vectors)
+                d = distances(x, x)
+                np.fill_diagonal(d, np.inf)
+                yield top(ids, d, ids)[0]
+
+    routed, _ = materialize(blocks.mapInArrow(own, "block long, cell long, ids binary, vectors binary, cells array<long>"), "index-blocks")
+    found = _paired(routed, blocks, others, shape).unionByName(blocks.select("ids", "vectors").mapInArrow(alone, shape))
+    best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, n).alias("found"))
+    rows = best.select(F.col("id").cast(kind).alias(key), F.posexplode("found").alias("at", "f"))
+    return rows.select(key, F.col("f.m").cast(kind).alias("match"), F.col("f.d").alias("distance"), (F.col("at") + 1).alias("place"))
+
+
 def density_clusters(df: DataFrame, key: str, vector: str, least: int = 3, pivots: int = 64, block: int = 1024) -> DataFrame:
     """``key, cluster`` of every row: clusters of all vectors, numbered by their smallest key; -1 is noise. ``least``: rows of a
     cluster, and neighbours of a core."""

@@ -18,8 +18,11 @@ from ..operators import frames as R
 from ..operators import learning as L
 from ..operators import timeseries as T
 from ..operators import vectors as V
+from ..sources import index_sink
+from ..sources.shared import fresh_path
 from ..sources.tables import hrefs, micros, samples, table
 from ..streaming import foreground as watch
+from ..streaming import interpolation as merging
 from ..streaming import sessions, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +448,21 @@ def stream_differences(spark, sf):
     return state.replay(spark, sf, "events.parquet").select("video", F.round("diff", 6).alias("diff"))
 
 
+@query
+def stream_interpolation(spark, sf):
+    return merging.replay(spark, sf, "events.parquet", "click", "view").select("event_id", "video", "us", F.round("interpolated", 6).alias("interpolated"))
+
+
+@query
+def stream_index(spark, sf):
+    """Events appended to the index as a stream brings them, read back as published."""
+    schema = spark.read.option("pathGlobFilter", "events.parquet").parquet(sf).schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    folder = fresh_path(spark, "index")
+    index_sink.append(raw.select("event_id", F.col("event_type").alias("event"), F.when(F.col("value") < 10, "skipped").otherwise("extracted").alias("status")), folder, f"{folder}-state").awaitTermination()
+    return index_sink.published(spark, folder, "event_id long, event string, status string").drop("batch")
+
+
 # --- frames: vectors as tiny frames of grey pixels
 
 

@@ -317,6 +317,14 @@ def density_clusters(spark, sf):
     return D.density_clusters(_vectors(spark, sf), "vec_id", "embedding", 3)
 
 
+@query
+def nearest_vectors(spark, sf):
+    """Every vector's three nearest, over the whole table."""
+    from ..operators import density as D
+
+    return D.neighbours(_vectors(spark, sf), "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
+
+
 @query
 def saved_classifier(spark, sf):
     from ..operators import learning as L

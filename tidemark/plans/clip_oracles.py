@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import DAY, GREY, HOUR, S, TWO, _cos, _islands
+from .oracles import DAY, GREY, HOUR, LERP, S, TWO, _cos, _islands
 
 PIXELS = "f AS (SELECT label AS video, vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 255) AS INT)) AS p FROM embeddings)"
 CLOCK = "m AS (SELECT event_id, (epoch_us(ts) // 60000000) % 1440 AS m FROM events)"
@@ -76,6 +76,10 @@ SQL: dict[str, str] = {
         CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'skipped_no_anchor:''All Day''' WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'unparseable:''17??''' END AS note FROM m""",
     "frame_runs": f"""WITH {GREY}, u AS (SELECT vec_id, pos - 1 AS pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS island FROM g WHERE x > 20)
         SELECT vec_id AS event_id, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM u GROUP BY vec_id, island""",
+    "nearest_vectors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS match, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+        SELECT vec_id, match, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, match) AS INT) AS place FROM d QUALIFY place <= 3""",
+    "stream_index": "SELECT event_id, event_type AS event, CASE WHEN value < 10 THEN 'skipped' ELSE 'extracted' END AS status FROM events",
+    "stream_interpolation": f"WITH {S}, {LERP} SELECT event_id, video, us, round(x, 6) AS interpolated FROM lerp",
     "stream_cameras": "SELECT event_id, event_type AS camera, CASE WHEN value <= 99 THEN value / 2 END AS scored, CASE WHEN value > 99 THEN 'ValueError: saturated' END AS error FROM events WHERE event_type IN ('view', 'click')",
     "stream_segments": f"WITH {S}, {_islands('s', 'video', HOUR)} SELECT * FROM seg",
 }
