@@ -20,7 +20,7 @@ What is left of articles, else of the main part, replaces the rest where it hold
 Two narrow passes parse the pages. Between them only hashes are shuffled: (host, page content, node, feature), made
 distinct and then counted with partial sums, so a host with many pages is dealt out. A host of m pages with b
 blocks each has at most b * (m + prior) ** 0.05 low leaves at the default bound, so its list is short; the lists meet the pages in
-a join by salted host, which Spark makes a broadcast where the written table is small.
+a join by host (hot hosts dealt by their counts), which Spark makes a broadcast where the written table is small.
 
 Cases: null or empty html gives an empty text; null urls form one host; repeated rows each give their text;
 other columns are not read, whatever their names; an empty table gives an empty result; codes are 64-bit hashes.
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import dealt_join
 from .common import materialize, remove
 
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -304,17 +305,19 @@ def importance(counts: DataFrame, decay: float = 0.9, prior: float = 2.0) -> Dat
     return node.withColumn("importance", (1 - decay) * F.col("presentation") + decay * F.col("content"))
 
 
-def low_branches(counts: DataFrame, nodes: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, prior: float = 2.0, salts: int = 16) -> DataFrame:
+def low_branches(counts: DataFrame, nodes: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, prior: float = 2.0) -> DataFrame:
     """``host, code``: nodes of low importance, and low leaves of the other nodes."""
     low = F.col("importance") < threshold
-    rest = nodes.where(~low).select("host", "chain", "pages", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    leaves = counts.where("kind = 1 AND k > 1").select("host", "chain", "feature", "k", F.pmod("feature", F.lit(salts)).cast("int").alias("__salt"))
+    node = F.struct("host", "chain").alias("node")
+    leaves = counts.where("kind = 1 AND k > 1").select(node, "feature", "k")
+    per = leaves.groupBy("node").agg(F.count("*").alias("n"))
+    rest = nodes.where(~low).select(node, "pages").join(per, "node")
     recurs = 1 - F.log("k") / F.log(F.col("pages") + prior) < leaf_threshold
-    leaves = leaves.join(rest, ["host", "chain", "__salt"]).where(recurs).select("host", F.col("feature").alias("code"))
-    return nodes.where(low).select("host", F.col("chain").alias("code")).union(leaves)
+    met = dealt_join(leaves, rest, "node", ["feature"], "n", leaves.count()).where(recurs)
+    return nodes.where(low).select("host", F.col("chain").alias("code")).union(met.select("node.host", F.col("feature").alias("code")))
 
 
-def extract(pages: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, decay: float = 0.9, prior: float = 2.0, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.05, decay: float = 0.9, prior: float = 2.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text`` of every page."""
     counts, counts_path = materialize(feature_counts(pages, url_col, html_col), "style-features")
     nodes, nodes_path = materialize(importance(counts, decay, prior), "style-nodes")
@@ -330,7 +333,7 @@ def extract(pages: DataFrame, threshold: float = 0.2, leaf_threshold: float = 0.
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     trees = low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("code").alias("__codes"))
-    trees = trees.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = source.withColumn("__salt", F.pmod(F.xxhash64(id_col, url_col), F.lit(salts)).cast("int"))
-    met = salted.join(trees, ["__host", "__salt"], "left").select(id_col, url_col, "__html", "__codes")
+    sizes = source.groupBy("__host").agg(F.count("*").alias("__n"))
+    trees, _ = materialize(trees.join(sizes, "__host"), "style-trees")
+    met = dealt_join(source, trees, "__host", [id_col, url_col], "__n", pages.count(), "left").select(id_col, url_col, "__html", "__codes")
     return met.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")

@@ -7,9 +7,10 @@ all its host suffixes joined with its path's beginnings of the lengths that rule
 A cascade holds a set of listed keys exactly over a universe, here all candidate keys of the corpus. Level 1
 is a Bloom filter of the listed keys; level 2 one of the universe's keys that pass level 1 without being
 listed; level 3 one of the listed keys that pass level 2; and so on until nothing passes. A key is listed
-if the first level that it fails is an even one. Nothing is joined: the filters are scalar subqueries. Lists
+if the first level that it fails is an even one. Membership joins nothing: the filters are scalar subqueries. Lists
 whose filters would exceed ``max_filter_bytes`` are split by hash of the key into shards that don't; every shard is a
-cascade of its own over its part of the keys, and its pass over the rows carries the best rule so far along.
+cascade of its own over its part of the keys. Then the shards' passes go over the corpus's distinct hosts and paths, which carry the
+best rule so far along, and the rows meet these results once, whatever the number of shards.
 
 One pass over the corpus finds the keys that pass either list's level 1; the deeper levels shrink by half
 each and never read the corpus again.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import dealt_join
 from .common import materialize, remove
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,13 +122,22 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     count = keyed.count()
     shards = max(1, -(-count * bits_per_key // (8 * max(1, max_filter_bytes))))
     df, columns = with_parts(pages, url_col), with_parts(pages, url_col).columns
-    df = df.withColumn("__best", F.lit(None).cast(BEST))
-    for number in range(shards):
-        part = keyed.where(_shard("key", shards) == number)
-        judged = _judge_shard(df, part, _of_shard(candidate_keys(lengths), shards, number), bits_per_key)
-        if judged is not None and number + 1 < shards:
-            judged, _ = materialize(judged, "url-shard")  # one shard's filters at a time
-        df = judged if judged is not None else df
+    none = F.lit(None).cast(BEST)
+    if shards == 1:
+        judged = _judge_shard(df.withColumn("__best", none), keyed, candidate_keys(lengths), bits_per_key)
+        df = judged if judged is not None else df.withColumn("__best", none)
+    else:
+        # one shard's filters at a time, over the corpus's distinct hosts and paths; pages meet their result once
+        at = F.struct(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).alias("__at")
+        held, held_path = materialize(df.groupBy("host", "path").agg(F.count("*").alias("__n")).withColumn("__best", none), "url-paths")
+        for number in range(shards):
+            part = keyed.where(_shard("key", shards) == number)
+            judged = _judge_shard(held, part, _of_shard(candidate_keys(lengths), shards, number), bits_per_key)
+            if judged is not None:
+                before = held_path
+                held, held_path = materialize(judged, "url-paths")
+                remove(spark, before)
+        df = dealt_join(df.withColumn("__at", at), held.select(at, "__n", "__best"), "__at", [f.name for f in df.schema if "map<" not in f.dataType.simpleString()], "__n", df.count())
     remove(spark, keyed_path)
     best = F.col("__best")
     verdict = F.when(best.isNull(), default).when(best["blocked"], "block").otherwise("allow")
