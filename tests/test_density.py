@@ -47,10 +47,10 @@ def brute(keys, x, least):
     return tree, {k: label.get(k, -1) for k in keys}
 
 
-def points(seed, n=120, d=3):
+def points(seed, n=84, d=3):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, s, (m, d)) for c, s, m in ((0, 0.3, n // 3), (4, 0.6, n // 3), (9, 0.2, n // 6))] + [rng.uniform(-5, 14, (n // 6, d))])
-    x[7], x[8], x[9] = x[3], x[3], x[60]  # equal vectors
+    x[7], x[8], x[9] = x[3], x[3], x[50]  # equal vectors
     return rng.permutation(10 * len(x))[: len(x)].tolist(), x
 
 

@@ -98,3 +98,13 @@ def test_two_series_over_files_in_disorder_equal_the_batch(spark, tmp_path):
 def test_query_of_the_stream_equals_the_batch_s(spark):
     a, b = (sorted(map(tuple, catalog.QUERIES[n](spark, SF).select("event_id", "interpolated").collect()), key=lambda r: r[0]) for n in ("interp_join", "stream_interpolation"))
     assert len(a) > 50 and a == b
+
+
+def test_a_scratch_part_goes_with_its_tables(spark):
+    from tidemark.sources import shared
+
+    with shared.scratch(spark) as path:
+        rows = catalog.QUERIES["best_window"](spark, SF).collect()
+        made = os.listdir(path.removeprefix("file://"))
+    assert rows and made and not os.path.exists(path.removeprefix("file://"))
+    assert not shared.fresh_path(spark, "x").startswith(path)

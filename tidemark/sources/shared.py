@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where a local session without a setting keeps them.
 LOCAL_SHARED = "file:///tmp/tidemark-shared"
 _made: set[str] = set()
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +38,20 @@ def fresh_path(spark: SparkSession, what: str) -> str:
         files.mkdirs(where)
         files.deleteOnExit(where)
         _made.add(folder)
-    return f"{folder}/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or folder}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A part of the shared folder for the tables of what is run within: they go when the block ends, so its results must have been
+    read or written elsewhere by then. A driver that lives long runs each query in one."""
+    path = fresh_path(spark, "scratch")
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        remove(spark, path)
 
 
 def materialize(df: DataFrame, what: str) -> tuple[DataFrame, str]:
