@@ -356,3 +356,11 @@ def stream_cameras(spark, sf):
 
     table(spark, sf, "events")  # workers find this package
     return scoring.replay_cameras(spark, sf, "events.parquet", ["view", "click", "no such camera"], _halves).select("event_id", "camera", "scored", "error")
+
+
+@query
+def stream_batches(spark, sf):
+    from ..streaming import batches
+
+    table(spark, sf, "events")  # workers find this package
+    return batches.replay(spark, sf, "events.parquet", _halves).select("event_id", "camera", "scored", "error")

@@ -80,6 +80,7 @@ SQL: dict[str, str] = {
         SELECT vec_id, match, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, match) AS INT) AS place FROM d QUALIFY place <= 3""",
     "stream_index": "SELECT event_id, event_type AS event, CASE WHEN value < 10 THEN 'skipped' ELSE 'extracted' END AS status FROM events",
     "stream_interpolation": f"WITH {S}, {LERP} SELECT event_id, video, us, round(x, 6) AS interpolated FROM lerp",
+    "stream_batches": "SELECT event_id, event_type AS camera, CASE WHEN value <= 99 THEN value / 2 END AS scored, CASE WHEN value > 99 THEN 'ValueError: saturated' END AS error FROM events",
     "stream_cameras": "SELECT event_id, event_type AS camera, CASE WHEN value <= 99 THEN value / 2 END AS scored, CASE WHEN value > 99 THEN 'ValueError: saturated' END AS error FROM events WHERE event_type IN ('view', 'click')",
     "stream_segments": f"WITH {S}, {_islands('s', 'video', HOUR)} SELECT * FROM seg",
 }

@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 from ..sources.shared import fresh_path
 
 
+def attempt(score: Callable[[list[float]], list[float]], values: list) -> tuple[list, list]:
+    """Scores and errors of one batch. Where ``score`` raises, the values are scored one by one."""
+    try:
+        return score(values), [None] * len(values)
+    except Exception as e:  # the scorer's own failures are rows of the result
+        if len(values) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+        parts = [attempt(score, [v]) for v in values]
+        return [p[0][0] for p in parts], [p[1][0] for p in parts]
+
+
 def scored(rows: DataFrame, score: Callable[[list[float]], list[float]], value: str = "score", size: int = 64) -> DataFrame:
     """``rows`` with ``scored`` and ``error``. ``score`` gets up to ``size`` values, the last batch what remains.
     Where it raises, its values are scored one by one; those that fail alone get the error's text and no score."""
 
-    def one(values: list) -> tuple[list, list]:
-        try:
-            return score(values), [None] * len(values)
-        except Exception as e:  # the scorer's own failures are rows of the result
-            if len(values) == 1:
-                return [None], [f"{type(e).__name__}: {e}"]
-            parts = [one([v]) for v in values]
-            return [p[0][0] for p in parts], [p[1][0] for p in parts]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(b.schema.get_field_index(value)).to_pylist()
-            done = [one(values[k : k + size]) for k in range(0, len(values), size)]
+            done = [attempt(score, values[k : k + size]) for k in range(0, len(values), size)]
             extra = [pa.array([x for s, _ in done for x in s], pa.float64()), pa.array([x for _, e in done for x in e], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "scored", "error"])
 
