@@ -113,3 +113,16 @@ def test_empty_series(spark):
     none = spark.createDataFrame([], "event_id long, video long, camera string, us long, score double")
     for got in (B.segments(none, 1.0, 0), B.peaks(none, 1.0, 5), B.best_window(none, 5), B.smoothed(none, "score", 3), B.lag_difference(none), B.suppress(none, 5, 2)):
         assert got.collect() == []
+
+
+def test_long_keys_have_a_file_per_so_many_rows(spark, tmp_path):
+    import os
+
+    from tidemark.sources import writers as W
+
+    df = spark.range(1_000).select("id", F.when(F.col("id") < 700, "long").otherwise(F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("k"))
+    for rows, files in ((100, range(7, 12)), (10_000, range(1, 2))):
+        path = W.write_series(df, str(tmp_path / str(rows)), ["k"], file_rows=rows)
+        assert sum(f.endswith(".parquet") for f in os.listdir(f"{path}/k=long")) in files
+        assert sum(f.endswith(".parquet") for f in os.listdir(f"{path}/k=k0")) == 1
+        assert sorted(map(tuple, spark.read.parquet(path).select("id", "k").collect())) == sorted(map(tuple, df.collect()))

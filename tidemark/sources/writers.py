@@ -8,12 +8,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def write_series(df: DataFrame, path: str, key: Sequence[str] = ("video_id",), mode: str = "overwrite") -> str:
-    """One folder a key, so a reader of one key opens its files alone. Rows are dealt by key and a few salts, so a
-    key has a few files and a big one isn't one task's."""
-    salted = df.repartition(*key, F.pmod(F.xxhash64(*df.columns), F.lit(4)))
-    salted.write.mode(mode).partitionBy(*key).parquet(path)
+from ..operators.buckets import same_key
+from ..operators.joins import MOST_HOT
+
+
+def write_series(df: DataFrame, path: str, key: Sequence[str] = ("video_id",), mode: str = "overwrite", file_rows: int = 1_000_000) -> str:
+    """One folder a key, so a reader of one key opens its files alone. Files have ``file_rows`` rows at most; keys with more are
+    dealt over as many tasks as they need, by one count before. Fewer than ``MOST_HOT`` keys can be that long, so their list is broadcast."""
+    counts = df.groupBy(*key).agg(F.count("*").alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    least = max(file_rows, -(-(total or 0) // MOST_HOT))
+    if (most or 0) <= least:
+        dealt = df.repartition(*key)
+    else:
+        long_ones = counts.where(F.col("__n") > least).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.ceil(F.col("__n") / least).alias("__parts"))
+        part = F.pmod(F.xxhash64(*df.columns), F.coalesce("__parts", F.lit(1)))
+        dealt = df.join(F.broadcast(long_ones), same_key(key, "__k"), "left").withColumn("__part", part).repartition(*key, "__part").select(*df.columns)
+    dealt.write.mode(mode).option("maxRecordsPerFile", least).partitionBy(*key).parquet(path)
     return path
 
 
