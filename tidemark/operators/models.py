@@ -51,13 +51,12 @@ class Centres:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's centre, the first of equals, and the squared distance to it."""
-    place, away = np.empty(len(x), np.int64), np.empty(len(x))
+    """Each row's nearest centre and the squared distance to it."""
+    place = np.empty(len(x), np.int64)
+    norms = (centres**2).sum(1)
     for lo in range(0, len(x), ROWS):
-        d = ((x[lo : lo + ROWS, None] - centres[None]) ** 2).sum(-1)
-        place[lo : lo + ROWS] = d.argmin(1)
-        away[lo : lo + ROWS] = d.min(1)
-    return place, away
+        place[lo : lo + ROWS] = (norms - 2 * (x[lo : lo + ROWS] @ centres.T)).argmin(1)
+    return place, ((x - centres[place]) ** 2).sum(1)
 
 
 def spread_out(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
