@@ -44,3 +44,53 @@ def best_window(df: DataFrame, length: int, key: list[str] = ("video",), t: str
     out = summed.groupBy(*key).agg(F.max_by(F.struct(F.col(t).alias("t"), F.col("total")), F.struct("total", -F.col(t))).alias("__b"))
     out = out.select(*key, F.col("__b.t").alias("start_us"), F.col("__b.total").cast("double").alias("total"))
     return out.where("total > 0") if skip_zero else out
+
+
+def interpolate(queries: DataFrame, knots: DataFrame, key: list[str] = ("video",), t: str = "us", tie: str = "event_id", value: str = "score", to: str = "interpolated") -> DataFrame:
+    """``queries`` and the knots' value at their times: linear between neighbours, the end values beyond
+    them, null for keys without knots. No range join: both series meet in one ordered window."""
+    extra = [c for c in queries.columns if c not in (*key, t, tie)]
+    knot = knots.select(*key, t, F.col(tie), F.lit(0).alias("__q"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("__k"), *(F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra))
+    both = knot.unionByName(queries.select(*key, t, tie, F.lit(1).alias("__q"), F.lit(None).cast(knot.schema["__k"].dataType).alias("__k"), *extra))
+    w = Window.partitionBy(*key).orderBy(t, "__q", tie)
+    left = F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumns({"__l": left, "__r": right}).where("__q = 1")
+    lo, hi = F.col("__l"), F.col("__r")
+    line = lo["v"] + (hi["v"] - lo["v"]) * (F.col(t) - lo["t"]) / (hi["t"] - lo["t"])
+    return both.select(*queries.columns, F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["t"] == F.col(t)), lo["v"]).otherwise(line).alias(to))
+
+
+def scale_to_max(column: str, key: list[str] = ("video",)) -> Column:
+    """``column`` over its key's maximum, or as it is where that isn't above 0."""
+    top = F.max(column).over(Window.partitionBy(*key))
+    return F.when(top > 0, F.col(column) / top).otherwise(F.col(column))
+
+
+def nearest(df: DataFrame, grid: DataFrame, reach: int, key: list[str] = ("video",), t: str = "us", tie: str = "event_id") -> DataFrame:
+    """``grid`` (key, ``at``) and the nearest sample's time within ``reach``, the earlier of two as near."""
+    w = Window.partitionBy(*key).orderBy("__t", "__g", tie)
+    rows = df.select(*key, F.col(t).alias("__t"), F.lit(0).alias("__g"), F.col(tie)).unionByName(grid.select(*key, F.col("at").alias("__t"), F.lit(1).alias("__g"), F.lit(None).cast(df.schema[tie].dataType).alias(tie)))
+    seen = F.when(F.col("__g") == 0, F.col("__t"))
+    rows = rows.withColumns({"__b": F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__a": F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("__g = 1")
+    before, after = F.col("__t") - F.col("__b"), F.col("__a") - F.col("__t")
+    pick = F.when(F.col("__a").isNull() | (before <= after), F.col("__b")).otherwise(F.col("__a"))
+    return rows.select(*key, F.col("__t").alias("at"), pick.alias("sample_us")).where(F.abs(F.col("sample_us") - F.col("at")) <= reach)
+
+
+def sweep(df: DataFrame, thresholds: list[int], least: int, key: list[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id", open_end: int = SECOND) -> DataFrame:
+    """``threshold, n_segments, kept_us``: what stays of the series at each threshold.
+
+    One sorted pass numbers the stretches of all thresholds; only samples above a threshold are counted for it, where they are.
+    """
+    w = _ordered(key, t, tie)
+    rows = df.select(*key, t, tie, score, F.lag(score).over(w).alias("__before"), F.lead(t).over(w).alias("__next"))
+    up = [F.coalesce(F.col(score) >= x, F.lit(False)) for x in thresholds]
+    new = [u & ~F.coalesce(F.col("__before") >= x, F.lit(False)) for u, x in zip(up, thresholds, strict=True)]
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__i{k}": F.sum(n.cast("long")).over(so_far) for k, n in enumerate(new)})
+    each = F.array(*(F.struct(F.lit(x).alias("threshold"), u.alias("up"), F.col(f"__i{k}").alias("island")) for k, (u, x) in enumerate(zip(up, thresholds, strict=True))))
+    rows = rows.select(*key, t, "__next", F.explode(F.filter(each, lambda e: e["up"])).alias("__e"))
+    end = F.when(F.count("__next") == F.count("*"), F.max("__next")).otherwise(F.max(t) + open_end)
+    found = rows.groupBy(*key, F.col("__e.threshold").alias("threshold"), F.col("__e.island").alias("island")).agg((end - F.min(t)).alias("__long"))
+    return found.where(F.col("__long") >= least).groupBy("threshold").agg(F.count("*").alias("n_segments"), F.sum("__long").alias("kept_us"))

@@ -59,6 +59,36 @@ def test_windows_means_and_differences(series, rows):
     same(B.lag_difference(series, rows=rows), T.lag_difference(known))
 
 
+@pytest.mark.parametrize("rows", [1, 60, 100_000])
+def test_values_between_samples(series, rows):
+    """Knots of one camera at the times of both: ties, null values, keys without knots and times before the first and after the last."""
+    known = series.where("us IS NOT NULL")
+    knots = series.where("camera = 'a' AND event_id % 3 = 0 AND (video <> 4 OR video IS NULL)")
+    asked = known.where("event_id % 2 = 1 OR video <> 1 OR event_id < 20").select("event_id", "video", "us", F.lit("x").alias("extra"))
+    same(B.interpolate(asked, knots, rows=rows), T.interpolate(asked, knots.where("us IS NOT NULL")), 9)
+    timeless = series.where("us IS NULL").select("event_id", "video", "us")
+    assert [r.interpolated for r in B.interpolate(timeless, knots, rows=rows).collect()] == [None]
+    grid = known.select("video", (F.col("us") + F.col("event_id") % 1_500 - 700).alias("at")).unionByName(known.limit(5).select("video", F.lit(None).cast("long").alias("at")))
+    for reach in (0, 400, 10**9):
+        same(B.nearest(knots, grid, reach, rows=rows), T.nearest(knots.where("us IS NOT NULL"), grid, reach))
+
+
+@pytest.mark.parametrize("rows", [1, 70, 100_000])
+def test_sweeps(series, rows):
+    known = series.where("us IS NOT NULL")
+    for least in (0, 3_000):
+        for key in (["video"], KEY):
+            same(B.sweep(series, [-1, 10, 60, 85, 99], least, key, rows=rows), T.sweep(known, [-1, 10, 60, 85, 99], least, key))
+
+
+@pytest.mark.parametrize("part_rows", [50, 10_000])
+def test_scaling_to_maxima(series, part_rows, monkeypatch):
+    monkeypatch.setattr(joins, "PART_ROWS", part_rows)
+    shifted = series.withColumn("score", F.when(F.col("video") == 3, -F.col("score")).otherwise(F.col("score")))
+    for key in (["video"], KEY):
+        same(B.scaled_to_max(shifted, "score", key), shifted.withColumn("score", T.scale_to_max("score", key)), 9)
+
+
 def greedy(rows, within, most):
     out = []
     for key in {r.video for r in rows}:
@@ -101,7 +131,7 @@ def test_dealt_join_broadcasts_no_repeats(spark):
 
 def test_no_window_orders_a_recording_s_samples(series):
     """Windows over samples are by bucket; those by key alone are ordered by bucket: they see pieces or totals of buckets."""
-    for made in (B.segments(series, 60.0, 0, rows=40), B.peaks(series, 60.0, 5, rows=40), B.best_window(series, 5_000, rows=40), B.lag_difference(series, rows=40)):
+    for made in (B.segments(series, 60.0, 0, rows=40), B.peaks(series, 60.0, 5, rows=40), B.best_window(series, 5_000, rows=40), B.lag_difference(series, rows=40), B.sweep(series, [60], 0, rows=40), B.interpolate(series.drop("score"), series, rows=40)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if " Window [" in line or line.strip().startswith("+- Window [")]
         assert windows
@@ -111,7 +141,7 @@ def test_no_window_orders_a_recording_s_samples(series):
 
 def test_empty_series(spark):
     none = spark.createDataFrame([], "event_id long, video long, camera string, us long, score double")
-    for got in (B.segments(none, 1.0, 0), B.peaks(none, 1.0, 5), B.best_window(none, 5), B.smoothed(none, "score", 3), B.lag_difference(none), B.suppress(none, 5, 2)):
+    for got in (B.segments(none, 1.0, 0), B.peaks(none, 1.0, 5), B.best_window(none, 5), B.smoothed(none, "score", 3), B.lag_difference(none), B.suppress(none, 5, 2), B.interpolate(none.drop("score"), none), B.nearest(none, none.select("video", F.col("us").alias("at")), 5), B.sweep(none, [1], 0), B.scaled_to_max(none, "score")):
         assert got.collect() == []
 
 

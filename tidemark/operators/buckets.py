@@ -43,17 +43,22 @@ def bucket_at(at: Column) -> Column:
 def cut(df: DataFrame, key: Sequence[str], t: str, rows: int = ROWS, most_cut: int = MOST_CUT) -> DataFrame:
     """``df`` (samples that have a time) and ``__b``, the number of the key's bucket: 0 for keys that aren't cut, which
     have no ``__from`` and ``__width``."""
+    return _cut(df, key, t, rows, most_cut)[0]
+
+
+def _cut(df: DataFrame, key: Sequence[str], t: str, rows: int, most_cut: int = MOST_CUT) -> tuple[DataFrame, bool]:
+    """``cut``, and whether any key is."""
     df = df.where(F.col(t).isNotNull())
     by_key = df.groupBy(*key).agg(F.count("*").alias("__n"), F.min(t).alias("__from"), F.max(t).alias("__to"))
     total, most = by_key.agg(F.sum("__n"), F.max("__n")).first()
     least = max(rows, -(-(total or 0) // most_cut))
     if (most or 0) <= least:  # no key is long
         nothing = F.lit(None).cast("long")
-        return df.select(*df.columns, nothing.alias("__from"), nothing.alias("__width"), F.lit(0).cast("long").alias("__b"))
+        return df.select(*df.columns, nothing.alias("__from"), nothing.alias("__width"), F.lit(0).cast("long").alias("__b")), False
     width = F.greatest(F.lit(1).cast("long"), F.floor((F.col("__to") - F.col("__from")) * least / F.col("__n")))
     long_ones = by_key.where(F.col("__n") > least).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), "__from", width.alias("__width"))
     cut_up = df.join(F.broadcast(long_ones), same_key(key, "__k"), "left")  # fewer than most_cut rows
-    return cut_up.select(*df.columns, "__from", "__width", bucket_at(F.col(t)).alias("__b"))
+    return cut_up.select(*df.columns, "__from", "__width", bucket_at(F.col(t)).alias("__b")), True
 
 
 def _inside(key: Sequence[str], *order: str):
@@ -175,6 +180,99 @@ def lag_difference(df: DataFrame, key: Sequence[str] = ("video",), t: str = "us"
     return by.withColumn(to, F.abs(F.col(score) - before)).where(F.col(to).isNotNull()).select(*df.columns, to)
 
 
+def _between(samples: DataFrame, asked: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """``asked`` (key, ``__t``, ``__ask``) and the ``__k`` of the samples (key, ``__t``, ``__tie``, ``__k``) around each: ``__l`` of
+    the last at its time or before, ``__r`` of the first after it; null where there is none.
+
+    Both are cut together. A bucket is sent the last sample before and the first after it, which come from the buckets' own ends,
+    so one shuffle of rows does. Looking ahead is a running value over the opposite order: a frame that ends with its
+    partition would be read again for every row.
+    """
+    kinds = {c: samples.schema[c].dataType for c in ("__tie", "__k")} | {"__ask": asked.schema["__ask"].dataType}
+    both = samples.select(*key, "__t", "__tie", "__k", F.lit(0).alias("__q"), F.lit(None).cast(kinds["__ask"]).alias("__ask"))
+    both = both.unionByName(asked.select(*key, "__t", F.lit(None).cast(kinds["__tie"]).alias("__tie"), F.lit(None).cast(kinds["__k"]).alias("__k"), F.lit(1).alias("__q"), "__ask"))
+    both, is_cut = _cut(both, key, "__t", rows)
+    both = both.drop("__from", "__width")
+    if is_cut:
+        sample = F.when(F.col("__q") == 0, F.struct("__t", "__tie", "__k"))
+        ends = both.groupBy(*key, "__b").agg(F.min(sample).alias("__first"), F.max(sample).alias("__last"))
+        by = Window.partitionBy(*key)
+        # a running value in either direction, from the bucket beside this one on
+        earlier = F.last("__last", ignorenulls=True).over(by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+        later = F.last("__first", ignorenulls=True).over(by.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.withColumns({"__earlier": earlier, "__later": later})
+        sent = ends.select(*key, "__b", F.explode(F.array("__earlier", "__later")).alias("__s")).where("__s IS NOT NULL")
+        both = both.unionByName(sent.select(*key, "__b", "__s.*", F.lit(0).alias("__q"), F.lit(None).cast(kinds["__ask"]).alias("__ask")))
+    running = (Window.unboundedPreceding, 0)
+    w = _inside(key, "__t", "__q", "__tie").rowsBetween(*running)
+    back = Window.partitionBy(*key, "__b").orderBy(F.desc("__t"), F.desc("__q"), F.desc("__tie")).rowsBetween(*running)
+    around = both.withColumns({"__l": F.last("__k", ignorenulls=True).over(w), "__r": F.last("__k", ignorenulls=True).over(back)})
+    return around.where("__q = 1").select(*key, "__t", "__ask", "__l", "__r")
+
+
+def interpolate(queries: DataFrame, knots: DataFrame, key: Sequence[str] = ("video",), t: str = "us", tie: str = "event_id", value: str = "score", to: str = "interpolated", rows: int = ROWS) -> DataFrame:
+    """``queries`` and the knots' value at their times: linear between neighbours, the end values beyond
+    them, null for keys without knots and for queries without a time. No range join: both series meet in one ordered window."""
+    samples = knots.select(*key, F.col(t).alias("__t"), F.col(tie).alias("__tie"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("__k"))
+    found = _between(samples, queries.select(*key, F.col(t).alias("__t"), F.struct(*queries.columns).alias("__ask")), key, rows)
+    lo, hi = F.col("__l"), F.col("__r")
+    line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("__t") - lo["t"]) / (hi["t"] - lo["t"])
+    found = found.select("__ask.*", F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["t"] == F.col("__t")), lo["v"]).otherwise(line).alias(to))
+    return found.unionByName(queries.where(F.col(t).isNull()).withColumn(to, F.lit(None).cast(found.schema[to].dataType)))
+
+
+def nearest(df: DataFrame, grid: DataFrame, reach: int, key: Sequence[str] = ("video",), t: str = "us", tie: str = "event_id", rows: int = ROWS) -> DataFrame:
+    """``grid`` (key, ``at``) and the nearest sample's time within ``reach``, the earlier of two as near."""
+    samples = df.select(*key, F.col(t).alias("__t"), F.col(tie).alias("__tie"), F.struct(F.col(t).alias("t")).alias("__k"))
+    found = _between(samples, grid.select(*key, F.col("at").alias("__t"), F.struct(F.col("at")).alias("__ask")), key, rows)
+    before, after = F.col("__l")["t"], F.col("__r")["t"]
+    pick = F.when(after.isNull() | (F.col("__t") - before <= after - F.col("__t")), before).otherwise(after)
+    return found.select(*key, "__ask.at", pick.alias("sample_us")).where(F.abs(F.col("sample_us") - F.col("at")) <= reach)
+
+
+def scaled_to_max(df: DataFrame, column: str, key: Sequence[str] = ("video",)) -> DataFrame:
+    """``df`` with ``column`` over its key's maximum, or as it is where that isn't above 0.
+
+    Maxima are one aggregation; a long key's rows are dealt over tasks when they meet theirs.
+    """
+    whole = F.struct(*key)
+    tops, _ = materialize(df.groupBy(whole.alias("__key")).agg(F.max(column).alias("__top"), F.count("*").alias("__n")), "maxima")
+    total = tops.agg(F.sum("__n")).first()[0] or 0
+    met = dealt_join(df.withColumn("__key", whole), tops, "__key", df.columns, "__n", total)
+    return met.select(*(F.when(F.col("__top") > 0, F.col(c) / F.col("__top")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def sweep(df: DataFrame, thresholds: Sequence[int], least: int, key: Sequence[str] = ("video",), t: str = "us", score: str = "score", tie: str = "event_id", open_end: int = SECOND, rows: int = ROWS) -> DataFrame:
+    """``threshold, n_segments, kept_us``: what stays of the series at each threshold; none where nothing does.
+
+    One sorted pass over each bucket numbers the stretches of all thresholds, and only samples above a threshold are counted
+    for it. A stretch that reaches its bucket's first or last sample joins that of the bucket beside it.
+    """
+    marked = cut(df.select(*key, F.col(t).alias("__t"), F.col(score).alias("__s"), F.col(tie).alias("__tie")), key, "__t", rows)
+    w = _inside(key, "__t", "__tie")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({"__before": F.lag("__s").over(w), "__next": F.lead("__t").over(w), "__i": F.row_number().over(w)})
+    up = [F.coalesce(F.col("__s") >= x, F.lit(False)) for x in thresholds]
+    new = [u & ~F.coalesce(F.col("__before") >= x, F.lit(False)) for u, x in zip(up, thresholds, strict=True)]
+    marked = marked.withColumns({f"__n{k}": F.sum(n.cast("long")).over(so_far) for k, n in enumerate(new)})
+    each = F.array(*(F.struct(F.lit(x).alias("threshold"), u.alias("up"), F.col(f"__n{k}").alias("island")) for k, (u, x) in enumerate(zip(up, thresholds, strict=True))))
+    counted = marked.select(*key, "__b", "__t", "__next", "__i", F.explode(F.filter(each, lambda e: e["up"])).alias("__e"))
+    pieces = counted.groupBy(*key, "__b", F.col("__e.threshold").alias("threshold"), F.col("__e.island").alias("island")).agg(
+        F.min("__t").alias("start"), F.max("__t").alias("last"), F.max("__next").alias("next"), (F.min("__i") == 1).alias("left"), F.bool_or(F.col("__next").isNull()).alias("right"),
+    )
+    inside = pieces.where("NOT left AND NOT right").select("threshold", (F.col("next") - F.col("start")).alias("__long"))
+    places = marked.groupBy(*key, "__b").agg(F.min("__t").alias("__first")).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__b").alias("__kb"), "__first")
+    by = Window.partitionBy(*(f"__k{i}" for i in range(len(key)))).orderBy("__kb")
+    places = places.withColumns({"__place": F.row_number().over(by), "__after": F.lead("__first").over(by)})
+    opened = pieces.where("left OR right").join(places, same_key(key, "__k") & (F.col("__b") == F.col("__kb")))
+    of_key = Window.partitionBy(*key, "threshold").orderBy("__b", "start", F.desc("left"))
+    joins = F.col("left") & F.coalesce(F.lag("right").over(of_key) & (F.lag("__place").over(of_key) == F.col("__place") - 1), F.lit(False))
+    opened = opened.withColumn("__joins", joins).withColumn("__chain", F.sum((~F.col("__joins")).cast("long")).over(of_key.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.when(F.col("right"), F.coalesce("__after", F.col("last") + open_end)).otherwise(F.col("next"))
+    across = opened.groupBy(*key, "threshold", "__chain").agg((F.max(end) - F.min("start")).alias("__long")).select("threshold", "__long")
+    return inside.unionByName(across).where(F.col("__long") >= least).groupBy("threshold").agg(F.count("*").alias("n_segments"), F.sum("__long").alias("kept_us"))
+
+
 def suppress(df: DataFrame, within: int, most: int, key: str = "video", t: str = "us", score: str = "score") -> DataFrame:
     """``key, t, score``: samples taken from the highest down (the earlier of equals), none less than ``within``
     from one taken before, ``most`` a key at most. Null scores don't count.

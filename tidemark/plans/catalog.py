@@ -90,8 +90,7 @@ def detect_slots(spark, sf):
 
 @query
 def motion_diff(spark, sf):
-    d = T.lag_difference(samples(spark, sf))
-    d = d.withColumn("diff", T.scale_to_max("diff"))
+    d = T.scaled_to_max(T.lag_difference(samples(spark, sf)), "diff")
     return T.smoothed(d.select("event_id", "video", "us", "diff"), "diff", 5).select("event_id", "video", F.round("smooth", 6).alias("motion"))
 
 
