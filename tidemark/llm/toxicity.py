@@ -144,6 +144,12 @@ class SparseRows:
         squares = self._sums(self.by_value.astype(np.float64) ** 2, self.column_at, self.column_start, self.shape[1])
         return np.maximum(np.sqrt(squares / max(1, self.shape[0])), least)
 
+    def scale(self, spread: np.ndarray) -> None:
+        """Divides every column by its ``spread``; the order of the cells stays, so nothing is sorted again."""
+        n = np.diff(np.append(self.column_start, len(self.by_value)))
+        self.value = (self.value / spread[self.column]).astype(np.float32)
+        self.by_value = (self.by_value / np.repeat(spread[self.column_at], n)).astype(np.float32)
+
     def times(self, w: np.ndarray) -> np.ndarray:
         return self._sums(self.value * w[self.column], self.row_at, self.row_start, self.shape[0])
 
@@ -192,7 +198,7 @@ def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict
     def kept(rows: Cells) -> Cells:
         at = place[rows[1]]
         ok = at >= 0
-        row = np.repeat(np.arange(len(rows[0])), rows[0])[ok]
+        row = np.repeat(np.arange(len(rows[0]), dtype=np.int32), rows[0])[ok]
         return np.bincount(row, minlength=len(rows[0])), at[ok], rows[2][ok]
 
     size, column, value = kept(texts)
@@ -200,10 +206,12 @@ def fit_rows(texts: Cells, swapped: Cells, toxic: np.ndarray, class_weight: dict
     if not len(used):
         return ToxicityModel(math.log(share / (1 - share)), {}, counted)
     # columns of one scale: few rounds suffice, and the L1 term treats them alike
-    spread = SparseRows(size, column, value, len(used)).spread(least_spread)
-    x = SparseRows(size, column, value / spread[column], len(used))
-    size, column, value = kept(swapped)
-    swaps = SparseRows(size, column, value / spread[column], len(used))
+    x = SparseRows(size, column, value, len(used))
+    spread = x.spread(least_spread)
+    x.scale(spread)
+    swaps = SparseRows(*kept(swapped), len(used))
+    swaps.scale(spread)
+    del size, column, value, swapped
     weight = weight / weight.sum()
     # the step is the inverse of the curvature's bound, found by power iteration
     v, vb, bound = np.ones(len(used)) / math.sqrt(len(used)), 1.0, 1.0
@@ -293,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_cells: i
 
     y = [toxic[i] for i in got.column("__id").to_pylist()]
     drawn = Counter(y)
-    return fit_rows(taken("columns", "counts"), taken("swap_columns", "swap_counts"), np.array(y), {t: total[t] / n for t, n in drawn.items()}, terms=terms, **options)
+    parts = [taken("columns", "counts"), taken("swap_columns", "swap_counts")]
+    del got
+    return fit_rows(parts.pop(0), parts.pop(), np.array(y), {t: total[t] / n for t, n in drawn.items()}, terms=terms, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
