@@ -86,3 +86,17 @@ def test_bounds_are_below_every_distance():
     cells = D.Cells(heads, np.array([own[cell == c].min(initial=np.inf) for c in range(6)]), np.array([own[cell == c].max(initial=-np.inf) for c in range(6)]))
     all_pairs, low = D.distances(x, x), cells.bound(x)
     assert all((low[:, cell[j]] <= all_pairs[:, j]).all() for j in range(200))
+
+
+def test_no_block_of_vectors_is_broadcast(spark):
+    """Blocks were repeated for every cell they meet and then broadcast, as they look small in files."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = D.neighbours(df, "id", "v", 3, pivots=4, block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "vectors" in plan and not any("vectors" in line for line in plan.split("\n") if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
+    d = D.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), float(d[i, j]), k + 1) for i in range(300) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    assert {tuple(r) for r in found.select("id", "match", "distance", "place").collect()} == want

@@ -2,8 +2,12 @@
 
 Vectors are dealt to the nearest of a few pivots, and a pivot's cell into blocks of ``block`` rows. A block meets those cells only
 that can still matter by the triangle inequality: for core distances, cells nearer than the neighbours already known; for
-the spanning tree, cells nearer than the best edge already known of a component. Pairs of blocks are compared in tasks and give
-back minima; no pair of vectors is ever a row.
+the spanning tree, cells nearer than the best edge already known of a component. Blocks are dealt into groups, and a task compares
+two groups' blocks, each pair once for both sides: a block is sent as often as there are groups, not as often as it meets
+others. Tasks give back minima; no pair of vectors is ever a row.
+
+Pairs are compared by a matrix product, whose squares are off by a known slack at most. It only rules pairs out: what is
+left (a few pairs a vector) is measured by ``distances``' own arithmetic, so results don't depend on blocks.
 
 The minimum spanning tree of mutual reachability grows by rounds (Boruvka 1926): each component takes its least edge, in the
 total order (length, smaller key, larger key), and pointers to the component at the other end are doubled until all name their
@@ -29,6 +33,9 @@ from ..sources.shared import materialize, remove
 
 #: Differences between vectors that are held at a time.
 CELLS = 1 << 21
+#: Groups of blocks, at least, and vectors of a group: a task holds two groups.
+LEAST_GROUPS, GROUP_ROWS = 12, 1 << 14
+NEAREST = "id long, found array<struct<d:double,m:long>>"
 EDGE = "comp long, w double, a long, b long, other long"
 
 
@@ -41,6 +48,130 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by a matrix product, and what they are off at most."""
+    a, b = (x**2).sum(1), (y**2).sum(1)
+    q = x @ y.T
+    q *= -2
+    q += a[:, None]
+    q += b[None]
+    return q, 1e-15 * (x.shape[1] + 1000) * float(a.max(initial=0) + b.max(initial=0))
+
+
+def measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``distances`` of the rows ``i`` of ``x`` to the rows ``j`` of ``y``, the same bits."""
+    out = np.empty(len(i))
+    step = max(1, CELLS // max(1, x.shape[1]))
+    for lo in range(0, len(i), step):
+        at = slice(lo, lo + step)
+        out[at] = np.sqrt(((x[i[at]] - y[j[at]]) ** 2).sum(-1))
+    return out
+
+
+def _stretches(x: np.ndarray, y: np.ndarray) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, len(y)))
+    return (slice(lo, lo + step) for lo in range(0, len(x), step))
+
+
+class Nearest:
+    """The ``n`` nearest of what a block's vectors have met, by distance and key; ``far``: beyond it nothing counts."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, n: int, known: np.ndarray | None = None):
+        self.ids, self.x, self.n = ids, x, n
+        self.known = np.full((len(ids), n), np.inf) if known is None else known
+        self.d, self.m = np.full((len(ids), n), np.inf), np.full((len(ids), n), np.iinfo(np.int64).max)
+        self.far = self.known.max(1)
+
+    def add(self, i: np.ndarray, d: np.ndarray, m: np.ndarray) -> None:
+        near = d <= self.far[i]
+        if not near.any():
+            return
+        i, d, m = i[near], d[near], m[near]
+        order = np.lexsort((m, d, i))
+        i, d, m = i[order], d[order], m[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        rows, kept = i[first], place < self.n
+        at = np.searchsorted(rows, i[kept])
+        new_d, new_m = np.full((len(rows), self.n), np.inf), np.full((len(rows), self.n), np.iinfo(np.int64).max)
+        new_d[at, place[kept]], new_m[at, place[kept]] = d[kept], m[kept]
+        both_d, both_m = np.concatenate([self.d[rows], new_d], axis=1), np.concatenate([self.m[rows], new_m], axis=1)
+        best = np.lexsort((both_m, both_d), axis=1)[:, : self.n]
+        self.d[rows], self.m[rows] = np.take_along_axis(both_d, best, axis=1), np.take_along_axis(both_m, best, axis=1)
+        self.far[rows] = np.partition(np.concatenate([self.known[rows], self.d[rows]], axis=1), self.n - 1, axis=1)[:, self.n - 1]
+
+    def meet(self, other: Nearest) -> None:
+        """Both sides' candidates of all pairs; those of a block and itself, once."""
+        for at in _stretches(self.x, other.x):
+            q, slack = squares(self.x[at], other.x)
+            if other is self:
+                q[np.arange(len(q)), np.arange(len(self.x))[at]] = np.inf
+            for mine, theirs, table, offset in ((self, other, q, at.start), (other, self, q.T, None)):
+                if offset is None and other is self:
+                    continue
+                far = mine.far[at] if offset is not None else mine.far
+                if table.shape[1] > mine.n:  # no row needs more than its own n nearest and their ties
+                    wide = np.flatnonzero(~np.isfinite(far))
+                    if len(wide):
+                        far = far.copy()
+                        far[wide] = np.sqrt(np.maximum(0, np.partition(table[wide], mine.n - 1, axis=1)[:, mine.n - 1] + 2 * slack))
+                i, j = np.nonzero((table <= (far**2 * (1 + 1e-12) + 2 * slack)[:, None]) & np.isfinite(table))
+                i, j = (i + offset, j) if offset is not None else (i, j + at.start)
+                mine.add(i, measured(mine.x, theirs.x, i, j), theirs.ids[j])
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.isfinite(self.d[:, 0])
+        d, m = self.d[some], self.m[some]
+        held = np.isfinite(d)
+        entries = pa.StructArray.from_arrays([pa.array(d[held]), pa.array(m[held])], names=["d", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[some]), pa.ListArray.from_arrays(pa.array(np.r_[0, held.sum(1).cumsum()].astype(np.int32)), entries)], names=["id", "found"])
+
+
+class LeastEdges:
+    """Each component's least edge of what blocks have met, in the order (length, smaller key, larger key)."""
+
+    def __init__(self, comps: np.ndarray, bound: np.ndarray):
+        self.comps, self.bound = comps, bound  # sorted; no edge that is longer counts
+        self.best = tuple(np.zeros(0, k) for k in (np.int64, np.float64, np.int64, np.int64, np.int64))
+
+    def meet(self, one: tuple, two: tuple) -> None:
+        """Blocks as (ids, vectors, cores, numbers of components)."""
+        (ids, x, core, c), (their_ids, y, their_core, their_c) = one, two
+        if (c == c[0]).all() and (their_c == c[0]).all():
+            return
+        for at in _stretches(x, y):
+            q, slack = squares(x[at], y)
+            np.maximum(q, (core[at] ** 2)[:, None], out=q)
+            np.maximum(q, (their_core**2)[None], out=q)
+            q[c[at][:, None] == their_c[None]] = np.inf
+            for table, own, other, turned in ((q, c[at], their_c, False), (q.T, their_c, c[at], True)):
+                low = table.min(1)
+                near = self.bound**2
+                np.minimum.at(near, own, low)
+                limit = near[own] * (1 + 1e-12) + 2 * slack
+                some = np.flatnonzero(np.isfinite(low) & (low <= limit))
+                i, j = np.nonzero(table[some] <= limit[some, None])
+                i = some[i]
+                if not len(i):
+                    continue
+                of, to = own[i], other[j]
+                i, j = (j, i) if turned else (i, j)
+                i = i + at.start
+                w = np.maximum(measured(x, y, i, j), np.maximum(core[i], their_core[j]))
+                self._add(of, w, np.minimum(ids[i], their_ids[j]), np.maximum(ids[i], their_ids[j]), self.comps[to])
+
+    def _add(self, *edges: np.ndarray) -> None:
+        of, w, a, b, other = (np.concatenate(p) for p in zip(self.best, edges, strict=True))
+        order = np.lexsort((b, a, w, of))
+        order = order[np.r_[True, of[order][1:] != of[order][:-1]]]
+        self.best = tuple(v[order] for v in (of, w, a, b, other))
+        self.bound[self.best[0]] = np.minimum(self.bound[self.best[0]], self.best[1])
+
+    def rows(self) -> pa.RecordBatch:
+        of, w, a, b, other = self.best
+        return _rows({"comp": self.comps[of], "w": w, "a": a, "b": b, "other": other}, EDGE)
+
+
 def tree_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and their clusters, from a spanning tree's edges in ascending order. Clusters are numbered by their
     smallest key; -1 is noise."""
@@ -95,8 +226,8 @@ def tree_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> tupl
 class Cells:
     """Pivots, and for each the least and largest distance of its vectors; a row a pivot, held by driver and tasks."""
 
-    def __init__(self, pivots: np.ndarray, near: np.ndarray, far: np.ndarray):
-        self.pivots, self.near, self.far = pivots, near, far
+    def __init__(self, pivots: np.ndarray, near: np.ndarray, far: np.ndarray, rows: int = 0):
+        self.pivots, self.near, self.far, self.rows = pivots, near, far, rows
 
     def bound(self, x: np.ndarray) -> np.ndarray:
         """What each row is at least away from every vector of each cell (a little less, for rounding)."""
@@ -137,7 +268,7 @@ def _blocks(df: DataFrame, key: str, vector: str, pivots: int, block: int) -> tu
 
     blocks, _ = materialize(held.mapInArrow(packed, "block long, cell long, ids binary, vectors binary"), "density-blocks")
     remove(df.sparkSession, placed_path)
-    return blocks, Cells(heads, near, far)
+    return blocks, Cells(heads, near, far, sum(r["n"] for r in stats.values()))
 
 
 def _opened(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -145,89 +276,83 @@ def _opened(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(vectors).reshape(len(found), -1)
 
 
-def _paired(routed: DataFrame, blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work`` on every routed block (its columns and ``cells`` to visit) and each block of these cells but itself."""
-    mine = routed.withColumn("to", F.explode("cells")).drop("cells")
-    theirs = blocks.select(*(F.col(c).alias(f"their_{c}") for c in blocks.columns))
-    met = mine.join(theirs, F.col("to") == F.col("their_cell")).where("block <> their_block").drop("to", "cell", "block", "their_cell", "their_block")
-    return met.mapInArrow(work, schema)
+def _met(rows: DataFrame, wanted: DataFrame, cells: Cells, work: Callable[[dict[int, dict], list[tuple[int, int]]], list[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on the blocks of ``rows`` (a dictionary of their columns each) and the pairs of them that are to meet; ``wanted`` has blocks
+    and the ``cells`` these visit. A task has the pairs between two groups of blocks."""
+    groups = F.lit(max(LEAST_GROUPS, -(-cells.rows // GROUP_ROWS)))
+    theirs = rows.select(F.col("block").alias("other"), F.col("cell").alias("to"))
+    met = wanted.select("block", F.explode("cells").alias("to")).join(theirs, "to").where("block <> other")
+    pairs = met.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct()
+    one, two = (F.pmod(F.xxhash64(c), groups) for c in ("a", "b"))
+    pairs = pairs.select("a", "b", F.least(one, two).alias("g"), F.greatest(one, two).alias("h"))
+    nobody = F.lit(None).cast("long")
+    sides = pairs.select("g", "h", F.explode(F.array(F.struct(F.col("a").alias("block"), F.col("b").alias("other")), F.struct(F.col("b").alias("block"), nobody.alias("other")))).alias("s"))
+    sides = sides.groupBy("g", "h", "s.block").agg(F.collect_list("s.other").alias("others"))
 
+    def run(part: pa.Table) -> pa.Table:
+        held = {r["block"]: r for r in part.to_pylist()}
+        return pa.Table.from_batches(work(held, [(r["block"], b) for r in held.values() for b in r["others"]]))
+
+    # numbers of blocks are joined first, and vectors are never the broadcast side: a block's row is repeated by this join
+    return rows.join(sides.hint("merge"), "block").groupBy("g", "h").applyInArrow(run, schema)
 
-def core_distances(blocks: DataFrame, cells: Cells, least: int) -> DataFrame:
-    """``id, block, core``: the distance to the ``least``-th nearest other vector."""
 
-    def smallest(d: np.ndarray) -> np.ndarray:
-        d = np.pad(d, ((0, 0), (0, max(0, least - d.shape[1]))), constant_values=np.inf)
-        return np.sort(np.partition(d, least - 1, axis=1)[:, :least], axis=1)
+def _nearest(blocks: DataFrame, cells: Cells, n: int, probes: int | None = None) -> DataFrame:
+    """``id, found``: every vector's ``n`` nearest others (``d``, ``m``), in order."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, cell, packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                _, x = _opened(packed, vectors)
-                d = distances(x, x)
-                np.fill_diagonal(d, np.inf)
-                known = smallest(d)
-                cells_met = np.flatnonzero((cells.bound(x) < known[:, -1:]).any(0))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([cell]), pa.array([packed]), pa.array([vectors]), pa.array([known.tobytes()]), pa.array([cells_met.tolist()], pa.list_(pa.int64()))], names=["block", "cell", "ids", "vectors", "known", "cells"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for packed, vectors, known, _, theirs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, x = _opened(packed, vectors)
-                d = smallest(distances(x, np.frombuffer(theirs).reshape(-1, x.shape[1])))
-                nearer = d[:, 0] < np.frombuffer(known).reshape(len(ids), -1)[:, -1]
-                yield _rows({"id": ids[nearer], "known": [r.tobytes() for r in d[nearer]]}, "id long, known binary")
+                near = Nearest(ids, x, n)
+                near.meet(near)
+                can = cells.bound(x) <= near.far[:, None]
+                if probes is not None:
+                    can &= np.argsort(np.argsort(distances(x, cells.pivots), axis=1, kind="stable"), axis=1) < probes
+                lists = (near.d.tobytes(), near.m.tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array([v]) for v in (number, cell, packed, vectors, *lists)), pa.array([np.flatnonzero(can.any(0)).tolist()], pa.list_(pa.int64()))], names=["block", "cell", "ids", "vectors", "d", "m", "cells"])
+
+    def others(held: dict[int, dict], pairs: list[tuple[int, int]]) -> list[pa.RecordBatch]:
+        near = {k: Nearest(*_opened(r["ids"], r["vectors"]), n, np.frombuffer(r["d"]).reshape(-1, n)) for k, r in held.items()}
+        for a, b in pairs:
+            near[a].meet(near[b])
+        return [x.rows() for x in near.values()]
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for packed, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.frombuffer(packed, np.int64)
-                yield _rows({"id": ids, "known": [r.tobytes() for r in np.frombuffer(known).reshape(len(ids), -1)]}, "id long, known binary")
+            for packed, d, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                near = Nearest(np.frombuffer(packed, np.int64), np.empty((0, 0)), n)
+                near.d, near.m = np.frombuffer(d).reshape(-1, n), np.frombuffer(m, np.int64).reshape(-1, n)
+                yield near.rows()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            core = [np.partition(np.frombuffer(b"".join(lists)), least - 1)[least - 1] for lists in b.column(1).to_pylist()]
-            yield _rows({"id": b.column(0), "core": core}, "id long, core double")
+    routed, _ = materialize(blocks.select("block", "cell", "ids", "vectors").mapInArrow(own, "block long, cell long, ids binary, vectors binary, d binary, m binary, cells array<long>"), "density-neighbours")
+    found = _met(routed.drop("m", "cells"), routed.select("block", "cells"), cells, others, NEAREST).unionByName(routed.select("ids", "d", "m").mapInArrow(alone, NEAREST))
+    return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, n).alias("found"))
 
-    routed, _ = materialize(blocks.select("block", "cell", "ids", "vectors").mapInArrow(own, "block long, cell long, ids binary, vectors binary, known binary, cells array<long>"), "density-neighbours")
-    seen = _paired(routed, blocks, others, "id long, known binary").unionByName(routed.select("ids", "known").mapInArrow(alone, "id long, known binary"))
-    return seen.groupBy("id").agg(F.collect_list("known").alias("known")).mapInArrow(merged, "id long, core double")
+
+def core_distances(blocks: DataFrame, cells: Cells, least: int) -> DataFrame:
+    """``id, core``: the distance to the ``least``-th nearest other vector."""
+    return _nearest(blocks, cells, least).select("id", F.coalesce(F.get("found", F.lit(least - 1))["d"], F.lit(float("inf"))).alias("core"))
 
 
 def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int = 64) -> DataFrame:
     """``a, b, w``: the edges (a < b) of the minimum spanning tree of mutual reachability."""
     spark = blocks.sparkSession
 
-    def least_edges(comp: np.ndarray, ids: np.ndarray, d: np.ndarray, their_ids: np.ndarray, their_comp: np.ndarray) -> dict:
-        """Each component's least edge, of a matrix of lengths whose inner places are infinite."""
-        w = d.min(1)
-        some = np.flatnonzero(np.isfinite(w))
-        out: dict[int, tuple] = {}
-        for i in some.tolist():
-            for j in np.flatnonzero(d[i] == w[i]).tolist():
-                edge = (float(w[i]), int(min(ids[i], their_ids[j])), int(max(ids[i], their_ids[j])), int(their_comp[j]))
-                if edge < out.get(int(comp[i]), (np.inf,)):
-                    out[int(comp[i])] = edge
-        return out
-
-    def as_rows(found: dict) -> pa.RecordBatch:
-        return _rows(dict(zip(("comp", "w", "a", "b", "other"), zip(*((c, *e) for c, e in found.items()), strict=True), strict=True)) if found else dict.fromkeys(("comp", "w", "a", "b", "other"), []), EDGE)
-
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for packed, vectors, core, comp in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                (ids, x), core, comp = _opened(packed, vectors), np.array(core), np.array(comp)
-                if (comp == comp[0]).all():
-                    continue
-                d = np.maximum(distances(x, x), np.maximum(core[:, None], core[None]))
-                d[comp[:, None] == comp[None]] = np.inf
-                yield as_rows(least_edges(comp, ids, d, ids, comp))
+                comps, numbers = np.unique(np.array(comp, np.int64), return_inverse=True)
+                mine = (*_opened(packed, vectors), np.array(core), numbers)
+                edges = LeastEdges(comps, np.full(len(comps), np.inf))
+                edges.meet(mine, mine)
+                yield edges.rows()
 
     def routing(whole: dict[int, int]) -> Callable:
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 columns = {n: b.column(k) for k, n in enumerate(b.schema.names)}
-                to = []
+                to: list[list[int]] = []
                 for packed, vectors, core, comp, w in zip(*(columns[n].to_pylist() for n in ("ids", "vectors", "core", "comp", "w")), strict=True):
                     _, x = _opened(packed, vectors)
                     w = np.array([np.inf if v is None else v for v in w])
@@ -235,20 +360,21 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
                     inner = np.array([whole.get(c, -1) for c in range(can.shape[1])])
                     can &= np.array(comp)[:, None] != inner
                     to.append(np.flatnonzero(can.any(0)).tolist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int64()))], names=[*b.schema.names, "cells"])
+                yield pa.RecordBatch.from_arrays([columns["block"], pa.array(to, pa.list_(pa.int64()))], names=["block", "cells"])
 
         return route
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for packed, vectors, core, comp, w, ids2, vectors2, core2, comp2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                (ids, x), (their_ids, y) = _opened(packed, vectors), _opened(ids2, vectors2)
-                comp, their_comp = np.array(comp), np.array(comp2)
-                if (comp == comp[0]).all() and (their_comp == comp[0]).all():
-                    continue
-                d = np.maximum(distances(x, y), np.maximum(np.array(core)[:, None], np.array(core2)[None]))
-                d[(comp[:, None] == their_comp[None]) | (d > np.array([np.inf if v is None else v for v in w])[:, None])] = np.inf
-                yield as_rows(least_edges(comp, ids, d, their_ids, their_comp))
+    def across(held: dict[int, dict], pairs: list[tuple[int, int]]) -> list[pa.RecordBatch]:
+        comps, numbers = np.unique(np.concatenate([np.array(r["comp"], np.int64) for r in held.values()]), return_inverse=True)
+        bound = np.full(len(comps), np.inf)
+        numbers = np.split(numbers, np.cumsum([len(r["comp"]) for r in held.values()])[:-1])
+        for r, c in zip(held.values(), numbers, strict=True):
+            np.minimum.at(bound, c, np.array([np.inf if v is None else v for v in r["w"]]))
+        blocks = {k: (*_opened(r["ids"], r["vectors"]), np.array(r["core"]), c) for (k, r), c in zip(held.items(), numbers, strict=True)}
+        edges = LeastEdges(comps, bound)
+        for a, b in pairs:
+            edges.meet(blocks[a], blocks[b])
+        return [edges.rows()]
 
     comps, comps_path = materialize(cores.select("id", "block", "core", F.col("id").alias("comp")), "density-components")
     tree = None
@@ -266,9 +392,8 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
         state, state_path = materialize(with_state(first), "density-state")
         of_cell = comps.withColumn("cell", F.pmod("block", F.lit(len(cells.pivots)))).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         whole = {r["cell"]: r["lo"] for r in of_cell.where("lo = hi").collect()}  # a row a pivot
-        shape = "block long, cell long, ids binary, vectors binary, core array<double>, comp array<long>, w array<double>"
-        routed = state.mapInArrow(routing(whole), shape + ", cells array<long>")
-        found = _paired(routed, state.drop("w"), across, EDGE).unionByName(first.select("comp", "e.*"))
+        wanted = state.mapInArrow(routing(whole), "block long, cells array<long>")
+        found = _met(state, wanted, cells, across, EDGE).unionByName(first.select("comp", "e.*"))
         best, best_path = materialize(found.groupBy("comp").agg(edge), "density-edges")
         new, _ = materialize(best.select("e.a", "e.b", "e.w").distinct(), "density-tree")
         tree = new if tree is None else tree.unionByName(new)
@@ -311,45 +436,7 @@ def neighbours(df: DataFrame, key: str, vector: str, n: int, probes: int | None
     if df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).limit(2).count() < 2:
         return df.sparkSession.createDataFrame([], f"`{key}` {kind}, match {kind}, distance double, place int")
     blocks, cells = _blocks(df, key, vector, pivots, block)
-    shape = "id long, found array<struct<d:double,m:long>>"
-    entry = pa.list_(pa.struct([("d", pa.float64()), ("m", pa.int64())]))
-
-    def top(ids: np.ndarray, d: np.ndarray, theirs: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-        order = np.lexsort((np.broadcast_to(theirs, d.shape), d), axis=1)[:, :n]
-        near = np.take_along_axis(d, order, axis=1)
-        rows = [[{"d": a, "m": b} for a, b in zip(r, theirs[o].tolist(), strict=True) if np.isfinite(a)] for r, o in zip(near.tolist(), order, strict=True)]
-        far = near[:, -1] if near.shape[1] == n else np.full(len(ids), np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, entry)], names=["id", "found"]), far
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, cell, packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, x = _opened(packed, vectors)
-                d = distances(x, x)
-                np.fill_diagonal(d, np.inf)
-                _, far = top(ids, d, ids)
-                can = cells.bound(x) <= far[:, None]
-                if probes is not None:
-                    can &= np.argsort(np.argsort(distances(x, cells.pivots), axis=1, kind="stable"), axis=1) < probes
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([cell]), pa.array([packed]), pa.array([vectors]), pa.array([np.flatnonzero(can.any(0)).tolist()], pa.list_(pa.int64()))], names=["block", "cell", "ids", "vectors", "cells"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for packed, vectors, ids2, vectors2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                (ids, x), (theirs, y) = _opened(packed, vectors), _opened(ids2, vectors2)
-                yield top(ids, distances(x, y), theirs)[0]
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for packed, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, x = _opened(packed, vectors)
-                d = distances(x, x)
-                np.fill_diagonal(d, np.inf)
-                yield top(ids, d, ids)[0]
-
-    routed, _ = materialize(blocks.mapInArrow(own, "block long, cell long, ids binary, vectors binary, cells array<long>"), "index-blocks")
-    found = _paired(routed, blocks, others, shape).unionByName(blocks.select("ids", "vectors").mapInArrow(alone, shape))
-    best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, n).alias("found"))
+    best = _nearest(blocks, cells, n, probes)
     rows = best.select(F.col("id").cast(kind).alias(key), F.posexplode("found").alias("at", "f"))
     return rows.select(key, F.col("f.m").cast(kind).alias("match"), F.col("f.d").alias("distance"), (F.col("at") + 1).alias("place"))
 
