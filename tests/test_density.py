@@ -94,9 +94,36 @@ def test_no_block_of_vectors_is_broadcast(spark):
     x = rng.normal(size=(300, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     found = D.neighbours(df, "id", "v", 3, pivots=4, block=16)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "vectors" in plan and not any("vectors" in line for line in plan.split("\n") if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    steps = [step for step in plan.split("\n\n") if ") BroadcastExchange" in step and "Input [" in step]
+    assert steps and "vectors" in plan and not any("vectors" in step for step in steps)
     d = D.distances(x, x)
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j), float(d[i, j]), k + 1) for i in range(300) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
     assert {tuple(r) for r in found.select("id", "match", "distance", "place").collect()} == want
+
+
+def test_a_pair_of_blocks_is_measured_once_and_only_where_it_can_matter(monkeypatch):
+    """All pairs were measured, both ways, in every round."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[650:], ids = x[7], np.arange(700)  # 51 equal vectors
+    counted, plain = [], D.measured
+    monkeypatch.setattr(D, "measured", lambda a, b, i, j: counted.append(len(i)) or plain(a, b, i, j))
+    d = D.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    parts = [D.Nearest(ids[at], x[at], 3) for at in (slice(0, 350), slice(350, 700))]
+    for one, two in ((0, 0), (1, 1), (0, 1)):
+        parts[one].meet(parts[two])
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert (np.concatenate([p.m for p in parts]) == order).all() and (np.concatenate([p.d for p in parts]) == np.take_along_axis(d, order, axis=1)).all()
+    core = np.sort(d, axis=1)[:, 2]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    edges = D.LeastEdges(ids, np.full(700, np.inf))
+    halves = [(ids[at], x[at], core[at], ids[at]) for at in (slice(0, 350), slice(350, 700))]
+    for one, two in ((0, 0), (1, 1), (0, 1)):
+        edges.meet(halves[one], halves[two])
+    want = [min((w[i, j], min(i, j), max(i, j), j) for j in range(700) if j != i) for i in range(700)]
+    assert list(zip(*(v.tolist() for v in edges.best[1:]), strict=True)) == want
+    assert sum(counted) < 0.1 * 700 * 700
