@@ -26,3 +26,13 @@ def test_starts_and_rounds_are_the_reference_s():
 @pytest.mark.parametrize("name", ["middle_item", "roi_filter"])
 def test_no_key_becomes_one_array(spark, name):
     assert "collect_list" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("stream", "plain", "name"), [("stream_foreground", "foreground", "embeddings"), ("stream_interpolation", "interp_join", "events"), ("stream_segments", "segments", "events")])
+def test_streams_read_tables_of_many_unordered_files(spark, tmp_path, stream, plain, name):
+    """A table that is a folder was found by no stream; files beyond the first eight came late."""
+    sf = str(tmp_path)
+    table(spark, SF, name).repartition(11).write.parquet(f"{sf}/{name}.parquet")
+    one, two = (catalog.QUERIES[q](spark, sf) for q in (plain, stream))
+    one, two = (sorted(map(tuple, d.select(*two.columns).collect()), key=repr) for d in (one, two))
+    assert len(one) > 100 and one == two

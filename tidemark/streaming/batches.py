@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import fresh_path
+from ..sources.tables import followed
 from .foreground import ROCKSDB
 from .scoring import attempt
 
@@ -94,8 +95,7 @@ def run(frames: DataFrame, score: Score, folder: str, size: int = 64, delay: str
 
 def replay(spark: SparkSession, folder: str, pattern: str, score: Score, size: int = 64) -> DataFrame:
     """Every camera's samples that are there, scored in batches. A row a year later, which the result leaves out, ends all cameras."""
-    files = spark.read.option("pathGlobFilter", pattern).parquet(folder)
-    raw = spark.readStream.schema(files.schema).option("pathGlobFilter", pattern).parquet(folder)
+    files, raw = followed(spark, folder, pattern)
     at = F.col("ts").cast("timestamp")
     made = raw.select(F.col("event_type").alias("camera"), at.alias("ts"), F.unix_micros(at).alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
     end = fresh_path(spark, "end-of-stream")

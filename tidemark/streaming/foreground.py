@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.foreground import RESULT, Mixture, Scene, Settings
 from ..sources.shared import fresh_path
+from ..sources.tables import followed
 
 ROWS = f"video long, us long, event_id long, {RESULT}"
 #: Result rows that are handed on together.
@@ -94,10 +95,10 @@ def run(frames: DataFrame, settings: Settings, folder: str, delay: str = "10 sec
     q.awaitTermination()
 
 
-def replay(spark: SparkSession, folder: str, pattern: str, settings: Settings, files_at_once: int = 8) -> DataFrame:
-    """Runs over the vectors that are there, as tiny frames a second apart, and returns what was released."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+def replay(spark: SparkSession, folder: str, pattern: str, settings: Settings) -> DataFrame:
+    """Runs over the vectors that are there, as tiny frames a second apart, and returns what was released. All files are one micro-batch:
+    a table's files have no order of time, so frames of a later batch would be late."""
+    _, raw = followed(spark, folder, pattern)
     grey = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255).cast("int"))
     frames = raw.select(F.col("label").cast("long").alias("video"), F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), ((F.col("vec_id") + 1) * 1_000_000).alias("us"), F.col("vec_id").alias("event_id"), grey.alias("pixels"))
     out = fresh_path(spark, "foreground")

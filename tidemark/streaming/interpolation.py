@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import fresh_path
+from ..sources.tables import followed
 from .foreground import ROCKSDB
 
 ROWS = "video long, us long, event_id long, interpolated double"
@@ -115,13 +116,12 @@ def run(rows: DataFrame, knots: DataFrame, folder: str, delay: str, idle: int):
 def replay(spark: SparkSession, folder: str, pattern: str, rows: str, knots: str) -> DataFrame:
     """Events of one type with another's value at their times, over the files that are there. A stream ends nowhere, so what waits for
     a knot that never comes isn't given out: a closing file a year later, which the result leaves out, ends all recordings."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    held, raw = followed(spark, folder, pattern)
     shape = "video long, ts timestamp, us long, event_id long, value double"
     end = fresh_path(spark, "end-of-stream")
-    last = spark.read.option("pathGlobFilter", pattern).parquet(folder).agg(F.max("ts").alias("ts"))
+    last = held.agg(F.max("ts").alias("ts"))
     closing = last.select(F.lit(-1).cast("long").alias("video"), (F.col("ts") + F.expr("INTERVAL 365 DAYS")).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("value"))
     closing.select("video", "ts", F.unix_micros("ts").alias("us"), "event_id", "value").write.parquet(end)
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
     made = raw.select(F.col("user_id").cast("long").alias("video"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"), "event_type")
     closing_stream = spark.readStream.schema(shape).parquet(end)
     out = fresh_path(spark, "interpolated")

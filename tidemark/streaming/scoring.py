@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
+from ..sources.tables import followed
 
 
 def attempt(score: Callable[[list[float]], list[float]], values: list) -> tuple[list, list]:
@@ -40,8 +41,7 @@ def scored(rows: DataFrame, score: Callable[[list[float]], list[float]], value:
 def replay_cameras(spark: SparkSession, folder: str, pattern: str, cameras: list[str], score: Callable[[list[float]], list[float]]) -> DataFrame:
     """A stream per camera, together scored and appended batch by batch; a run that stops goes on at its checkpoint.
     Cameras without samples are absent."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    streams = [spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).where(F.col("event_type") == c).select("event_id", F.lit(c).alias("camera"), F.col("value").alias("score")) for c in cameras]
+    streams = [followed(spark, folder, pattern)[1].where(F.col("event_type") == c).select("event_id", F.lit(c).alias("camera"), F.col("value").alias("score")) for c in cameras]
     together = streams[0]
     for s in streams[1:]:
         together = together.union(s)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import fresh_path
-from ..sources.tables import micros
+from ..sources.tables import followed, micros
 
 ROWS = "video long, island long, start_us long, end_us long, n long, closed boolean"
 
@@ -54,10 +54,9 @@ def latest(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("video", "island").agg(last.alias("s")).select("video", "s.*").where(F.col("end_us") - F.col("start_us") >= least)
 
 
-def replay(spark: SparkSession, folder: str, pattern: str, threshold: float, least: int, files_at_once: int = 8) -> DataFrame:
-    """Runs the stream over the files that are there, some at a time, and returns the segments known at its end."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+def replay(spark: SparkSession, folder: str, pattern: str, threshold: float, least: int, files_at_once: int | None = None) -> DataFrame:
+    """Runs the stream over the files that are there, so many at a time (all if not given; else they must be in time order), and returns the segments known at its end."""
+    _, raw = followed(spark, folder, pattern, files_at_once)
     samples = raw.select(F.col("user_id").alias("video"), micros("ts").alias("us"), "event_id", F.col("value").alias("score"))
     out = fresh_path(spark, "segments")
     run = open_segments(samples, threshold).writeStream.option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").format("parquet").trigger(availableNow=True).start()

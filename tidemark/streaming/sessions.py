@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
+from ..sources.tables import followed
 
 
 def peak_sessions(samples: DataFrame, threshold: float, gap: str, late: str = "1 day") -> DataFrame:
@@ -17,8 +18,7 @@ def peak_sessions(samples: DataFrame, threshold: float, gap: str, late: str = "1
 
 def stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """A stream of the samples in those files of a folder that match ``pattern``."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    _, raw = followed(spark, folder, pattern)
     return raw.select(F.col("user_id").alias("video"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"))
 
 
