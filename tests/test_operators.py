@@ -137,3 +137,17 @@ def test_queries_have_a_checked_size(spark):
     assert V.most_similar(v.where("id = 0"), v, 2, "id", "x").count() == 2
     with pytest.raises(ValueError, match="bytes"):
         V.most_similar(v, v, 2, "id", "x", query_bytes=10)
+
+
+def test_mean_times_of_long_chains_are_exact(spark):
+    """Sums of some thousand times pass a long, and quotients of doubles lost microseconds."""
+    base, n = 1_704_067_200_000_001, 7_001
+    df = spark.range(n).selectExpr("id % 1 AS video", f"{base}L + id * 1000003L AS peak_us", "'c' AS camera")
+    (row,) = T.merge_peaks(df, 2_000_000, 5).collect()
+    mid = sum(base + i * 1_000_003 for i in range(n)) // n
+    assert (row.start_us, row.end_us, row.n) == (mid - 5, mid + 5, n)
+    few = [base + x for x in (0, 1, 3, 4, 6, 8, 9)]
+    (row,) = T.merge_peaks(spark.createDataFrame([(1, t, "c") for t in few], "video long, peak_us long, camera string"), 10, 5).collect()
+    assert row.end_us == sum(few) // 7 + 5
+    (row,) = T.merge_peaks(spark.createDataFrame([(1, -9, "c"), (1, -4, "c")], "video long, peak_us long, camera string"), 10, 5).collect()
+    assert row.end_us == -1  # as SQL's whole quotient

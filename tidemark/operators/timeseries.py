@@ -30,8 +30,9 @@ def chains(df: DataFrame, gap: int, key: Sequence[str], t: str, tie: str) -> Dat
 
 def merge_peaks(found: DataFrame, gap: int, pad: int, key: Sequence[str] = ("video",), t: str = "peak_us", tie: Sequence[str] | str = "camera") -> DataFrame:
     """``key, start_us, end_us, n``: chains of peaks of all cameras; each slot reaches ``pad`` to either side
-    of its chain's mean time (in whole microseconds), from 0 at least."""
-    mean = F.floor(F.sum(t) / F.count("*"))
+    of its chain's mean time (in whole microseconds, towards 0), from 0 at least."""
+    # times are summed as decimals: their sum may pass a long, and their quotient as doubles loses microseconds
+    mean = F.call_function("div", F.sum(F.col(t).cast("decimal(20,0)")), F.count("*").cast("decimal(20,0)"))
     out = chains(found, gap, key, t, tie).groupBy(*key, "chain").agg(mean.alias("__m"), F.count("*").alias("n"))
     return out.select(*key, F.greatest(F.lit(0).cast("long"), F.col("__m") - pad).alias("start_us"), (F.col("__m") + pad).alias("end_us"), "n")
 
