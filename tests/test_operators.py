@@ -151,3 +151,20 @@ def test_mean_times_of_long_chains_are_exact(spark):
     assert row.end_us == sum(few) // 7 + 5
     (row,) = T.merge_peaks(spark.createDataFrame([(1, -9, "c"), (1, -4, "c")], "video long, peak_us long, camera string"), 10, 5).collect()
     assert row.end_us == -1  # as SQL's whole quotient
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_most_similar_equals_all_pairs_with_ties_and_rows_without_similarity(spark, largest):
+    """All pairs were rows. Halves, equal vectors, vectors of length 0 and null ones keep the order that the SQL gives them (nulls last)."""
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((-1.0, 0.25, 0.5, 1.0)) for _ in range(4)]) for i in range(400)] + [(i, None if i % 2 else [0.0] * 4) for i in range(400, 410)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    found = V.most_similar(df.where("id % 20 = 0"), df, 7, "id", "v", largest)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    q = df.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("w"))
+    s = q.crossJoin(df.select(F.col("id").alias("match"), "v")).where("query <> match").select("query", "match", F.round(S.cosine(F.col("w"), F.col("v"), 0.0), 4).alias("s"))
+    want = {}
+    for r in s.collect():
+        want.setdefault(r.query, []).append((r.s is None, 0 if r.s is None else -r.s if largest else r.s, r.match, r.s))
+    got = sorted(map(tuple, found.select("query", "place", "match", "similarity").collect()))
+    assert got == [(k, i + 1, m, x) for k in sorted(want) for i, (_, _, m, x) in enumerate(sorted(want[k])[:7])]
