@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ from ..sources.shared import fresh_path
 from ..sources.tables import followed
 from .foreground import ROCKSDB
 from .scoring import attempt
+from .waiting import Waiting
 
 ROWS = "camera string, us long, event_id long, scored double, error string, batch_rows int"
+#: Result rows that are handed on together.
+TOGETHER = 1 << 14
 Score = Callable[[list[float]], list[float]]
 
 
@@ -29,16 +33,17 @@ class Batcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.arrived = handle.getMapState("arrived", "us long, event_id long", "value double")
-        self.open = handle.getListState("open", "us long, event_id long, value double")
+        self.arrived = Waiting(handle, "arrived", ("us", "event_id", "value"))
+        self.open = Waiting(handle, "open", ("us", "event_id", "value"))
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = latest = None
         for part in rows:
-            for us, event_id, value in zip(part["us"], part["event_id"], part["value"], strict=True):
-                self.arrived.updateValue((int(us), int(event_id)), (None if pd.isna(value) else float(value),))
-                first, latest = (int(us) if x is None else f(x, int(us)) for x, f in ((first, min), (latest, max)))
+            if len(part):
+                self.arrived.add(self.arrived.made([part]))
+                low, high = int(part["us"].min()), int(part["us"].max())
+                first, latest = (low, high) if first is None else (min(first, low), max(latest, high))
         if first is not None:
             latest = max(latest, self.last.get()[0]) if self.last.exists() else latest
             self.last.update((latest,))
@@ -48,32 +53,32 @@ class Batcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        batch = list(self.open.get()) if self.open.exists() else []
-        held = sorted(self.arrived.keys())
-        for at in [k for k in held if k[0] // 1000 <= passed]:
-            (value,) = self.arrived.getValue(at)
-            self.arrived.removeKey(at)
-            batch.append((*at, value))
-            if len(batch) == self.size:
-                yield self._scored(key, batch)
-                batch = []
-        late = [k for k in held if k[0] // 1000 > passed]
-        if not late and self.last.exists() and (self.last.get()[0] + self.idle) // 1000 < passed:
-            if batch:
-                yield self._scored(key, batch)
-            for state in (self.open, self.last, self.arrived):
-                state.clear()
+        opened = self.open.all()
+        due, late = self.arrived.due(passed)
+        rows = np.concatenate([opened, due])
+        full = len(rows) // self.size * self.size
+        over = late is None and self.last.exists() and (self.last.get()[0] + self.idle) // 1000 < passed
+        step = max(1, TOGETHER // self.size) * self.size
+        for lo in range(0, full, step):
+            yield self._scored(key, rows[lo : min(full, lo + step)])
+        rest = rows[full:]
+        if over:
+            if len(rest):
+                yield self._scored(key, rest)
+            self.open.put(rest[:0], len(opened))
+            self.last.clear()
             return
-        if late:
-            self.handle.registerTimer(late[0][0] // 1000)
-        if batch:
-            self.open.put(batch)
-        else:
-            self.open.clear()
-
-    def _scored(self, key: tuple, batch: list[tuple]) -> pd.DataFrame:
-        scores, errors = attempt(self.score, [b[2] for b in batch])
-        return pd.DataFrame([(*key, us, i, s, e, len(batch)) for (us, i, _), s, e in zip(batch, scores, errors, strict=True)], columns=[c.split()[0] for c in ROWS.split(", ")])
+        if late is not None:
+            self.handle.registerTimer(late // 1000)
+        if len(due):
+            self.open.put(rest, len(opened))
+
+    def _scored(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        """Whole batches, or a last one of fewer rows."""
+        values = [None if v != v else v for v in rows["value"].tolist()]
+        done = [attempt(self.score, values[lo : lo + self.size]) for lo in range(0, len(values), self.size)]
+        scores, errors = [s for d in done for s in d[0]], [e for d in done for e in d[1]]
+        return pd.DataFrame({"camera": key[0], "us": rows["us"], "event_id": rows["event_id"], "scored": scores, "error": errors, "batch_rows": min(self.size, len(rows))})
 
 
 def in_batches(frames: DataFrame, score: Score, size: int, delay: str, idle: int) -> DataFrame:
