@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +20,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.shared import fresh_path
 from ..sources.tables import followed
 from .foreground import ROCKSDB
+from .waiting import PIECE, Waiting
 
 ROWS = "video long, us long, event_id long, interpolated double"
 
 
-def between(at: int, left: tuple | None, right: tuple | None) -> float | None:
-    """The value at a time of neighbours (time, value): the end values beyond them, null without any."""
-    if left is None:
-        return None if right is None else right[1]
-    if right is None or left[0] == at:
-        return left[1]
-    if left[1] is None or right[1] is None:
-        return None
-    return left[1] + (right[1] - left[1]) * (at - left[0]) / (right[0] - left[0])
+def between(at: np.ndarray, left_us: np.ndarray, left: np.ndarray, right_us: np.ndarray, right: np.ndarray, has_left: np.ndarray, has_right: np.ndarray) -> np.ndarray:
+    """The values at times of neighbours (times and values): the end values beyond them, not a number without any."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inner = left + (right - left) * (at - left_us) / (right_us - left_us)
+    return np.where(~has_left, np.where(has_right, right, np.nan), np.where(~has_right | (left_us == at), left, inner))
 
 
 class Merger(StatefulProcessor):
@@ -40,56 +38,55 @@ class Merger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.arrived = handle.getMapState("arrived", "us long, row int, event_id long", "value double")
-        self.unsettled = handle.getListState("unsettled", "us long, event_id long")
-        self.knot = handle.getValueState("knot", "us long, value double")
-        self.last = handle.getValueState("last", "us long")
+        self.arrived = Waiting(handle, "arrived", ("us", "is_row", "event_id", "value"))
+        self.unsettled = Waiting(handle, "unsettled", ("us", "is_row", "event_id", "value"))
+        self.about = handle.getValueState("about", "last long, known boolean, us long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = latest = None
-        for part in rows:
-            for us, is_row, event_id, value in zip(part["us"], part["is_row"], part["event_id"], part["value"], strict=True):
-                self.arrived.updateValue((int(us), int(is_row), int(event_id)), (None if pd.isna(value) else float(value),))
-                first, latest = (int(us) if x is None else f(x, int(us)) for x, f in ((first, min), (latest, max)))
-        if first is not None:
-            before = self.last.get()[0] if self.last.exists() else latest
-            self.last.update((max(before, latest),))
-            self.handle.registerTimer(first // 1000)
-            self.handle.registerTimer((max(before, latest) + self.idle) // 1000 + 1)
+        parts = [p for p in rows if len(p)]
+        if parts:
+            new = self.arrived.made(parts)
+            self.arrived.add(new)
+            last, *knot = self.about.get() or (None, False, None, None)
+            last = int(new["us"].max()) if last is None else max(last, int(new["us"].max()))
+            self.about.update((last, *knot))
+            self.handle.registerTimer(int(new["us"].min()) // 1000)
+            self.handle.registerTimer((last + self.idle) // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        about = self.about.get()
+        if about is None:  # the recording is over
+            return
         passed = timerValues.getCurrentWatermarkInMs()
-        knot = self.knot.get() if self.knot.exists() else None
-        waits = list(self.unsettled.get()) if self.unsettled.exists() else []
-        held = sorted(self.arrived.keys())
-        found = []
-        for at in [k for k in held if k[0] // 1000 <= passed]:
-            us, is_row, event_id = at
-            (value,) = self.arrived.getValue(at)
-            self.arrived.removeKey(at)
-            if is_row:
-                waits.append((us, event_id))
-                continue
-            found += [(*key, t, i, between(t, knot, (us, value))) for t, i in waits]
-            knot, waits = (us, value), []
-        late = [k for k in held if k[0] // 1000 > passed]
-        over = bool(self.last.exists()) and not late and (self.last.get()[0] + self.idle) // 1000 < passed
+        last, known, knot_us, knot = about
+        waits = self.unsettled.all()
+        due, late = self.arrived.due(passed)
+        over = late is None and (last + self.idle) // 1000 < passed
+        knots = due[due["is_row"] == 0]
+        rows = np.concatenate([waits, due[due["is_row"] == 1]])
+        # the knots before each row, of those that came now: rows that waited come before them all
+        before = np.concatenate([np.zeros(len(waits), np.int64), np.cumsum(due["is_row"] == 0)[due["is_row"] == 1]])
+        times = np.concatenate([[knot_us] if known else np.zeros(0, np.int64), knots["us"], [0]]).astype(np.int64)
+        values = np.concatenate([[np.nan if knot is None else knot] if known else np.zeros(0), knots["value"], [np.nan]])
+        n, left = len(times) - 1, before + bool(known) - 1
+        settled = (left + 1 < n) | over
+        us, at = rows["us"][settled], left[settled]
+        # place n stands for none, as does -1
+        found = between(us, times[at], values[at], times[at + 1], values[at + 1], at >= 0, at + 1 < n)
         if over:
-            found += [(*key, t, i, between(t, knot, None)) for t, i in waits]
-            for state in (self.knot, self.unsettled, self.last, self.arrived):
-                state.clear()
+            self.unsettled.put(rows[:0], len(waits))
+            self.about.clear()
         else:
-            if late:
-                self.handle.registerTimer(late[0][0] // 1000)
-            if knot is not None:
-                self.knot.update(knot)
-            if waits:
-                self.unsettled.put(waits)
-            else:
-                self.unsettled.clear()
-        if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in ROWS.split(", ")])
+            if late is not None:
+                self.handle.registerTimer(late // 1000)
+            if len(knots):
+                self.about.update((last, True, int(times[n - 1]), None if np.isnan(values[n - 1]) else float(values[n - 1])))
+            if len(due):
+                self.unsettled.put(rows[~settled], len(waits))
+        for lo in range(0, len(us), PIECE):
+            cut = slice(lo, lo + PIECE)
+            yield pd.DataFrame({"video": key[0], "us": us[cut], "event_id": rows["event_id"][settled][cut], "interpolated": found[cut]})
 
 
 def interpolated(rows: DataFrame, knots: DataFrame, delay: str, idle: int) -> DataFrame:
