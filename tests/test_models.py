@@ -1,6 +1,7 @@
 """Models fitted side by side against the same fitted apart, plain numpy and MLlib."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,23 @@ def test_groups_without_two_classes(spark):
     got = {r.group: (r.n, r.n_positive, r.auc) for r in L.leave_one_group_out(df, "x", "y", "g").collect()}
     assert got == {0: (2, 2, None), 2: (1, 1, None)}
     assert M.group_folds(df.where("y > 5"), "x", "y", "g") == {} and M.kmeans(df.where("y > 5"), "x", [2]) == {}
+
+
+def test_a_pass_compares_rows_with_the_centres_of_all_models_at_once(spark, monkeypatch):
+    """Each model took its own products and sums of every row; rows between two equal centres belong to the first."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3_000, 6))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x))], names=["x"])
+    passes = []
+    monkeypatch.setattr(M, "nearest", lambda *a: pytest.fail("a model's own pass"))
+    monkeypatch.setattr(M, "summed", lambda rows, per_batch: passes.append(per_batch(batch)) or passes[-1])
+    monkeypatch.setattr(M, "spread_out", lambda sample, k, rng: np.concatenate([x[: k - 1], x[:1]]))
+    M.kmeans(df, "x", [2, 5], 2, most_rounds=0)
+    for i, k in enumerate((2, 2, 5, 5)):
+        c = np.concatenate([x[: k - 1], x[:1]])
+        far = ((x[:, None] - c[None]) ** 2).sum(-1)
+        n, sums, inertia = passes[0][i][:k], passes[0][i][k:-1].reshape(k, 6), passes[0][i][-1]
+        place = far.argmin(1)
+        assert n.tolist() == np.bincount(place, minlength=k).tolist() and n[-1] == 0
+        assert np.allclose(sums, [x[place == j].sum(0) for j in range(k)], atol=1e-9) and inertia == pytest.approx(far.min(1).sum())

@@ -90,14 +90,30 @@ def kmeans(rows: DataFrame, features: str, sizes: Sequence[int], starts: int = 1
         if not active:
             break
         centres = {i: models[n].places for i, n in active}
+        every = np.concatenate(list(centres.values()))
+        lengths = (every**2).sum(1)[:, None]
         first = scale is None
 
-        def per_batch(b: pa.RecordBatch, centres: dict = centres, first: bool = first) -> dict[int, np.ndarray]:
+        def per_batch(b: pa.RecordBatch, centres: dict = centres, every: np.ndarray = every, lengths: np.ndarray = lengths, first: bool = first) -> dict[int, np.ndarray]:
             x, out = matrix(b.column(0)), {}
-            for i, c in centres.items():
-                place, away = nearest(x, c)
-                sums = np.stack([np.bincount(place, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
-                out[i] = np.concatenate([np.bincount(place, minlength=len(c)).astype(np.float64), sums.ravel(), [away.sum()]])
+            for lo in range(0, len(x), ROWS):
+                part = x[lo : lo + ROWS]
+                # one product with the centres of all models; then each row's place among a model's
+                far = every @ part.T
+                far *= -2
+                far += lengths
+                at, squares = 0, float((part**2).sum())
+                for i, c in centres.items():
+                    own = far[at : at + len(c)]
+                    at += len(c)
+                    chosen = (own == own.min(0)).astype(np.float64)
+                    if (n := chosen.sum(1)).sum() > len(part):  # a row has its first nearest centre only
+                        chosen *= np.cumsum(chosen, axis=0) == 1
+                        n = chosen.sum(1)
+                    norms, sums = (c**2).sum(1), chosen @ part
+                    # |x - c|^2 summed over a centre's rows, from their sums
+                    away = squares + float((n * norms).sum() - 2 * (sums * c).sum())
+                    out[i] = out.get(i, 0) + np.concatenate([n, sums.ravel(), [max(0.0, away)]])
             if first:
                 out[-1] = np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)])
             return out
