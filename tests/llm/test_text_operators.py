@@ -237,3 +237,25 @@ def test_empty_tables(spark):
     assert sentencepieces.encode(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json"), 1).count() == 0
     assert media.features(media.to_media(none)).count() == 0
+
+
+def test_packing_gives_back_batches_bounded_by_tokens(monkeypatch):
+    """Up to 20,000 pieces (8 million tokens) were one batch, which worker and executor held whole."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    held = {}
+    docs = SimpleNamespace(schema={"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    docs.select = lambda *_: SimpleNamespace(mapInArrow=lambda run, _: held.update(run=run))
+    monkeypatch.setattr(packing, "text_or_empty", lambda name: name)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "BATCH_TOKENS", 4096, raising=False)
+    packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), separator=1)
+    texts = ["one two three " * k for k in (900, 5, 1, 3000, 0)]
+    found = list(held["run"](iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert max(sum(map(len, b.column("token_ids").to_pylist())) for b in found) <= 4096
+    pieces = sorted((i, s, t) for b in found for i, s, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "token_ids")), strict=True))
+    coder = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for k, text in enumerate(texts):
+        assert [x for i, _, t in pieces if i == k for x in t] == [*coder.encode([text])[0].tolist(), 1]

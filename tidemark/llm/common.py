@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path, materialize, remove, shared_dir
 
-__all__ = ["CACHE_ENTRIES", "fresh_path", "materialize", "remove", "shared_dir", "slices", "table", "text_or_empty"]
+__all__ = ["CACHE_ENTRIES", "fresh_path", "materialize", "released", "remove", "shared_dir", "slices", "table", "text_or_empty"]
 
 #: Entries after which a worker's word cache is emptied (about 100 MB).
 CACHE_ENTRIES = 400_000
@@ -36,3 +39,18 @@ def slices(texts: Sequence[str], limit: int = 1 << 20) -> Iterator[tuple[int, in
             lo, size = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after whose end the worker's free memory goes back to the system: workers serve later stages, too, and
+    otherwise keep as much as the largest task took."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return task

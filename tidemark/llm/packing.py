@@ -29,7 +29,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, slices, text_or_empty
+from .common import CACHE_ENTRIES, released, slices, text_or_empty
 from .token_counts import RankMerger
 
 #: Texts with these are left to the library: separators on which Python and it disagree, capital sigma (its
@@ -38,6 +38,9 @@ ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u03a3", "<|"]
 #: Fixed value: the pre-token pattern of the word tokenizer; what lies between matches is dropped.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Rows whose texts are Python strings at a time, and tokens of a batch that is given back (unless a piece is longer).
+ROWS, BATCH_TOKENS = 2048, 1 << 19
+
 
 class WordTokenizer:
     """Ids of texts under a lower-casing byte-level BPE with word ends, equal to the library's.
@@ -165,14 +168,20 @@ def pack(docs: DataFrame, tokenizer: str, separator: int, window: int = 2048, bl
             length = np.minimum(sizes[doc] - start, window)
             sequence, offset, made = best_fit(length, window)
             keys = pa.concat_arrays(names)
-            for lo in range(0, len(doc), 20_000):
-                hi = min(lo + 20_000, len(doc))
+            ends = np.append(0, np.cumsum(length))
+            hi = 0
+            while hi < len(doc):  # batches are bounded by tokens too: both sides hold them whole
+                lo = hi
+                hi = max(lo + 1, min(lo + 20_000, int(np.searchsorted(ends, ends[lo] + BATCH_TOKENS, "right")) - 1))
                 cut = [tokens[d][s : s + k] for d, s, k in zip(doc[lo:hi].tolist(), start[lo:hi].tolist(), length[lo:hi].tolist(), strict=True)]
-                value = pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut] if ids == "crc32" else cut, last[1])
+                if ids == "crc32":
+                    value = pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], last[1])
+                else:
+                    value = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(np.concatenate(cut)))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[lo:hi])), *map(pa.array, (start[lo:hi], length[lo:hi], sizes[doc[lo:hi]], base + sequence[lo:hi], offset[lo:hi])), value], names=[id_col, "start", "length", "doc_tokens", "sequence_id", "offset", last[0]])
             base += made
 
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 got = [np.concatenate([x, end]) for x in coder.encode(texts[lo:hi])]
@@ -185,4 +194,4 @@ def pack(docs: DataFrame, tokenizer: str, separator: int, window: int = 2048, bl
         if tokens:
             yield from flush()
 
-    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[2]}")
+    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(released(run), f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[2]}")

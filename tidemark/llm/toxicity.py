@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, materialize, remove, text_or_empty
+from .common import CACHE_ENTRIES, materialize, released, remove, text_or_empty
 
 # Identity terms that stand for one another, by kind; the last of each names people at large.
 IDENTITY_TERMS = [
@@ -271,7 +271,7 @@ def feature_rows(texts: DataFrame, terms: list[list[str]] = IDENTITY_TERMS) -> D
                     known.clear()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *(pa.array([r], lists) for r in rows)], names=["__id", "columns", "counts", "swap_columns", "swap_counts"])
 
-    return texts.select("__id", "__text").mapInArrow(run, f"__id {kind}, columns array<int>, counts array<int>, swap_columns array<int>, swap_counts array<int>")
+    return texts.select("__id", "__text").mapInArrow(released(run), f"__id {kind}, columns array<int>, counts array<int>, swap_columns array<int>, swap_counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_cells: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms: list[list[str]] = IDENTITY_TERMS, **options) -> ToxicityModel:
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col:
             s = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(released(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -346,4 +346,4 @@ def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_c
                     known.clear()
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
