@@ -30,7 +30,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more; candidates by SimHash, verified exactly) the document
+    of the smallest id stays."""
     return near_copies.keep_one(docs)
 
 
