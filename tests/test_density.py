@@ -127,3 +127,38 @@ def test_a_pair_of_blocks_is_measured_once_and_only_where_it_can_matter(monkeypa
     want = [min((w[i, j], min(i, j), max(i, j), j) for j in range(700) if j != i) for i in range(700)]
     assert list(zip(*(v.tolist() for v in edges.best[1:]), strict=True)) == want
     assert sum(counted) < 0.1 * 700 * 700
+
+
+def test_only_vectors_whose_lists_end_within_the_best_edge_are_compared():
+    """Every round of the tree compared all vectors of all components again."""
+    rng = np.random.default_rng(9)
+    x, ids = rng.normal(size=(800, 8)), np.arange(800)
+    x[790:] = x[3]  # equal vectors
+    d = D.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, : D.LISTED]
+    near = np.take_along_axis(d, order, axis=1)
+    core, reach = near[:, 2], near[:, -1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    comp = D.distances(x, x[:6]).argmin(1)
+    listed = np.zeros((800, 800), bool)
+    np.put_along_axis(listed, order, True, axis=1)
+    listed |= listed.T
+
+    def least(pairs):
+        return [min(((w[i, j], min(i, j), max(i, j), comp[j]) for i, j in np.argwhere(pairs & (comp[:, None] == c) & (comp[None] != c)).tolist()), default=(np.inf,)) for c in range(6)]
+
+    known = least(listed)
+    best = np.array([e[0] for e in known])[comp]
+    edges = D.LeastEdges(np.arange(6), np.array([e[0] for e in known]))
+    halves = [slice(0, 400), slice(400, 800)]
+    kept = 0
+    for one, two in ((0, 0), (1, 1), (0, 1)):
+        some = D.needed(*((reach[halves[k]], best[halves[k]]) for k in (one, two)))
+        kept += sum(s.sum() for s in some)
+        sides = [tuple(v[halves[k]][s] for v in (ids, x, core, comp)) for k, s in zip((one, two), some, strict=True)]
+        if some[0].any() and some[1].any():
+            edges.meet(*sides)
+    met = dict(zip(edges.best[0].tolist(), zip(*(v.tolist() for v in edges.best[1:]), strict=True), strict=True))
+    assert [min(known[c], met.get(c, (np.inf,))) for c in range(6)] == least(np.ones((800, 800), bool))
+    assert kept < 0.5 * 2400

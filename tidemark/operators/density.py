@@ -4,13 +4,15 @@ Vectors are dealt to the nearest of a few pivots, and a pivot's cell into blocks
 that can still matter by the triangle inequality: for core distances, cells nearer than the neighbours already known; for
 the spanning tree, cells nearer than the best edge already known of a component. Blocks are dealt into groups, and a task compares
 two groups' blocks, each pair once for both sides: a block is sent as often as there are groups, not as often as it meets
-others. Tasks give back minima; no pair of vectors is ever a row.
+others. Tasks give back minima, or a vector's few nearest; no other pair of vectors is ever a row.
 
 Pairs are compared by a matrix product, whose squares are off by a known slack at most. It only rules pairs out: what is
 left (a few pairs a vector) is measured by ``distances``' own arithmetic, so results don't depend on blocks.
 
 The minimum spanning tree of mutual reachability grows by rounds (Boruvka 1926): each component takes its least edge, in the
-total order (length, smaller key, larger key), and pointers to the component at the other end are doubled until all name their
+total order (length, smaller key, larger key). The nearest that were found for core distances, ``LISTED`` a vector, are looked at first; an
+edge that neither end lists is no shorter than the farthest that either lists, so blocks compare only those vectors whose lists end
+within the best edge already known of their component (or of one they meet). Then pointers to the component at the other end are doubled until all name their
 roots. Rounds are no more than the logarithm of the number of vectors; each ends in a written table.
 
 The condensed tree is one ordered pass over the tree's edges, an edge a vector: the one step that is a single task, which
@@ -26,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, remove
@@ -35,6 +37,8 @@ from ..sources.shared import materialize, remove
 CELLS = 1 << 21
 #: Groups of blocks, at least, and vectors of a group: a task holds two groups.
 LEAST_GROUPS, GROUP_ROWS = 12, 1 << 14
+#: Nearest others that are kept of a vector.
+LISTED = 16
 NEAREST = "id long, found array<struct<d:double,m:long>>"
 EDGE = "comp long, w double, a long, b long, other long"
 
@@ -330,14 +334,33 @@ def _nearest(blocks: DataFrame, cells: Cells, n: int, probes: int | None = None)
     return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, n).alias("found"))
 
 
+def _place(found: str, place: int) -> Column:
+    """The distance at a place of a list; what has no such place lists all others."""
+    return F.coalesce(F.get(found, F.lit(place - 1))["d"], F.lit(float("inf")))
+
+
 def core_distances(blocks: DataFrame, cells: Cells, least: int) -> DataFrame:
     """``id, core``: the distance to the ``least``-th nearest other vector."""
-    return _nearest(blocks, cells, least).select("id", F.coalesce(F.get("found", F.lit(least - 1))["d"], F.lit(float("inf"))).alias("core"))
+    return _nearest(blocks, cells, least).select("id", _place("found", least).alias("core"))
+
+
+def needed(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two blocks can have an unlisted edge that is no longer than the best known of a component. Blocks as (distances at
+    which lists end, best known edges of the rows' components)."""
+    top = [w[reach <= w].max(initial=-np.inf) for reach, w in (one, two)]
+    return tuple((reach <= w) | (reach <= other) for (reach, w), other in ((one, top[1]), (two, top[0])))
 
 
-def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int = 64) -> DataFrame:
-    """``a, b, w``: the edges (a < b) of the minimum spanning tree of mutual reachability."""
+def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, lists: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+    """``a, b, w``: the edges (a < b) of the minimum spanning tree of mutual reachability. ``cores``: ``id, block, core``, and with
+    ``lists`` (``id, m, d``: the nearest of every vector) ``reach``, the distance of the last listed."""
     spark = blocks.sparkSession
+    if lists is None:
+        cores = cores.withColumn("reach", F.lit(0.0))
+    else:
+        ends = [cores.select(F.col("id").alias(key), F.col("core").alias(f"core_{key}")) for key in ("id", "m")]
+        listed = lists.join(ends[0], "id").join(ends[1], "m").select("id", "m", F.greatest("d", "core_id", "core_m").alias("w"))
+        lists, lists_path = materialize(listed, "density-listed")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,12 +376,12 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
             for b in batches:
                 columns = {n: b.column(k) for k, n in enumerate(b.schema.names)}
                 to: list[list[int]] = []
-                for packed, vectors, core, comp, w in zip(*(columns[n].to_pylist() for n in ("ids", "vectors", "core", "comp", "w")), strict=True):
+                for packed, vectors, core, comp, w, reach in zip(*(columns[n].to_pylist() for n in ("ids", "vectors", "core", "comp", "w", "reach")), strict=True):
                     _, x = _opened(packed, vectors)
                     w = np.array([np.inf if v is None else v for v in w])
                     can = np.maximum(cells.bound(x), np.array(core)[:, None]) <= w[:, None]
                     inner = np.array([whole.get(c, -1) for c in range(can.shape[1])])
-                    can &= np.array(comp)[:, None] != inner
+                    can &= (np.array(comp)[:, None] != inner) & (np.array(reach) <= w)[:, None]
                     to.append(np.flatnonzero(can.any(0)).tolist())
                 yield pa.RecordBatch.from_arrays([columns["block"], pa.array(to, pa.list_(pa.int64()))], names=["block", "cells"])
 
@@ -367,16 +390,27 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
     def across(held: dict[int, dict], pairs: list[tuple[int, int]]) -> list[pa.RecordBatch]:
         comps, numbers = np.unique(np.concatenate([np.array(r["comp"], np.int64) for r in held.values()]), return_inverse=True)
         bound = np.full(len(comps), np.inf)
+        reached = {}
         numbers = np.split(numbers, np.cumsum([len(r["comp"]) for r in held.values()])[:-1])
-        for r, c in zip(held.values(), numbers, strict=True):
-            np.minimum.at(bound, c, np.array([np.inf if v is None else v for v in r["w"]]))
+        for (k, r), c in zip(held.items(), numbers, strict=True):
+            w = np.array([np.inf if v is None else v for v in r["w"]])
+            np.minimum.at(bound, c, w)
+            reached[k] = np.array(r["reach"]), w
         blocks = {k: (*_opened(r["ids"], r["vectors"]), np.array(r["core"]), c) for (k, r), c in zip(held.items(), numbers, strict=True)}
         edges = LeastEdges(comps, bound)
         for a, b in pairs:
-            edges.meet(blocks[a], blocks[b])
+            keep = needed(reached[a], reached[b])
+            if keep[0].any() and keep[1].any():
+                edges.meet(*(blocks[k] if some.all() else tuple(c[some] for c in blocks[k]) for k, some in zip((a, b), keep, strict=True)))
         return [edges.rows()]
 
-    comps, comps_path = materialize(cores.select("id", "block", "core", F.col("id").alias("comp")), "density-components")
+    def nearest_listed(comps: DataFrame) -> DataFrame:
+        ends = [comps.select(F.col("id").alias(key), F.col("comp").alias(comp)) for key, comp in (("id", "comp"), ("m", "other"))]
+        met = lists.join(ends[0], "id").join(ends[1], "m").where("comp <> other")
+        sides = F.array(*(F.struct(F.col(x).alias("comp"), F.col(y).alias("other")) for x, y in (("comp", "other"), ("other", "comp"))))
+        return met.select(F.explode(sides).alias("s"), "w", F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).select("s.comp", "w", "a", "b", "s.other")
+
+    comps, comps_path = materialize(cores.select("id", "block", "core", "reach", F.col("id").alias("comp")), "density-components")
     tree = None
     for _ in range(rounds):
         if comps.select("comp").distinct().limit(2).count() < 2:
@@ -384,11 +418,12 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
 
         def with_state(best: DataFrame | None, comps: DataFrame = comps) -> DataFrame:
             rows = comps.withColumn("w", F.lit(None).cast("double")) if best is None else comps.join(best.select("comp", "e.w"), "comp", "left")
-            lists = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "core", "comp", "w"))).alias("r"))
-            return blocks.join(lists, "block").select("block", "cell", "ids", "vectors", F.col("r.core").alias("core"), F.col("r.comp").alias("comp"), F.col("r.w").alias("w"))
+            lists = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "core", "comp", "w", "reach"))).alias("r"))
+            return blocks.join(lists, "block").select("block", "cell", "ids", "vectors", F.col("r.core").alias("core"), F.col("r.comp").alias("comp"), F.col("r.w").alias("w"), F.col("r.reach").alias("reach"))
 
         edge = F.min(F.struct("w", "a", "b", "other")).alias("e")
-        first, first_path = materialize(with_state(None).select("ids", "vectors", "core", "comp").mapInArrow(inside, EDGE).groupBy("comp").agg(edge), "density-edges")
+        within = with_state(None).select("ids", "vectors", "core", "comp").mapInArrow(inside, EDGE)
+        first, first_path = materialize((within if lists is None else within.unionByName(nearest_listed(comps))).groupBy("comp").agg(edge), "density-edges")
         state, state_path = materialize(with_state(first), "density-state")
         of_cell = comps.withColumn("cell", F.pmod("block", F.lit(len(cells.pivots)))).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         whole = {r["cell"]: r["lo"] for r in of_cell.where("lo = hi").collect()}  # a row a pivot
@@ -398,13 +433,15 @@ def spanning_tree(blocks: DataFrame, cells: Cells, cores: DataFrame, rounds: int
         new, _ = materialize(best.select("e.a", "e.b", "e.w").distinct(), "density-tree")
         tree = new if tree is None else tree.unionByName(new)
         roots, roots_path = _roots(best.select("comp", F.col("e.other").alias("to")))
-        after, after_path = materialize(comps.join(roots, "comp").select("id", "block", "core", F.col("root").alias("comp")), "density-components")
+        after, after_path = materialize(comps.join(roots, "comp").select("id", "block", "core", "reach", F.col("root").alias("comp")), "density-components")
         for path in (comps_path, first_path, state_path, best_path, roots_path):
             remove(spark, path)
         comps, comps_path = after, after_path
     else:
         raise RuntimeError(f"no single tree after {rounds} rounds")
     remove(spark, comps_path)
+    if lists is not None:
+        remove(spark, lists_path)
     return tree
 
 
@@ -450,9 +487,12 @@ def density_clusters(df: DataFrame, key: str, vector: str, least: int = 3, pivot
         return noise
     blocks, cells = _blocks(df, key, vector, pivots, block)
     of_block = _members(blocks)
-    cores, cores_path = materialize(core_distances(blocks, cells, least).join(of_block, "id"), "density-cores")
-    tree = spanning_tree(blocks, cells, cores)
-    remove(spark, cores_path)
+    most = max(least, LISTED)
+    near, near_path = materialize(_nearest(blocks, cells, most), "density-lists")
+    cores, cores_path = materialize(near.select("id", _place("found", least).alias("core"), _place("found", most).alias("reach")).join(of_block, "id"), "density-cores")
+    tree = spanning_tree(blocks, cells, cores, near.select("id", F.explode("found").alias("f")).select("id", "f.m", "f.d"))
+    for path in (cores_path, near_path):
+        remove(spark, path)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
