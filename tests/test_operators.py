@@ -168,3 +168,38 @@ def test_most_similar_equals_all_pairs_with_ties_and_rows_without_similarity(spa
         want.setdefault(r.query, []).append((r.s is None, 0 if r.s is None else -r.s if largest else r.s, r.match, r.s))
     got = sorted(map(tuple, found.select("query", "place", "match", "similarity").collect()))
     assert got == [(k, i + 1, m, x) for k in sorted(want) for i, (_, _, m, x) in enumerate(sorted(want[k])[:7])]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("largest", [True, False])
+def test_most_similar_of_all_equals_all_pairs(spark, largest, kind):
+    """Every row is a query, over several groups; ties, equal vectors, repeated keys and rows without similarity keep the order of the SQL (nulls last)."""
+    rng = random.Random(5)
+    vector = lambda i: [0.5] * 4 if i % 9 == 0 else [rng.choice((-1.0, 0.25, 0.5, 1.0, rng.random())) for _ in range(4)]
+    odd = [(200, None), (-3, [0.0] * 4), (202, [1.0, None, 0.5, 1.0]), (203, [1.0]), (204, []), (7, None), (None, [1.0] * 4)]
+    rows = [(i, vector(i)) for i in range(200)] + [(i, vector(i)) for i in (5, 5, 70)] + odd
+    check_all_pairs(spark, rows, kind, 7, largest, group_rows=30)
+
+
+def test_most_similar_of_all_fills_up_with_rows_without_similarity(spark):
+    none = [(i, None if i % 2 else [0.0, 0.0]) for i in range(9)]
+    for sound in ([], [(4, [1.0, 2.0])], [(4, [1.0, 2.0]), (20, [2.0, 1.0]), (20, [2.0, 1.5])]):
+        check_all_pairs(spark, none + sound, "double", 4, True)
+    check_all_pairs(spark, [(1, [1.0, 2.0]), (2, [2.0, 1.0])], "double", 4, True)
+    assert V.most_similar_of_all(spark.createDataFrame([], "id long, v array<float>"), 3, "id", "v").collect() == []
+
+
+def check_all_pairs(spark, rows, kind, n, largest, **more):
+    df = spark.createDataFrame(rows, f"id int, v array<{kind}>").repartition(5)
+    found = V.most_similar_of_all(df, n, "id", "v", largest, **more)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    length = max((len(v) for i, v in rows if i is not None and v), default=1)
+    value = F.when((F.size("v") == length) & (F.size("w") == length), F.round(S.cosine(F.col("w"), F.col("v"), 0.0), 4))
+    q = df.select(F.col("id").alias("query"), F.col("v").alias("w"))
+    want = {}
+    for r in q.crossJoin(df.select(F.col("id").alias("match"), "v")).where("query <> match").select("query", "match", value.alias("s")).collect():
+        want.setdefault(r.query, []).append((r.s is None, 0 if r.s is None else -r.s if largest else r.s, r.match, r.s))
+    key = lambda r: r[:2]
+    got = sorted(map(tuple, found.select("query", "place", "match", "similarity").collect()), key=key)
+    assert got == [(k, i + 1, m, x) for k in sorted(want) for i, (_, _, m, x) in enumerate(sorted(want[k], key=lambda r: r[:3])[:n])]
+    assert dict(found.dtypes) == {"query": "int", "match": "int", "similarity": "double", "place": "int"}

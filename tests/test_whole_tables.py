@@ -18,6 +18,12 @@ def test_every_label_is_left_out_once(spark):
     assert got == want
 
 
+def test_every_vector_asks_for_its_similar_ones(spark):
+    """Only keys that 100 divides were queries."""
+    got = catalog.QUERIES["pair_similarity"](spark, SF).groupBy("query").count().collect()
+    assert {r.query: r["count"] for r in got} == {r.vec_id: 3 for r in table(spark, SF, "embeddings").select("vec_id").collect()}
+
+
 def test_starts_and_rounds_are_the_reference_s():
     assert inspect.signature(L.clusters).parameters["starts"].default == 10
     assert inspect.signature(L.classifier).parameters["rounds"].default == 1000

@@ -56,10 +56,10 @@ def _cos(a: str, b: str, guard: str = "0.0") -> str:
     return COS.format(a=a, b=b, g=guard)
 
 
-def _pairs(direction: str) -> str:
+def _pairs(direction: str, queries: str = "") -> str:
     return f"""
         WITH p AS (SELECT a.vec_id AS query, b.vec_id AS match, round({_cos('a.embedding', 'b.embedding')}, 4) AS similarity
-                   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+                   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id{queries})
         SELECT query, match, similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity {direction}, match) AS INT) AS place FROM p QUALIFY place <= 3"""
 
 
@@ -151,7 +151,7 @@ SQL: dict[str, str] = {
     "softmax_score": f"{TWO} SELECT vec_id, round(1 / (1 + exp(10 * ({_cos('embedding', 'q1')} - {_cos('embedding', 'q0')}))), 4) AS score FROM v",
     "baseline_threshold": f"{TWO}, c AS (SELECT vec_id, round({_cos('embedding', 'q0', '1e-8')}, 4) AS similarity, round({_cos('q0', 'q1', '1e-8')}, 4) AS base FROM v) SELECT vec_id, similarity FROM c WHERE similarity >= base + 0.05",
     "pair_similarity": _pairs("DESC"),
-    "pair_dissimilarity": _pairs("ASC"),
+    "pair_dissimilarity": _pairs("ASC", " WHERE a.vec_id % 100 = 0"),
     "mean_pool": f"WITH {PLACES} SELECT label, CAST(pos AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 5) AS x FROM v GROUP BY label, pos",
     "median_background": f"WITH {PLACES} SELECT label, CAST(pos AS INT) AS pos, median(CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS x FROM v GROUP BY label, pos",
     "centroid_reps": f"""WITH {PLACES}, c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM v GROUP BY label, pos),
